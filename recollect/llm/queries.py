@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recollect.llm import byte_bpe, decontaminate
+from recollect.llm import byte_bpe, decontaminate, mpegts, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,26 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", "n_words", decontaminate.hit_words(F.col("spans")).alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")).withColumn("contaminated", decontaminate.is_contaminated(F.col("n_hit"), F.col("n_words")))
 
 
+def op9_mpegts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_bytes"), mpegts.padded(F.col("text")).alias("payload"))
+    media = mpegts.stored(rows, "payload", carry=["doc_id", "n_bytes"])
+    back = mpegts.parsed(media, carry=["doc_id", "n_bytes", "media"])
+    return back.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("samples").cast("bigint").alias("payload_bytes"),
+        F.sha2("samples", 256).alias("payload_sha256"),
+        F.crc32(F.substring("samples", -64, 64)).alias("tail_crc32"),
+        F.octet_length("media").cast("bigint").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), rank_file())
+
+
 OP8_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -47,5 +67,5 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_byte_bpe": op2_byte_bpe, "op8_decontaminate": op8_decontaminate}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_byte_bpe": op2_byte_bpe, "op8_decontaminate": op8_decontaminate, "op9_mpegts": op9_mpegts, "op10_token_counts": op10_token_counts}
 SQL: dict[str, str] = {"op8_decontaminate": OP8_SQL}
