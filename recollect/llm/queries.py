@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recollect.llm import byte_bpe, decontaminate, mpegts, token_counts
+from recollect.llm import byte_bpe, chat_format, decontaminate, mpegts, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,29 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encoded(_table(spark, sf_dir, "documents"), rank_file(), outputs=["n_tokens", "ids_sha256", "decoded_sha256"])
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = chat_format.preference_pairs(chat_format.neighbours(_table(spark, sf_dir, "conversations")))
+    mask = lambda side: F.array_join(F.transform(f"{side}_mask", lambda s: F.concat_ws("-", s.cast("array<string>"))), ",").alias(f"{side}_mask")
+    return pairs.select("pair", "chosen_id", "rejected_id", "n_common", "prompt", "chosen_completion", mask("chosen"), "rejected_completion", mask("rejected"))
+
+
+OP7_SQL = r"""
+WITH t AS (SELECT conv_id, turn, min({'role': coalesce(role, 'user'), 'text': coalesce(text, '')}) AS x FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn),
+u AS (SELECT conv_id // 2 AS pair, conv_id % 2 = 0 AS chosen, conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, x,
+      '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10) AS shown FROM t),
+c AS (SELECT * FROM u WHERE chosen), r AS (SELECT * FROM u WHERE NOT chosen),
+m AS (SELECT coalesce(c.pair, r.pair) AS pair, coalesce(c.n, r.n) AS n, coalesce(c.x = r.x, false) AS same, c.shown FROM c FULL JOIN r ON c.pair = r.pair AND c.n = r.n),
+p AS (SELECT pair, coalesce(min(n) FILTER (NOT same), count(*) + 1) AS differ FROM m GROUP BY pair),
+o AS (SELECT pair, coalesce(string_agg(shown, '' ORDER BY n) FILTER (n < differ), '') AS prompt, any_value(differ) - 1 AS n_common FROM m JOIN p USING (pair) GROUP BY pair),
+q AS (SELECT u.*, n >= differ AS rest, coalesce(sum(length(shown)) FILTER (n >= differ) OVER (PARTITION BY conv_id ORDER BY n), 0) AS after FROM u JOIN p USING (pair)),
+s AS (SELECT pair, chosen, any_value(conv_id) AS id, coalesce(string_agg(shown, '' ORDER BY n) FILTER (rest), '') AS completion,
+      coalesce(string_agg((after - length(x.text) - 11)::BIGINT || '-' || after::BIGINT, ',' ORDER BY n) FILTER (rest AND x.role = 'assistant'), '') AS mask FROM q GROUP BY pair, chosen)
+SELECT o.pair, a.id AS chosen_id, b.id AS rejected_id, CAST(o.n_common AS BIGINT) AS n_common, o.prompt,
+       a.completion AS chosen_completion, a.mask AS chosen_mask, b.completion AS rejected_completion, b.mask AS rejected_mask
+FROM o LEFT JOIN s AS a ON a.pair = o.pair AND a.chosen LEFT JOIN s AS b ON b.pair = o.pair AND NOT b.chosen
+"""
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontaminate.benchmark_hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return hits.select("doc_id", "n_words", decontaminate.hit_words(F.col("spans")).alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")).withColumn("contaminated", decontaminate.is_contaminated(F.col("n_hit"), F.col("n_words")))
@@ -67,5 +90,5 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_byte_bpe": op2_byte_bpe, "op8_decontaminate": op8_decontaminate, "op9_mpegts": op9_mpegts, "op10_token_counts": op10_token_counts}
-SQL: dict[str, str] = {"op8_decontaminate": OP8_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_byte_bpe": op2_byte_bpe, "op7_chat_format": op7_chat_format, "op8_decontaminate": op8_decontaminate, "op9_mpegts": op9_mpegts, "op10_token_counts": op10_token_counts}
+SQL: dict[str, str] = {"op7_chat_format": OP7_SQL, "op8_decontaminate": OP8_SQL}
