@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recollect.llm import byte_bpe, chat_format, decontaminate, mpegts, token_counts
+from recollect.llm import byte_bpe, chat_format, decontaminate, language, mpegts, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,18 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encoded(_table(spark, sf_dir, "documents"), rank_file(), outputs=["n_tokens", "ids_sha256", "decoded_sha256"])
 
 
+def remainder(column: str, modulus: int):
+    """crc32 of a value as text, modulo a number: the folds of the learned operators."""
+    return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 5) == 0
+    model = language.train(docs.where(~held_out))
+    return language.identified(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = chat_format.preference_pairs(chat_format.neighbours(_table(spark, sf_dir, "conversations")))
     mask = lambda side: F.array_join(F.transform(f"{side}_mask", lambda s: F.concat_ws("-", s.cast("array<string>"))), ",").alias(f"{side}_mask")
@@ -90,5 +102,5 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_byte_bpe": op2_byte_bpe, "op7_chat_format": op7_chat_format, "op8_decontaminate": op8_decontaminate, "op9_mpegts": op9_mpegts, "op10_token_counts": op10_token_counts}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_byte_bpe": op2_byte_bpe, "op6_language": op6_language, "op7_chat_format": op7_chat_format, "op8_decontaminate": op8_decontaminate, "op9_mpegts": op9_mpegts, "op10_token_counts": op10_token_counts}
 SQL: dict[str, str] = {"op7_chat_format": OP7_SQL, "op8_decontaminate": OP8_SQL}
