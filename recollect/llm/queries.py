@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recollect.llm import byte_bpe, chat_format, decontaminate, language, mpegts, token_counts
+from recollect.llm import byte_bpe, chat_format, decontaminate, language, mpegts, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,20 @@ def remainder(column: str, modulus: int):
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.FactorizationMachine:
+    """Fitted without the held-out fold."""
+    labels = _table(spark, sf_dir, "labels").where(remainder("doc_id", 4) != 2)
+    return toxicity.train(_table(spark, sf_dir, "documents"), labels)
+
+
+TOXIC_FROM = 0.3
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = toxicity.scored(_table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    return scores.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = remainder("doc_id", 5) == 0
@@ -102,5 +116,5 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_byte_bpe": op2_byte_bpe, "op6_language": op6_language, "op7_chat_format": op7_chat_format, "op8_decontaminate": op8_decontaminate, "op9_mpegts": op9_mpegts, "op10_token_counts": op10_token_counts}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_byte_bpe": op2_byte_bpe, "op3_toxicity": op3_toxicity, "op6_language": op6_language, "op7_chat_format": op7_chat_format, "op8_decontaminate": op8_decontaminate, "op9_mpegts": op9_mpegts, "op10_token_counts": op10_token_counts}
 SQL: dict[str, str] = {"op7_chat_format": OP7_SQL, "op8_decontaminate": OP8_SQL}
