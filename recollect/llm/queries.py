@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recollect.llm import byte_bpe, chat_format, decontaminate, language, mpegts, token_counts, toxicity
+from recollect.llm import byte_bpe, chat_format, decontaminate, language, mpegts, token_counts, toxicity, window_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,22 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
 
 
+def op4_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = window_dedup.without_repeats(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", decontaminate.hit_words(F.col("removed")).alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+v AS (SELECT doc_id, p, array_to_string(w[p : p + 19], ' ') AS s FROM d, unnest(range(1, greatest(0, len(w) - 19) + 1)) AS t(p)),
+r AS (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS n FROM v),
+g AS (SELECT DISTINCT doc_id, q FROM r, unnest(range(p, p + 20)) AS t(q) WHERE n > 1),
+a AS (SELECT doc_id, q, w[q] AS x FROM d, unnest(range(1, len(w) + 1)) AS t(q)),
+k AS (SELECT a.doc_id, count(g.q) AS n_removed, string_agg(x, ' ' ORDER BY a.q) FILTER (g.q IS NULL) AS kept FROM a LEFT JOIN g ON a.doc_id = g.doc_id AND a.q = g.q GROUP BY a.doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = remainder("doc_id", 5) == 0
@@ -116,5 +132,5 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_byte_bpe": op2_byte_bpe, "op3_toxicity": op3_toxicity, "op6_language": op6_language, "op7_chat_format": op7_chat_format, "op8_decontaminate": op8_decontaminate, "op9_mpegts": op9_mpegts, "op10_token_counts": op10_token_counts}
-SQL: dict[str, str] = {"op7_chat_format": OP7_SQL, "op8_decontaminate": OP8_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_byte_bpe": op2_byte_bpe, "op3_toxicity": op3_toxicity, "op4_window_dedup": op4_window_dedup, "op6_language": op6_language, "op7_chat_format": op7_chat_format, "op8_decontaminate": op8_decontaminate, "op9_mpegts": op9_mpegts, "op10_token_counts": op10_token_counts}
+SQL: dict[str, str] = {"op4_window_dedup": OP4_SQL, "op7_chat_format": OP7_SQL, "op8_decontaminate": OP8_SQL}
