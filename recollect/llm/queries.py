@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recollect.llm import byte_bpe, chat_format, decontaminate, language, mpegts, token_counts, toxicity, window_dedup
+from recollect.llm import byte_bpe, chat_format, decontaminate, jaccard_join, language, mpegts, token_counts, toxicity, window_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,23 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encoded(_table(spark, sf_dir, "documents"), rank_file(), outputs=["n_tokens", "ids_sha256", "decoded_sha256"])
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_groups(_table(spark, sf_dir, "documents"))
+
+
+OP1_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, hash(array_to_string(w[p : p + 4], ' ')) AS h FROM d, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS t(p) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s AS a JOIN s AS b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM c JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS v, doc_id AS u FROM n UNION SELECT r.v, e.b FROM r JOIN e ON r.u = e.a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(g.g, d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT v, min(u) AS g FROM r GROUP BY v) AS g ON g.v = d.doc_id
+"""
+
+
 def remainder(column: str, modulus: int):
     """crc32 of a value as text, modulo a number: the folds of the learned operators."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))
@@ -132,5 +149,5 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_byte_bpe": op2_byte_bpe, "op3_toxicity": op3_toxicity, "op4_window_dedup": op4_window_dedup, "op6_language": op6_language, "op7_chat_format": op7_chat_format, "op8_decontaminate": op8_decontaminate, "op9_mpegts": op9_mpegts, "op10_token_counts": op10_token_counts}
-SQL: dict[str, str] = {"op4_window_dedup": OP4_SQL, "op7_chat_format": OP7_SQL, "op8_decontaminate": OP8_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_jaccard_join": op1_jaccard_join, "op2_byte_bpe": op2_byte_bpe, "op3_toxicity": op3_toxicity, "op4_window_dedup": op4_window_dedup, "op6_language": op6_language, "op7_chat_format": op7_chat_format, "op8_decontaminate": op8_decontaminate, "op9_mpegts": op9_mpegts, "op10_token_counts": op10_token_counts}
+SQL: dict[str, str] = {"op1_jaccard_join": OP1_SQL, "op4_window_dedup": OP4_SQL, "op7_chat_format": OP7_SQL, "op8_decontaminate": OP8_SQL}
