@@ -200,12 +200,17 @@ class BytePairCodec:
 _codecs: dict[str, BytePairCodec] = {}
 
 
+def _codec(token: str, shared) -> BytePairCodec:
+    """The worker's codec, built once."""
+    if token not in _codecs:
+        _codecs.clear()
+        _codecs[token] = BytePairCodec(shared.value)
+    return _codecs[token]
+
+
 def _coder(shared, token: str, outputs: list[str], encode: bool):
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if token not in _codecs:
-            _codecs.clear()
-            _codecs[token] = BytePairCodec(shared.value)
-        codec = _codecs[token]
+        codec = _codec(token, shared)
         types = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded": pa.binary(), "decoded_sha256": pa.string()}
 
         def texts() -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:

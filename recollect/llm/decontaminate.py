@@ -149,14 +149,19 @@ _built: dict[tuple, SuffixAutomaton] = {}
 RESULT = "n_words bigint, spans array<array<bigint>>, items array<string>"
 
 
+def _automaton(token: str, shared, window: int) -> SuffixAutomaton:
+    """The worker's automaton, built once."""
+    if token not in _built:
+        _built.clear()
+        _built[token] = SuffixAutomaton([(i, normal_words(t)) for i, t in shared.value], window)
+    return _built[token]
+
+
 def _scanner(shared, window: int, token: str):
     """Scans the first column of each batch and passes the others on."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if token not in _built:
-            _built.clear()
-            _built[token] = SuffixAutomaton([(i, normal_words(t)) for i, t in shared.value], window)
-        automaton = _built[token]
+        automaton = _automaton(token, shared, window)
         for batch in batches:
             n_words, found = [], []
             for text in batch.column(0):

@@ -181,6 +181,14 @@ def train(rows: DataFrame, *, text: str = "text", lang: str = "lang", words: int
 _models: dict[str, LanguageModel] = {}
 
 
+def _model(token: str, shared) -> LanguageModel:
+    """The worker's model, read once."""
+    if token not in _models:
+        _models.clear()
+        _models[token] = LanguageModel(*shared.value)
+    return _models[token]
+
+
 def identified(df: DataFrame, model: LanguageModel, *, text: str = "text", carry: Sequence[str] = ("doc_id",)) -> DataFrame:
     """The carried columns, lang_pred and score."""
     if clash := set(carry) & {"lang_pred", "score"}:
@@ -189,10 +197,7 @@ def identified(df: DataFrame, model: LanguageModel, *, text: str = "text", carry
     shared, token = df.sparkSession.sparkContext.broadcast((model.langs, model.tables)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if token not in _models:
-            _models.clear()
-            _models[token] = LanguageModel(*shared.value)
-        m = _models[token]
+        m = _model(token, shared)
         for rows, buf, offs in pieces(batches, "_text"):
             total, letter = m.score(buf, offs)
             if m.langs:

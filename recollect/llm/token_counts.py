@@ -132,13 +132,19 @@ class UnigramCounter:
 _counters: dict[str, UnigramCounter] = {}
 
 
+def _unigrams(token: str, shared) -> UnigramCounter:
+    """The worker's counter, built once."""
+    if token not in _counters:
+        _counters.clear()
+        _counters[token] = UnigramCounter(shared.value)
+    return _counters[token]
+
+
 def _counter(shared, token: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if token not in _counters:
-            _counters.clear()
-            _counters[token] = UnigramCounter(shared.value)
+        counter = _unigrams(token, shared)
         for rows, buf, offs in pieces(batches, "_text"):
-            found = [pa.array(x) for x in _counters[token].count(buf, offs)]
+            found = [pa.array(x) for x in counter.count(buf, offs)]
             yield pa.RecordBatch.from_arrays(rows.columns[1:] + found, names=rows.schema.names[1:] + ["n_pretokens", "n_tokens"])
 
     return count

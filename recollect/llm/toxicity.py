@@ -158,6 +158,14 @@ def train(documents: DataFrame, labels: DataFrame, *, key: str = "doc_id", text:
 _models: dict[str, FactorizationMachine] = {}
 
 
+def _model(token: str, shared) -> FactorizationMachine:
+    """The worker's model, read once."""
+    if token not in _models:
+        _models.clear()
+        _models[token] = FactorizationMachine(*shared.value)
+    return _models[token]
+
+
 def scored(df: DataFrame, model: FactorizationMachine, *, text: str = "text", carry: Sequence[str] = ("doc_id",), name: str = "score") -> DataFrame:
     """The carried columns (they may include the text) and the probability that a text is toxic."""
     if name in carry:
@@ -166,11 +174,9 @@ def scored(df: DataFrame, model: FactorizationMachine, *, text: str = "text", ca
     shared, token = df.sparkSession.sparkContext.broadcast((model.bias, model.rows, model.weights, model.factors)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if token not in _models:
-            _models.clear()
-            _models[token] = FactorizationMachine(*shared.value)
+        model_ = _model(token, shared)
         for rows, buf, offs in pieces(batches, "_text"):
-            score = sigmoid(_models[token].logits(*terms(buf, offs), rows.num_rows))
+            score = sigmoid(model_.logits(*terms(buf, offs), rows.num_rows))
             yield pa.RecordBatch.from_arrays(rows.columns[1:] + [pa.array(score)], names=rows.schema.names[1:] + [name])
 
     rows = df.select(F.col(text).alias("_text"), *(F.col(c).alias(f"_{k}") for k, c in enumerate(carry)))
