@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recollect.llm import byte_bpe, chat_format, decontaminate, jaccard_join, language, mpegts, token_counts, toxicity, window_dedup
+from recollect.llm import byte_bpe, chat_format, decontaminate, jaccard_join, language, mpegts, suffix_dedup, token_counts, toxicity, window_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,11 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS
 """
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.without_repeats(_table(spark, sf_dir, "documents"), keep="none")
+    return kept.select("doc_id", "n_bytes", decontaminate.hit_words(F.col("removed")).alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = remainder("doc_id", 5) == 0
@@ -149,5 +154,5 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_jaccard_join": op1_jaccard_join, "op2_byte_bpe": op2_byte_bpe, "op3_toxicity": op3_toxicity, "op4_window_dedup": op4_window_dedup, "op6_language": op6_language, "op7_chat_format": op7_chat_format, "op8_decontaminate": op8_decontaminate, "op9_mpegts": op9_mpegts, "op10_token_counts": op10_token_counts}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_jaccard_join": op1_jaccard_join, "op2_byte_bpe": op2_byte_bpe, "op3_toxicity": op3_toxicity, "op4_window_dedup": op4_window_dedup, "op5_suffix_dedup": op5_suffix_dedup, "op6_language": op6_language, "op7_chat_format": op7_chat_format, "op8_decontaminate": op8_decontaminate, "op9_mpegts": op9_mpegts, "op10_token_counts": op10_token_counts}
 SQL: dict[str, str] = {"op1_jaccard_join": OP1_SQL, "op4_window_dedup": OP4_SQL, "op7_chat_format": OP7_SQL, "op8_decontaminate": OP8_SQL}
