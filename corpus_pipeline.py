@@ -5,18 +5,55 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recollect.llm import decontaminate
+from recollect.llm import byte_bpe, decontaminate, jaccard_join, suffix_dedup, toxicity
+from recollect.llm.queries import TOXIC_FROM, rank_file, toxicity_model
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents of which benchmark windows cover a twentieth or more."""
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold; the model learns from the labelled documents of sf_dir."""
+    name = "score"
+    while name in docs.columns:
+        name += "_"
+    scores = toxicity.scored(docs, toxicity_model(spark, sf_dir), carry=docs.columns, name=name)
+    return scores.where(F.col(name) < TOXIC_FROM).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of similar documents the one with the least id; rows without an id stay."""
+    groups = jaccard_join.similar_groups(docs)
+    copies = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("copy"))
+    return docs.join(copies, docs["doc_id"] == copies["copy"], "left_anti")
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of byte strings of 400 or more go from the texts; n_chars follows."""
+    renamed = docs.select(*(F.col(c).alias(f"own_{c}") for c in docs.columns), F.col("text").isNotNull().alias("has_text"))
+    kept = suffix_dedup.without_repeats(renamed, key="own_doc_id", text="own_text", keep="first", as_text=True, carry=[c for c in renamed.columns if c != "own_text"])
+    text = F.when(F.col("has_text"), F.col("kept"))
+    changed = {"text": text, "n_chars": F.when(F.size("removed") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("own_n_chars"))} if "n_chars" in docs.columns else {"text": text}
+    return kept.select(*(changed.get(c, F.col(f"own_{c}")).alias(c) for c in docs.columns))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which benchmark windows cover less than a twentieth."""
     return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("benchmark_decontamination", benchmark_decontamination),
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, with what is known of the document."""
+    return byte_bpe.encoded(docs, rank_file(), carry=["doc_id", "lang", "source"], outputs=["ids", "n_tokens"])
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("jaccard_join", drop_near_duplicates),
+    ("suffix_dedup", cut_repeats),
+    ("decontaminate", drop_contaminated),
+    ("byte_bpe", encode),
 ]
 
 #: The first stage's learned scores have no SQL form.

@@ -331,7 +331,7 @@ def _matched(length: int, keep: str, keys: list[int]):
     return matched
 
 
-def _remover():
+def _remover(as_text: bool):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offs = text_buffer(batch.column(0))
@@ -351,8 +351,9 @@ def _remover():
                     at = hi
                 sizes.append(len(text))
                 removed.append(runs)
-                kept.append(b"".join([*parts, text[at:]]))
-            arrays = [pa.array(sizes, pa.int64()), pa.array(removed, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary())]
+                left = b"".join([*parts, text[at:]])
+                kept.append(left.decode("utf-8", "ignore") if as_text else left)
+            arrays = [pa.array(sizes, pa.int64()), pa.array(removed, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.string() if as_text else pa.binary())]
             yield pa.RecordBatch.from_arrays(batch.columns[2:] + arrays, names=batch.schema.names[2:] + ["n_bytes", "removed", "kept"])
 
     return remove
@@ -377,15 +378,16 @@ def repeated_spans(df: DataFrame, *, key: str = "doc_id", text: str = "text", le
     return found.mapInArrow(_told, "_document bigint, _spans binary, _asks binary").select("_document", "_spans")
 
 
-def without_repeats(df: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH, keep: str = "first", most: int = GROUP_CONTEXTS, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
+def without_repeats(df: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH, keep: str = "first", most: int = GROUP_CONTEXTS, carry: Sequence[str] = ("doc_id",), as_text: bool = False) -> DataFrame:
     """The carried columns, n_bytes, removed (maximal byte runs [start, end)) and kept (the other bytes).
 
-    ``key`` is a whole number that identifies and orders the documents.
+    ``key`` is a whole number that identifies and orders the documents.  With ``as_text``
+    kept is a string, without characters of which only a part is left.
     """
     if clash := set(carry) & {"n_bytes", "removed", "kept"}:
         raise ValueError(f"carried columns are named like results: {sorted(clash)}")
     spans = repeated_spans(df, key=key, text=text, length=length, keep=keep, most=most)
     rows = df.select(F.col(text).alias("_text"), F.col(key).cast("bigint").alias("_key"), *(F.col(c).alias(f"_{k}") for k, c in enumerate(carry)))
     both = rows.join(spans.hint("shuffle_hash"), rows["_key"] == spans["_document"], "left").select("_text", "_spans", *(f"_{k}" for k in range(len(carry))))
-    schema = ", ".join([f"_{k} {rows.schema[f'_{k}'].dataType.simpleString()}" for k in range(len(carry))] + ["n_bytes bigint, removed array<array<bigint>>, kept binary"])
-    return both.mapInArrow(_remover(), schema).withColumnsRenamed({f"_{k}": c for k, c in enumerate(carry)})
+    schema = ", ".join([f"_{k} {rows.schema[f'_{k}'].dataType.simpleString()}" for k in range(len(carry))] + [f"n_bytes bigint, removed array<array<bigint>>, kept {'string' if as_text else 'binary'}"])
+    return both.mapInArrow(_remover(as_text), schema).withColumnsRenamed({f"_{k}": c for k, c in enumerate(carry)})
