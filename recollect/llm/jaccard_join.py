@@ -226,7 +226,7 @@ def document_sets(df: DataFrame, *, key: str, text: str, size: int, percent: int
     """key, n, same (class), shared (of candidates: shared shingles, rarest first), prefix."""
     spark = df.sparkSession
     ship(spark)
-    n = packed.partitions(spark)
+    n, _ = packed.partitions(spark)
     keys = packed.partition_keys(spark, n)
     rows = df.where(F.col(key).isNotNull()).select(F.col(text).alias("_text"), F.col(key).cast("bigint").alias("_key"))
     sent = packed.shuffled(rows.mapInArrow(_sender(size, keys), packed.PACKED), n)

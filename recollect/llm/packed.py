@@ -43,9 +43,13 @@ def unpack_sorted(cell: bytes) -> np.ndarray:
     return np.cumsum(from_planes(cell, np.uint64), dtype=np.uint64)
 
 
-def partitions(spark: SparkSession) -> int:
-    """Shuffle partitions for packed cells, which take more memory to unpack than rows."""
-    return 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+def partitions(spark: SparkSession) -> tuple[int, int]:
+    """Shuffle partitions for hashes, which take more memory to unpack than rows, and for what goes back to documents.
+
+    Every task of the first kind sends a cell to every one of the second, so those are fewer.
+    """
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return 3 * n, n
 
 
 def partition_keys(spark: SparkSession, n: int) -> list[int]:

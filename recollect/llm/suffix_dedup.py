@@ -125,7 +125,7 @@ def repeated_starts(contexts: Sequence[bytes], length: int, keep: str) -> list[l
     return found
 
 
-def _sender(length: int, keep: str, keys: list[int]):
+def _sender(length: int, keep: str, keys: list[int], back: list[int]):
     n = len(keys)
 
     def rows(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
@@ -138,7 +138,7 @@ def _sender(length: int, keep: str, keys: list[int]):
         multiple = np.zeros(len(g), np.uint8)
         multiple[start] = np.diff(np.append(start, len(g))) > 1
         whole = ~first | ((multiple > 0) & (keep == "none"))
-        out = span_rows(d[whole], s[whole], size[whole], keys)
+        out = span_rows(d[whole], s[whole], size[whole], back)
         d, s, size, g, c, multiple = (x[start] for x in (d, s, size, g, c, multiple))
         for slot, lo, hi in packed.runs_of(packed.slots(g, n)):
             out.append((keys[slot], RUNS, packed.pack_sorted(g[lo:hi]), packed.planes(c[lo:hi]), entry_cell(d[lo:hi], s[lo:hi], size[lo:hi], multiple[lo:hi])))
@@ -178,7 +178,7 @@ def span_rows(d: np.ndarray, s: np.ndarray, size: np.ndarray, keys: list[int]) -
 
 def _judge(keep: str, keys: list[int], most: int):
     """Equal contexts repeat whole; of different contexts of one anchor the bytes are asked for."""
-    n = len(keys)
+    n = len(keys)  # of the documents' partitions
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = packed.gathered(batches)
@@ -235,7 +235,7 @@ def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _, _ in found], pa.int64()), *([mine, none] if kind == SPANS else [none, mine])], names=["_document", "_spans", "_asks"])
 
 
-def _answer(length: int, keep: str, keys: list[int]):
+def _answer(length: int, keep: str, keys: list[int], back: list[int]):
     """Sends the asked contexts' bytes to their anchors' tasks, and the windows of large groups to their hashes' tasks."""
     n = len(keys)
 
@@ -249,7 +249,7 @@ def _answer(length: int, keep: str, keys: list[int]):
         multiple = np.zeros(len(h), np.uint8)
         multiple[start] = np.logical_or.reduceat(known > 0, start) | (np.diff(np.append(start, len(h))) > 1)
         gone = ~first | ((multiple > 0) & (keep == "none"))
-        out = span_rows(d[gone], s[gone], np.full(int(gone.sum()), length), keys)
+        out = span_rows(d[gone], s[gone], np.full(int(gone.sum()), length), back)
         h, d, s, multiple = (x[start] for x in (h, d, s, multiple))
         return out + [(keys[k], WINDOWS, packed.pack_sorted(h[lo:hi]), entry_cell(d[lo:hi], s[lo:hi], s[lo:hi] * 0 + length, multiple[lo:hi]), None) for k, lo, hi in packed.runs_of(packed.slots(h, n))]
 
@@ -263,7 +263,7 @@ def _answer(length: int, keep: str, keys: list[int]):
             for row, (document, spans, asks) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:4]), strict=True)):
                 if spans:
                     table = np.frombuffer(spans, np.int64).reshape(-1, 2)
-                    out += span_rows(np.full(len(table), document), table[:, 0], table[:, 1], keys)
+                    out += span_rows(np.full(len(table), document), table[:, 0], table[:, 1], back)
                 for g, s, size, flags in np.frombuffer(asks or b"", np.int64).reshape(-1, 4).tolist():
                     context = bytes(data[offs[row] + s : offs[row] + s + size])
                     g &= (1 << 64) - 1
@@ -367,14 +367,14 @@ def repeated_spans(df: DataFrame, *, key: str = "doc_id", text: str = "text", le
         raise ValueError("keep is first or none")
     spark = df.sparkSession
     ship(spark)
-    n = packed.partitions(spark)
-    keys = packed.partition_keys(spark, n)
+    n, n_back = packed.partitions(spark)
+    keys, back = packed.partition_keys(spark, n), packed.partition_keys(spark, n_back)
     rows = df.where(F.col(key).isNotNull()).select(F.col(text).alias("_text"), F.col(key).cast("bigint").alias("_key"))
-    sent = packed.shuffled(rows.mapInArrow(_sender(length, keep, keys), packed.PACKED), n)
-    told = packed.shuffled(sent.mapInArrow(_judge(keep, keys, most), packed.PACKED), n).mapInArrow(_told, "_document bigint, _spans binary, _asks binary")
+    sent = packed.shuffled(rows.mapInArrow(_sender(length, keep, keys, back), packed.PACKED), n)
+    told = packed.shuffled(sent.mapInArrow(_judge(keep, back, most), packed.PACKED), n_back).mapInArrow(_told, "_document bigint, _spans binary, _asks binary")
     both = rows.join(told.hint("shuffle_hash"), rows["_key"] == told["_document"]).select("_text", "_document", "_spans", "_asks")
-    asked = packed.shuffled(both.mapInArrow(_answer(length, keep, keys), packed.PACKED), n)
-    found = packed.shuffled(asked.mapInArrow(_matched(length, keep, keys), packed.PACKED), n)
+    asked = packed.shuffled(both.mapInArrow(_answer(length, keep, keys, back), packed.PACKED), n)
+    found = packed.shuffled(asked.mapInArrow(_matched(length, keep, back), packed.PACKED), n_back)
     return found.mapInArrow(_told, "_document bigint, _spans binary, _asks binary").select("_document", "_spans")
 
 

@@ -151,7 +151,7 @@ def later_windows(df: DataFrame, *, key: str = "doc_id", text: str = "text", win
     """(_document, _later): the hashes of the windows that also occur in a smaller document."""
     spark = df.sparkSession
     ship(spark)
-    n = packed.partitions(spark)
+    n, _ = packed.partitions(spark)
     keys = packed.partition_keys(spark, n)
     rows = df.where(F.col(key).isNotNull()).select(F.col(text).alias("_text"), F.col(key).cast("bigint").alias("_key"))
     sent = packed.shuffled(rows.mapInArrow(_sender(window, keys), packed.PACKED), n)
