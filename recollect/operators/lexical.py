@@ -31,19 +31,21 @@ class Index:
     terms: DataFrame
 
 
-def term_counts(docs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """by, id, length, term, n"""
+def term_counts(docs: DataFrame, by: Sequence[str] = (), wanted: DataFrame | None = None) -> DataFrame:
+    """by, id, length, term, n; of the wanted terms where they are given"""
     said = docs.select(*by, "id", tokens("text").alias("_tokens"))
     said = said.select(*by, "id", F.size("_tokens").alias("length"), F.explode("_tokens").alias("term"))
+    if wanted is not None:
+        said = said.join(wanted.select("term"), "term", "left_semi")
     return said.groupBy(*by, "id", "length", "term").agg(F.count("*").alias("n"))
 
 
-def build_index(docs: DataFrame, by: Sequence[str] = ()) -> Index:
-    """docs: id, text and the columns of ``by``."""
+def build_index(docs: DataFrame, by: Sequence[str] = (), wanted: DataFrame | None = None) -> Index:
+    """docs: id, text and the columns of ``by``.  ``wanted`` (term) leaves other terms' postings out; the statistics are those of all."""
     by = list(by)
     lengths = docs.select(*by, "id", F.size(tokens("text")).cast("bigint").alias("length"))
     corpus = lengths.groupBy(*by).agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
-    counts = term_counts(docs, by).withColumn("tf", F.col("n").cast("double") / F.col("length")).drop("n")
+    counts = term_counts(docs, by, wanted).withColumn("tf", F.col("n").cast("double") / F.col("length")).drop("n")
     df = counts.groupBy(*by, "term").agg(F.count("*").alias("df"))
     # one row without `by`, else a row for each part
     terms = (df.join(corpus, by) if by else df.crossJoin(F.broadcast(corpus))).withColumn("idf", idf(F.col("n"), F.col("df")))
@@ -67,6 +69,12 @@ def bm25(queries: DataFrame, index: Index, k: int) -> DataFrame:
     return top_k(bm25_scores(queries, index).where("score > 0"), [*index.by, "query_id"], k)
 
 
+def search(queries: DataFrame, docs: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
+    """bm25 without a ready index: only postings of the queries' terms are made and shuffled."""
+    wanted = query_terms(queries).select("term").distinct()
+    return bm25(queries, build_index(docs, by, wanted), k)
+
+
 def max_weights(index: Index) -> DataFrame:
     """by, term, max_score: the most that a term adds to any document."""
     return index.postings.groupBy(*index.by, "term").agg(rounded(F.max("weight")).alias("max_score"))

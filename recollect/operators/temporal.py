@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from recollect.functions.constants import EARLY_STOP, MOST_BUCKETS, WEEK_MS
-from recollect.operators.lexical import bm25, build_index
+from recollect.operators.lexical import search
 from recollect.operators.ranking import top_k
 
 
@@ -26,8 +26,8 @@ def newest(records: DataFrame, most: int = MOST_BUCKETS) -> DataFrame:
 def candidates(queries: DataFrame, records: DataFrame, k: int, most: int = MOST_BUCKETS) -> DataFrame:
     """query_id, id, score, po: each of the newest buckets' k best.  records: id, text, bucket."""
     places = newest(records, most)
-    index = build_index(records.join(F.broadcast(places.select("bucket")), "bucket").select("id", "text", "bucket"), by=["bucket"])
-    return bm25(queries, index, k).drop("rank").join(F.broadcast(places.select("bucket", "po")), "bucket").select("query_id", "id", "score", "po")
+    near = records.join(F.broadcast(places.select("bucket")), "bucket").select("id", "text", "bucket")
+    return search(queries, near, k, by=["bucket"]).drop("rank").join(F.broadcast(places.select("bucket", "po")), "bucket").select("query_id", "id", "score", "po")
 
 
 def search_fixed(queries: DataFrame, records: DataFrame, k: int, most: int = MOST_BUCKETS) -> DataFrame:

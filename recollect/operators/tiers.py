@@ -11,7 +11,7 @@ from recollect.functions.text import overlap, preview, tokens
 from recollect.functions.vectors import normalised
 from recollect.operators.dense import knn
 from recollect.operators.fusion import rrf_scores
-from recollect.operators.lexical import bm25, build_index
+from recollect.operators.lexical import search
 from recollect.operators.ranking import last_rows, top_k
 
 
@@ -30,8 +30,8 @@ def search_working(queries: DataFrame, working: DataFrame, k: int) -> DataFrame:
 
 
 def _search(queries: DataFrame, entries: DataFrame, k: int, tier: str) -> DataFrame:
-    index = build_index(entries.select("id", F.col("content").alias("text")))
-    fused = rrf_scores(bm25(queries, index, 2 * k), knn(queries, entries, 2 * k)).join(entries.drop("embedding"), "id")
+    found = search(queries, entries.select("id", F.col("content").alias("text")), 2 * k)
+    fused = rrf_scores(found, knn(queries, entries, 2 * k)).join(entries.drop("embedding"), "id")
     weight = F.lit(TIER_WEIGHTS[tier])
     score = F.col("score") * weight * (1 + F.col("confidence") * 0.5) if tier == "semantic" else F.col("score") * weight
     found = fused.withColumn("score", rounded(score))

@@ -90,13 +90,13 @@ def maxscore_bounds(spark, d):
 
 @query
 def bm25_topk(spark, d):
-    return _hits(lexical.bm25(_asked(spark, d), _index(spark, d), TOP_K))
+    return _hits(lexical.search(_asked(spark, d), _docs(spark, d), TOP_K))
 
 
 @query
 def bm25_repeated_query_terms(spark, d):
     twice = _asked(spark, d).withColumn("text", F.concat_ws(" ", "text", F.substring_index("text", " ", 3)))
-    return _hits(lexical.bm25(twice, _index(spark, d), TOP_K))
+    return _hits(lexical.search(twice, _docs(spark, d), TOP_K))
 
 
 @query
@@ -137,7 +137,7 @@ def vector_add(spark, d):
 
 
 def _lists(spark, d, k=100):
-    return lexical.bm25(_asked(spark, d), _index(spark, d), k), dense.knn(tables.queries(spark, d), tables.documents(spark, d), k)
+    return lexical.search(_asked(spark, d), _docs(spark, d), k), dense.knn(tables.queries(spark, d), tables.documents(spark, d), k)
 
 
 @query
@@ -206,7 +206,7 @@ def _memory_queries(spark, d):
 def _memory_lists(spark, d):
     records = tables.memory_records(spark, d, embeddings=True)
     asked = _memory_queries(spark, d)
-    return asked, records, lexical.bm25(asked, lexical.build_index(records.select("id", F.col("content").alias("text"))), 100), dense.knn(asked, records, 100)
+    return asked, records, lexical.search(asked, records.select("id", F.col("content").alias("text")), 100), dense.knn(asked, records, 100)
 
 
 @query
@@ -401,14 +401,14 @@ def durations(spark, d):
 
 @query
 def kendall_tau(spark, d):
-    a = lexical.bm25(_asked(spark, d), _index(spark, d), 20)
+    a = lexical.search(_asked(spark, d), _docs(spark, d), 20)
     b = fusion.rrf(a, dense.knn(tables.queries(spark, d), tables.documents(spark, d), 20), top=20)
     return ranking.kendall_tau(a, b)
 
 
 @query
 def match_rate(spark, d):
-    a = lexical.bm25(_asked(spark, d), _index(spark, d), TOP_K)
+    a = lexical.search(_asked(spark, d), _docs(spark, d), TOP_K)
     b = fusion.rrf(a, dense.knn(tables.queries(spark, d), tables.documents(spark, d), TOP_K), top=TOP_K)
     return ranking.match_rates(a, b)
 

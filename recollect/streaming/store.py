@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from recollect.operators.lexical import bm25, build_index
+from recollect.operators.lexical import search
 
 RECORD = "session_id string, agent_id string, role string, ts_ms bigint, content string, importance double"
 
@@ -37,7 +37,7 @@ def snapshot(spark: SparkSession, store: str, *, schema: str = RECORD, rows_id:
 
 def retrieve(queries: DataFrame, visible: DataFrame, k: int, rows_id: str = "source_id") -> DataFrame:
     """BM25 over a snapshot: what still waits isn't found."""
-    return bm25(queries, build_index(visible.select(F.col(rows_id).alias("id"), F.col("content").alias("text"))), k)
+    return search(queries, visible.select(F.col(rows_id).alias("id"), F.col("content").alias("text")), k)
 
 
 def windowed_counts(events: DataFrame, time: str = "ts", width: str = "7 days", late: str = "1 day") -> DataFrame:
