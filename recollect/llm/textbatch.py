@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text worked on at once in a task (a single longer document is one piece).
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(0x5EED))
