@@ -76,7 +76,8 @@ def anchored_runs(buf: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.nd
     last = np.append(first[1:], len(start)) - 1
     lo, hi = start[first], start[last] + length
     context = mix(span_hashes(sums, lo, hi) + (anchor[first] - lo).astype(np.uint64))
-    return doc[first], lo - offs[doc[first]], hi - lo, g[anchor[first]], context
+    # anchors have the least hashes: mixed again they are spread over the whole range
+    return doc[first], lo - offs[doc[first]], hi - lo, mix(g[anchor[first]]), context
 
 
 def suffix_order(text: bytes, starts: Sequence[int], length: int) -> tuple[list[int], list[bool]]:
