@@ -229,8 +229,10 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame, *, key: str = "do
     """
     blocks = _blocks(benchmark, item, item_text, block_words)
     if len(blocks) == 1:
-        hits = _scanned(documents, text, documents.columns, blocks[0], window)
-        return hits.where(~is_contaminated(hit_words(F.col("spans")), F.col("n_words"))).select(documents.columns)
+        names = {f"own_{k}": c for k, c in enumerate(documents.columns)}
+        own = documents.select(*(F.col(c).alias(k) for k, c in names.items()), F.col(text).alias("text_to_scan"))
+        hits = _scanned(own, "text_to_scan", list(names), blocks[0], window)
+        return hits.where(~is_contaminated(hit_words(F.col("spans")), F.col("n_words"))).select(*(F.col(k).alias(c) for k, c in names.items()))
     hits = benchmark_hits(documents, benchmark, key=key, text=text, item=item, item_text=item_text, window=window, block_words=block_words)
     bad = hits.where(is_contaminated(hit_words(F.col("spans")), F.col("n_words"))).select(F.col(key).alias("_bad")).distinct()
     return documents.join(bad, documents[key] == bad["_bad"], "left_anti")
