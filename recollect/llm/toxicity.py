@@ -126,7 +126,7 @@ def fit(doc: np.ndarray, bucket: np.ndarray, label: np.ndarray, *, seed: int = 7
             dv = np.stack([np.bincount(r, slope[:, k], len(w)) for k in range(FACTORS)], 1) + SHRINK_FACTORS * v * (dw != 0)[:, None]
             gw, gv, gb = gw + dw**2, gv + dv**2, gb + error.sum() ** 2
             w -= RATE * dw / np.sqrt(gw)
-            v -= RATE / 2 * dv / np.sqrt(gv)
+            v -= RATE * dv / np.sqrt(gv)
             bias -= RATE * error.sum() / gb**0.5
     w[-1], v[-1] = 0, 0
     return FactorizationMachine(bias, rows, w, v)
