@@ -40,7 +40,7 @@ def _windows(buf: np.ndarray, offs: np.ndarray, window: int) -> tuple[np.ndarray
     return doc, at, h[at], np.searchsorted(doc, np.arange(len(offs)))
 
 
-def _sender(window: int, keys: list[int]):
+def _sender(window: int, keys: list[int], back: list[int]):
     n = len(keys)
 
     def rows(h: np.ndarray, d: np.ndarray) -> list[tuple]:
@@ -52,7 +52,7 @@ def _sender(window: int, keys: list[int]):
         first = np.ones(len(h), bool)
         first[1:] = h[1:] != h[:-1]
         out = [(keys[s], HASHES, packed.pack_sorted(h[first][lo:hi]), packed.planes(d[first][lo:hi]), None) for s, lo, hi in packed.runs_of(packed.slots(h[first], n))]
-        return out + later_rows(h[~first], d[~first], keys)
+        return out + later_rows(h[~first], d[~first], back)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -151,11 +151,11 @@ def later_windows(df: DataFrame, *, key: str = "doc_id", text: str = "text", win
     """(_document, _later): the hashes of the windows that also occur in a smaller document."""
     spark = df.sparkSession
     ship(spark)
-    n, _ = packed.partitions(spark)
-    keys = packed.partition_keys(spark, n)
+    n, n_back = packed.partitions(spark)
+    keys, back = packed.partition_keys(spark, n), packed.partition_keys(spark, n_back)
     rows = df.where(F.col(key).isNotNull()).select(F.col(text).alias("_text"), F.col(key).cast("bigint").alias("_key"))
-    sent = packed.shuffled(rows.mapInArrow(_sender(window, keys), packed.PACKED), n)
-    told = packed.shuffled(sent.mapInArrow(_judge(keys), packed.PACKED), n)
+    sent = packed.shuffled(rows.mapInArrow(_sender(window, keys, back), packed.PACKED), n)
+    told = packed.shuffled(sent.mapInArrow(_judge(back), packed.PACKED), n_back)
     return told.mapInArrow(_by_document, "_document bigint, _later binary")
 
 
