@@ -70,7 +70,7 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarr
     return d[new], h[new]
 
 
-def _sender(size: int, keys: list[int]):
+def _sender(size: int, keys: list[int], back: list[int]):
     """Shingles of one document in a task go as (hash, document); of more, as (hash, count) and a list that waits for the count."""
     n = len(keys)
 
@@ -86,7 +86,7 @@ def _sender(size: int, keys: list[int]):
             place = task.to_bytes(8, "big")
             out += [(keys[s], MANY, packed.pack_sorted(h[more][lo:hi]), packed.planes(times[lo:hi].astype(np.uint32)), place) for s, lo, hi in packed.runs_of(packed.slots(h[more], n))]
             holders = d[ragged(more, times)]
-            out.append((keys[task % n], HOLDERS, packed.pack_sorted(h[more]), packed.planes(times.astype(np.uint32)) + packed.planes(holders), place))
+            out.append((back[task % len(back)], HOLDERS, packed.pack_sorted(h[more]), packed.planes(times.astype(np.uint32)) + packed.planes(holders), place))
         return out
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +109,7 @@ def _sender(size: int, keys: list[int]):
                 sums[1, d[first]] = np.add.reduceat(mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), first)
             same = mix(sums[0] ^ mix(sums[1] + n_own.astype(np.uint64)))
             cells = packed.planes(key), packed.planes(n_own.astype(np.int64)), packed.planes(same)
-            yield packed.packed_batch([(keys[int(key[0]) % n], DOCUMENT, *cells)])
+            yield packed.packed_batch([(back[int(key[0]) % len(back)], DOCUMENT, *cells)])
             held.append((key[d], h))
             have += len(h)
             if have >= packed.GATHERED:
@@ -226,11 +226,11 @@ def document_sets(df: DataFrame, *, key: str, text: str, size: int, percent: int
     """key, n, same (class), shared (of candidates: shared shingles, rarest first), prefix."""
     spark = df.sparkSession
     ship(spark)
-    n, _ = packed.partitions(spark)
-    keys = packed.partition_keys(spark, n)
+    n, n_back = packed.partitions(spark)
+    keys, back = packed.partition_keys(spark, n), packed.partition_keys(spark, n_back)
     rows = df.where(F.col(key).isNotNull()).select(F.col(text).alias("_text"), F.col(key).cast("bigint").alias("_key"))
-    sent = packed.shuffled(rows.mapInArrow(_sender(size, keys), packed.PACKED), n)
-    told = packed.shuffled(sent.mapInArrow(_count(keys), packed.PACKED), n)
+    sent = packed.shuffled(rows.mapInArrow(_sender(size, keys, back), packed.PACKED), n)
+    told = packed.shuffled(sent.mapInArrow(_count(back), packed.PACKED), n_back)
     parts = told.mapInArrow(_by_document, SETS)
     whole = parts.groupBy("key").agg(F.max("n").alias("n"), F.max("same").alias("same"), F.collect_list("shared").alias("shared"), F.collect_list("df").alias("df"))
     return whole.mapInArrow(_ordered(percent), "key bigint, n bigint, same bigint, shared binary, prefix bigint")
