@@ -36,6 +36,8 @@ LONGEST = 5
 MODEL_WORDS, MODEL_GRAMS = 50_000, 20_000
 #: Counts that a task gathers before it hands them on.
 GATHERED = 1_000_000
+#: The best of a language are found in so many parts before the last comparison.
+FINAL_SALTS = 8
 
 
 def _character_words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -160,9 +162,11 @@ def train(rows: DataFrame, *, text: str = "text", lang: str = "lang", words: int
     ship(rows.sparkSession)
     parts = rows.where(F.col(lang).isNotNull()).select(F.col(text).alias("_text"), F.col(lang).alias("_lang")).mapInArrow(_counts, "kind int, lang string, hash bigint, n bigint")
     counts = parts.groupBy("kind", "lang", "hash").agg(F.sum("n").alias("n"))
-    best = Window.partitionBy("kind", "lang").orderBy(F.desc("n"), "hash")
     most = F.when(F.col("kind") == 0, words).otherwise(grams)
-    kept = counts.withColumn("place", F.row_number().over(best)).where(F.col("place") <= max(words, grams)).where(F.col("place") <= most)
+    kept = counts
+    for salts in (int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), FINAL_SALTS, 1):  # a language may have most of the words
+        best = Window.partitionBy("kind", "lang", F.pmod("hash", F.lit(salts))).orderBy(F.desc("n"), "hash")
+        kept = kept.withColumn("place", F.row_number().over(best)).where(F.col("place") <= max(words, grams)).where(F.col("place") <= most).drop("place")
     found = kept.select("kind", "lang", "hash", "n").toArrow()
     langs = sorted(set(found.column("lang").to_pylist()))
     kind, hashes, n = (found.column(c).to_numpy() for c in ("kind", "hash", "n"))
