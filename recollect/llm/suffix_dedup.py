@@ -126,15 +126,23 @@ def repeated_starts(contexts: Sequence[bytes], length: int, keep: str) -> list[l
     return found
 
 
+def differs(*columns: np.ndarray) -> np.ndarray:
+    """Of sorted entries, which differ from the one before them in any of the columns."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in columns])
+    return out
+
+
 def _sender(length: int, keep: str, keys: list[int], back: list[int]):
     n = len(keys)
 
     def rows(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         d, s, size, g, c = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((s, d, c, g))
+        # rows that repeat a whole document stand at the same place: they aren't copies of each other
+        order = order[differs(g[order], c[order], d[order], s[order])]
         d, s, size, g, c = (x[order] for x in (d, s, size, g, c))
-        first = np.ones(len(g), bool)
-        first[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
+        first = differs(g, c)
         start = np.flatnonzero(first)
         multiple = np.zeros(len(g), np.uint8)
         multiple[start] = np.diff(np.append(start, len(g))) > 1
@@ -191,12 +199,9 @@ def _judge(keep: str, keys: list[int], most: int):
             d, s, size, multiple = (np.concatenate(x) for x in zip(*(from_entry_cell(x) for _, _, x in held), strict=True))
             order = np.lexsort((s, d, c, g))
             d, s, size, g, c, multiple = (x[order] for x in (d, s, size, g, c, multiple))
-            first = np.ones(len(g), bool)
-            first[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
+            first = differs(g, c)
             start = np.flatnonzero(first)
-            # rows that repeat a whole document stand at the same place: they aren't copies of each other
-            elsewhere = np.zeros(len(g), bool)
-            elsewhere[1:] = ~first[1:] & ((d[1:] != d[:-1]) | (s[1:] != s[:-1]))
+            elsewhere = ~first & differs(d, s)  # not the same place, read by two tasks
             known = np.logical_or.reduceat((multiple > 0) | elsewhere, start)
             whole = elsewhere.copy()
             if keep == "none":
@@ -243,9 +248,9 @@ def _answer(length: int, keep: str, keys: list[int], back: list[int]):
     def window_rows(held: list[tuple[np.ndarray, ...]]) -> list[tuple]:
         h, d, s, known = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((s, d, h))
+        order = order[differs(h[order], d[order], s[order])]
         h, d, s, known = (x[order] for x in (h, d, s, known))
-        first = np.ones(len(h), bool)
-        first[1:] = h[1:] != h[:-1]
+        first = differs(h)
         start = np.flatnonzero(first)
         multiple = np.zeros(len(h), np.uint8)
         multiple[start] = np.logical_or.reduceat(known > 0, start) | (np.diff(np.append(start, len(h))) > 1)
@@ -297,7 +302,7 @@ def _matched(length: int, keep: str, keys: list[int]):
                 groups[g].append((document, s, known, context))
         found: list[tuple[int, int]] = []
         for members in groups.values():
-            members.sort(key=lambda m: m[:2])
+            members = sorted({m[:2]: m for m in members}.values())  # repeated rows answer alike
             for (document, s, known, _), starts in zip(members, repeated_starts([m[3] for m in members], length, keep), strict=True):
                 if not (known and keep == "none"):
                     found += [(document, s + x) for x in starts]
@@ -308,13 +313,11 @@ def _matched(length: int, keep: str, keys: list[int]):
             d, s, _, multiple = (np.concatenate(x) for x in zip(*(from_entry_cell(b) for _, b, _ in held), strict=True))
             order = np.lexsort((s, d, h))
             h, d, s, multiple = (x[order] for x in (h, d, s, multiple))
-            first = np.ones(len(h), bool)
-            first[1:] = h[1:] != h[:-1]
+            first = differs(h)
             start = np.flatnonzero(first)
-            count = np.diff(np.append(start, len(h)))
-            gone = ~first
+            gone = ~first & differs(d, s)
             if keep == "none":
-                gone |= np.repeat((count > 1) | np.logical_or.reduceat(multiple > 0, start), count)
+                gone |= np.repeat(np.logical_or.reduceat((multiple > 0) | gone, start), np.diff(np.append(start, len(h))))
             yield packed.packed_batch(window_spans(d[gone], s[gone]))
 
     def window_spans(d: np.ndarray, s: np.ndarray) -> list[tuple]:

@@ -72,6 +72,26 @@ def test_special_tables(spark):
         without_repeats(df, carry=["kept"])
 
 
+@pytest.mark.parametrize("keep", ["none", "first"])
+@pytest.mark.parametrize("most", [500, 2])
+@pytest.mark.parametrize("tasks", [1, 5])
+def test_repeated_rows_are_one_document(spark, keep, most, tasks):
+    once = [(i * 7 % 997, t) for i, t in enumerate(corpus(most + 1, 30))]
+    r = random.Random(5)
+    alone = "".join(r.choices("hijkl ", k=300))
+    common = "".join(r.choices("mnopq ", k=200))
+    # one anchor of several contexts: the ends of what follows and precedes a common string differ
+    once += [(2000, alone), *((2001 + k, "".join(r.choices("rstu ", k=100)) + common + "".join(r.choices("rstu ", k=100))) for k in range(4))]
+    rows = once * 2 + once[-3:]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df = df.coalesce(1) if tasks == 1 else df.repartition(tasks)
+    want = brute(once, LENGTH, keep)
+    got = [(x["doc_id"], (x["n_bytes"], [tuple(y) for y in x["removed"]], bytes(x["kept"]))) for x in without_repeats(df, length=LENGTH, keep=keep, most=most).collect()]
+    assert sorted(i for i, _ in got) == sorted(i for i, _ in rows)
+    assert [x for x in got if x[1] != want[x[0]]] == []
+    assert want[2000][1] == []
+
+
 def test_longest_previous_factors():
     r = random.Random(3)
     for _ in range(200):
