@@ -6,8 +6,9 @@ suffix of what has been read that occurs in some item.  When that length reaches
 window (13 words; all of a shorter item), the words behind are a hit.
 
 The automaton is sent to the executors only up to ``block_words`` item words; a larger
-benchmark is worked through in blocks of that size, each against all documents, and the
-hits of the blocks are united per document.
+benchmark is worked through in blocks of that size, each against all documents.  Hits
+depend on nothing but the text, so those of the blocks are united per text (by its SHA-256)
+and every row gets the hits of its text, whatever its id.
 
 Defined results: null or empty text has no words, no hits and is not contaminated; items
 that are null or without words are ignored; items that repeat (same id or same text) each
@@ -200,19 +201,38 @@ def _scanned(documents: DataFrame, text: str, carry: list[str], block: DataFrame
     return out.withColumnsRenamed({f"_{k}": c for k, c in enumerate(carry)})
 
 
-def benchmark_hits(documents: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per document: key, n_words, spans (hit word runs [start, end)), items (names).
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts the words of the first column and passes the others on."""
+    for batch in batches:
+        n_words = pa.array([len(normal_words(text.as_py())) for text in batch.column(0)], pa.int64())
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], n_words], names=[*batch.schema.names[1:], "n_words"])
 
-    With more than one block of items, ``key`` must identify a document.
-    """
-    found = [_scanned(documents, text, [key], b, window) for b in _blocks(benchmark, item, item_text, block_words)]
-    if len(found) == 1:
-        return found[0]
-    out = reduce(DataFrame.unionByName, found)
-    out = out.groupBy(key).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+def text_id(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
+
+
+def _text_hits(documents: DataFrame, text: str, blocks: list[DataFrame], window: int) -> DataFrame:
+    """text_id, n_words, spans, items of every text with hits, from several blocks of items."""
+    docs = documents.select(F.col(text).alias("text"), text_id(F.col(text)).alias("text_id"))
+    found = [_scanned(docs, "text", ["text_id"], b, window).where(F.size("spans") > 0) for b in blocks]
+    # sets: a text that many rows repeat leaves each task once
+    out = reduce(DataFrame.unionByName, found).groupBy("text_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     return out.withColumn("spans", united(F.col("spans")))
 
 
+def benchmark_hits(documents: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """One row per row of documents: key, n_words, spans (hit word runs [start, end)), items (names)."""
+    blocks = _blocks(benchmark, item, item_text, block_words)
+    if len(blocks) == 1:
+        return _scanned(documents, text, [key], blocks[0], window)
+    hits = _text_hits(documents, text, blocks, window).select(F.col("text_id").alias("_hit"), "spans", "items")
+    docs = documents.select(F.col(text).alias("_text"), F.col(key).alias("_key"), text_id(F.col(text)).alias("_id"))
+    rows = docs.mapInArrow(_counted, f"_key {docs.schema['_key'].dataType.simpleString()}, _id string, n_words bigint")
+    empty = {"spans": "array<array<bigint>>", "items": "array<string>"}
+    return rows.join(hits, rows["_id"] == hits["_hit"], "left").select(F.col("_key").alias(key), "n_words", *(F.coalesce(c, F.array().cast(kind)).alias(c) for c, kind in empty.items()))
+
+
 def hit_words(spans: Column) -> Column:
     return F.aggregate(spans, F.lit(0).cast("bigint"), lambda n, s: n + s[1] - s[0])
 
@@ -233,6 +253,6 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame, *, key: str = "do
         own = documents.select(*(F.col(c).alias(k) for k, c in names.items()), F.col(text).alias("text_to_scan"))
         hits = _scanned(own, "text_to_scan", list(names), blocks[0], window)
         return hits.where(~is_contaminated(hit_words(F.col("spans")), F.col("n_words"))).select(*(F.col(k).alias(c) for k, c in names.items()))
-    hits = benchmark_hits(documents, benchmark, key=key, text=text, item=item, item_text=item_text, window=window, block_words=block_words)
-    bad = hits.where(is_contaminated(hit_words(F.col("spans")), F.col("n_words"))).select(F.col(key).alias("_bad")).distinct()
-    return documents.join(bad, documents[key] == bad["_bad"], "left_anti")
+    hits = _text_hits(documents, text, blocks, window)
+    bad = hits.where(is_contaminated(hit_words(F.col("spans")), F.col("n_words"))).select(F.col("text_id").alias("_bad"))
+    return documents.join(bad, text_id(documents[text]) == bad["_bad"], "left_anti")

@@ -68,6 +68,28 @@ def test_blocks_and_special_rows(spark):
     assert {tuple(x["items"]) for x in benchmark_hits(df, bench.limit(0)).collect()} == {()}
 
 
+def test_null_and_repeated_ids_in_any_number_of_blocks(spark):
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    items = [(i, " ".join(r.choices(words, k=20))) for i in range(30)]
+    other = " ".join(r.choices("abcdef", k=30))
+    bad = [f"{items[i][1]} {items[i + 1][1]}" for i in range(3)]
+    docs = [(None, bad[0]), (None, bad[1] + " x"), (None, other), (None, None), (1, bad[2]), (1, bad[2]), (1, other), (2, other), (2, other), (3, None), (4, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda d: sorted(repr(tuple(x)) for x in d.collect())
+    named = [(str(i), normal_words(t)) for i, t in items]
+    want = []
+    for i, t in docs:
+        hit, names = brute(normal_words(t), named, 13)
+        want.append((i, len(hit), sum(hit), sorted(names)))
+    for size in (200_000, 100):
+        hits = benchmark_hits(df, bench, block_words=size)
+        assert hits.columns == ["doc_id", "n_words", "spans", "items"]
+        assert sorted(repr((x["doc_id"], x["n_words"], sum(b - a for a, b in x["spans"]), x["items"])) for x in hits.collect()) == sorted(map(repr, want))
+        assert rows(decontaminated(df, bench, block_words=size)) == sorted(repr(x) for x in docs if x[1] not in (bad[0], bad[1] + " x", bad[2]))
+
+
 def test_united(spark):
     df = spark.createDataFrame([([[5, 9], [0, 2], [8, 12], [2, 3]],), ([],)], "s array<array<bigint>>")
     assert [r[0] for r in df.select(united(F.col("s"))).collect()] == [[[0, 3], [5, 12]], []]
