@@ -23,10 +23,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the least id; rows without an id stay."""
+    """Of each group of similar documents the one with the least id; rows without an id stay.
+
+    Of rows that repeat a doc_id and its text one stays, with the least of the other columns.
+    """
     groups = jaccard_join.similar_groups(docs)
     copies = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("copy"))
-    return docs.join(copies, docs["doc_id"] == copies["copy"], "left_anti")
+    known = docs.where("doc_id is not null")
+    single = known.join(copies, known["doc_id"] == copies["copy"], "left_anti")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    once = single.groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0), *others)).alias("others"))
+    once = once.select(*(F.col(c) if c in ("doc_id", "text") else F.col("others")[c].alias(c) for c in docs.columns))
+    return once.unionByName(docs.where("doc_id is null"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,6 +31,17 @@ def test_stages_on_small_tables(spark, sf):
     assert last.count() == clean.count()
 
 
+def test_repeated_rows_leave_one(spark, sf):
+    stages = dict(corpus_pipeline.STAGES)
+    long = " ".join(f"word{i}" for i in range(120))
+    rows = [(1, long, "en", "b", 5), (1, long, "en", "a", 6), (1, long, "en", "a", 6), (2, long, "en", "a", 5), (3, None, "en", "a", 0), (3, None, "en", "a", 0), (4, "alone", None, "a", 5), (None, "no id", "en", "a", 5), (None, "no id", "en", "a", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    single = stages["jaccard_join"](spark, docs, sf)
+    assert single.columns == docs.columns
+    assert sorted(map(repr, map(tuple, single.collect()))) == sorted(map(repr, [rows[1], rows[4], *rows[6:]]))
+    assert {r["text"] for r in stages["suffix_dedup"](spark, single, sf).where("doc_id = 1").collect()} == {long}
+
+
 def test_run_with_odd_rows(spark, sf, tmp_path):
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "no id at all", "en", "s", 12), (3, "same words " * 100, "en", "s", 1100), (4, "same words " * 100, "fr", "s", 1100)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
