@@ -1,60 +1,69 @@
 """Suffix-array dedup of byte strings that repeat anywhere in a corpus.
 
 A string of ``length`` bytes holds ``length - GRAM + 1`` grams; its anchor is the first of
-those with the least hash.  Equal strings have equal anchors at equal places, so strings
-only need comparing with strings of the same anchor, and the corpus's suffixes fall apart
+those with the least hash.  Equal strings have equal anchors at equal places, so a suffix
+only needs comparing with suffixes of the same anchor, and the corpus's suffixes fall apart
 into independent groups:
 
-1. Tasks send one entry for every run of starts with one anchor: the gram's hash, a hash
-   of the run's bytes (its context), and where it is.  Equal contexts of one anchor repeat
-   as a whole; a context that many documents share leaves each task once.
-2. Only where an anchor has several different contexts are their bytes fetched.  Each
-   group's suffixes are sorted, and neighbours in suffix order tell which starts match
-   another one.  Longest-previous-factor values, from the previous and next smaller
-   position in suffix order, tell which match an earlier one.
-3. An anchor with more than ``GROUP_CONTEXTS`` different contexts, such as the edge of a
-   passage that very many documents quote, isn't gathered in one task: the hash of each of its
-   windows is counted instead, dealt over all tasks.
+1. Tasks cut every text into runs of starts with one anchor and send a row for each: the
+   gram's hash, a hash of the run's bytes (its context), and the place.  Contexts equal as
+   a whole are copies; the first stands for all of them, and later ones of one task leave
+   it as removals, so that no common context gathers in one place.
+2. Where an anchor has several different contexts, their bytes are fetched from the texts.
+   Each group's starts are put into suffix order (prefix tripling over ranks), with the
+   common prefix of neighbours.  Longest-previous-factor values, from the previous and the
+   next smaller position in that order, tell how long a match with an earlier place is;
+   the same with places in reverse gives the longest match with a later place.
+3. An anchor with more than ``most`` different contexts, such as the edge of a passage that
+   very many documents quote, must not be gathered in one task.  Its starts fall into finer
+   groups, one for each string of ``length`` bytes; Spark orders their places, and a place
+   after the first has a previous factor of that length.
 
 ``keep="first"`` removes copies that start later (a larger key, or later in the same
 document) and keeps the first; ``keep="none"`` removes every byte of a repeated string.
 Strings are judged on the input, overlaps count, and matches never cross documents.
+Equality of contexts (and of strings in 3) is that of two 64-bit hashes.
 
 Defined results: null counts as empty; a text shorter than ``length`` keeps everything;
-rows with a null key keep their text and count for no other; rows that repeat a key are
-one document if they repeat whole (its strings don't count as repeats of themselves);
-extra columns are ignored unless carried, whatever their names.
+rows with a null key keep their text and count for no other; rows that repeat whole (key
+and text) are one document, whose strings don't count as repeats of themselves; rows that
+share a key but not the text are different documents; a text of any length is read in
+segments; extra columns are ignored unless carried, whatever their names.
 """
 
 from __future__ import annotations
 
-import struct
-from collections import defaultdict
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from recollect.llm import packed
+from recollect.llm.shared import folder
 from recollect.llm.shipping import ship
 from recollect.llm.textbatch import byte_sums, mix, pieces, ragged, span_hashes, text_buffer
 
 LENGTH = 400
 GRAM = 64
-GROUP_CONTEXTS = 500
+#: Different contexts of an anchor that one task puts into suffix order.
+MOST = 2000
+#: Starts of one text that are worked on at once.
+SEGMENT = 1 << 22
+#: Rows that a task holds before it hands them on, and bytes of contexts put into order at once.
+HELD, CHUNK = 500_000, 1 << 20
 
-RUNS, SPANS, ASKS, CONTEXT, WINDOWS = range(5)
-#: Of an asked context: gram hash, document, start, whether it is known to repeat as a whole.
-ASK = "<QqqB"
+#: place: the text's version and the start; later: a copy of a context that comes earlier in the task; known: the context has copies.
+RUNS = "gram bigint, context bigint, key bigint, place bigint, size int, anchor int, later boolean, known boolean"
+CONTEXTS = "route bigint, gram bigint, key bigint, place bigint, known boolean, many boolean, context binary"
+SPANS = "key bigint, place bigint, size bigint"
 
 
 def anchored_runs(buf: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Runs of window starts with one anchor: document, first start, bytes (to the last window's end), gram hash, context hash."""
+    """Runs of starts with one anchor: document, first start, bytes (to the last string's end), the anchor's place in them, gram hash, context hash."""
     grams = length - GRAM + 1
     count = np.maximum(np.diff(offs) - length + 1, 0)
     if not count.sum():
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
     sums = byte_sums(buf)
     at = np.arange(len(buf) - GRAM + 1)
     g = span_hashes(sums, at, at + GRAM)
@@ -74,56 +83,9 @@ def anchored_runs(buf: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.nd
     new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(start)) - 1
-    lo, hi = start[first], start[last] + length
-    context = mix(span_hashes(sums, lo, hi) + (anchor[first] - lo).astype(np.uint64))
-    # anchors have the least hashes: mixed again they are spread over the whole range
-    return doc[first], lo - offs[doc[first]], hi - lo, mix(g[anchor[first]]), context
-
-
-def suffix_order(text: bytes, starts: Sequence[int], length: int) -> tuple[list[int], list[bool]]:
-    """The starts' order by the bytes that follow them, and whether each matches the one before it over ``length`` bytes."""
-    keys = [text[s : s + length] for s in starts]
-    order = sorted(range(len(starts)), key=keys.__getitem__)
-    return order, [False] + [keys[a] == keys[b] for a, b in zip(order, order[1:], strict=False)]
-
-
-def longest_previous_factors(order: Sequence[int], common: Sequence[int]) -> list[int]:
-    """For each position the longest common prefix with an earlier one.
-
-    ``order`` is the suffix order of positions 0, 1, ... and ``common`` the common prefix of
-    each with the one before it in that order.  A stack holds positions that still wait for
-    the next smaller one; what is below is the previous smaller.
-    """
-    out = [0] * len(order)
-    stack: list[tuple[int, int]] = []
-    for position, shared in [*zip(order, common, strict=True), (-1, 0)]:
-        while stack and position < stack[-1][0]:
-            top, before = stack.pop()
-            out[top] = max(before, shared)
-            shared = min(before, shared)
-        stack.append((position, shared))
-    return out
-
-
-def repeated_starts(contexts: Sequence[bytes], length: int, keep: str) -> list[list[int]]:
-    """For each context its window starts that match elsewhere (keep none) or in an earlier place (keep first); contexts are in order."""
-    text = b"".join(contexts)
-    starts, of, at = [], [], 0
-    for k, context in enumerate(contexts):
-        n = len(context) - length + 1
-        starts += range(at, at + n)
-        of += [k] * n
-        at += len(context)
-    order, same = suffix_order(text, starts, length)
-    found: list[list[int]] = [[] for _ in contexts]
-    begin = np.concatenate([[0], np.cumsum([len(c) for c in contexts])]).tolist()
-    if keep == "none":
-        hits = sorted(i for i, a, b in zip(order, same, [*same[1:], False], strict=True) if a or b)
-    else:
-        hits = [i for i, x in enumerate(longest_previous_factors(order, [length * s for s in same])) if x >= length]
-    for i in hits:
-        found[of[i]].append(starts[i] - begin[of[i]])
-    return found
+    lo, hi, anchor = start[first], start[last] + length, anchor[first]
+    context = mix(span_hashes(sums, lo, hi) + (anchor - lo).astype(np.uint64))
+    return doc[first], lo - offs[doc[first]], hi - lo, anchor - lo, g[anchor], context
 
 
 def differs(*columns: np.ndarray) -> np.ndarray:
@@ -133,265 +95,320 @@ def differs(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sender(length: int, keep: str, keys: list[int], back: list[int]):
-    n = len(keys)
-
-    def rows(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        d, s, size, g, c = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((s, d, c, g))
-        # rows that repeat a whole document stand at the same place: they aren't copies of each other
-        order = order[differs(g[order], c[order], d[order], s[order])]
-        d, s, size, g, c = (x[order] for x in (d, s, size, g, c))
-        first = differs(g, c)
-        start = np.flatnonzero(first)
-        multiple = np.zeros(len(g), np.uint8)
-        multiple[start] = np.diff(np.append(start, len(g))) > 1
-        whole = ~first | ((multiple > 0) & (keep == "none"))
-        out = span_rows(d[whole], s[whole], size[whole], back)
-        d, s, size, g, c, multiple = (x[start] for x in (d, s, size, g, c, multiple))
-        for slot, lo, hi in packed.runs_of(packed.slots(g, n)):
-            out.append((keys[slot], RUNS, packed.pack_sorted(g[lo:hi]), packed.planes(c[lo:hi]), entry_cell(d[lo:hi], s[lo:hi], size[lo:hi], multiple[lo:hi])))
-        return packed.packed_batch(out)
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def combined(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """Runs of a task as rows: of equal contexts the first as itself, the others as later copies."""
+    g, c, key, place, size, anchor, known = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.lexsort((place, key, c, g))
+    order = order[differs(g[order], c[order], key[order], place[order])]  # rows that repeat stand at the same place
+    g, c, key, place, size, anchor, known = (x[order] for x in (g, c, key, place, size, anchor, known))
+    first = differs(g, c)
+    start = np.flatnonzero(first)
+    of = np.cumsum(first) - 1
+    known = (np.logical_or.reduceat(known, start) | (np.diff(np.append(start, len(g))) > 1))[of]
+    g, c = np.where(first, g, mix(key.view(np.uint64) ^ mix(place.view(np.uint64)))), np.where(first, c, np.uint64(0))  # later copies are dealt at random
+    arrays = [pa.array(x.view(np.int64)) for x in (g, c, key, place)] + [pa.array(x.astype(np.int32)) for x in (size, anchor)] + [pa.array(~first), pa.array(known)]
+    return pa.RecordBatch.from_arrays(arrays, names=["gram", "context", "key", "place", "size", "anchor", "later", "known"])
+
+
+def _runs(length: int):
+    """(text, key, version) -> RUNS"""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         have = 0
         for batch, buf, offs in pieces(batches, "_text"):
-            doc, start, size, g, c = anchored_runs(buf, offs, length)
-            held.append((batch.column(1).to_numpy()[doc], start, size, g, c))
-            have += len(doc)
-            if have >= packed.GATHERED // 2:
-                yield rows(held)
-                held, have = [], 0
+            key, version = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            for at in range(0, len(buf) if len(offs) == 2 else 1, SEGMENT):
+                part = (buf, offs) if len(buf) <= SEGMENT or len(offs) > 2 else (buf[at : at + SEGMENT + length - 1], np.array([0, min(len(buf) - at, SEGMENT + length - 1)]))
+                doc, start, size, anchor, g, c = anchored_runs(*part, length)
+                held.append((g, c, key[doc], (version[doc] << 32) | (start + at), size, anchor, np.zeros(len(doc), bool)))
+                have += len(doc)
+                if have >= HELD:
+                    yield combined(held)
+                    held, have = [], 0
         if have:
-            yield rows(held)
-
-    return send
-
-
-def entry_cell(d: np.ndarray, s: np.ndarray, size: np.ndarray, flag: np.ndarray) -> bytes:
-    return b"".join((packed.planes(d), packed.planes(s.astype(np.int64)), packed.planes(size.astype(np.int64)), flag.astype(np.uint8).tobytes()))
-
-
-def from_entry_cell(cell: bytes) -> tuple[np.ndarray, ...]:
-    n = len(cell) // 25
-    return (*(packed.from_planes(cell[8 * n * k : 8 * n * (k + 1)], np.int64) for k in range(3)), np.frombuffer(cell[24 * n :], np.uint8))
-
-
-def span_rows(d: np.ndarray, s: np.ndarray, size: np.ndarray, keys: list[int]) -> list[tuple]:
-    """Cells that tell documents which of their bytes go: start and size."""
-    slot = packed.slots(mix(d.view(np.uint64)), len(keys))
-    order = np.lexsort((s, d, slot))
-    return [(keys[k], SPANS, packed.planes(d[order[lo:hi]]), packed.planes(s[order[lo:hi]].astype(np.int64)), packed.planes(size[order[lo:hi]].astype(np.int64))) for k, lo, hi in packed.runs_of(slot[order])]
-
-
-def _judge(keep: str, keys: list[int], most: int):
-    """Equal contexts repeat whole; of different contexts of one anchor the bytes are asked for."""
-    n = len(keys)  # of the documents' partitions
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = packed.gathered(batches)
-        for key, held in cells[SPANS].items():
-            yield packed.packed_batch([(key, SPANS, *x) for x in held])
-        for held in cells[RUNS].values():
-            g = np.concatenate([packed.unpack_sorted(a) for a, _, _ in held])
-            c = np.concatenate([packed.from_planes(b, np.uint64) for _, b, _ in held])
-            d, s, size, multiple = (np.concatenate(x) for x in zip(*(from_entry_cell(x) for _, _, x in held), strict=True))
-            order = np.lexsort((s, d, c, g))
-            d, s, size, g, c, multiple = (x[order] for x in (d, s, size, g, c, multiple))
-            first = differs(g, c)
-            start = np.flatnonzero(first)
-            elsewhere = ~first & differs(d, s)  # not the same place, read by two tasks
-            known = np.logical_or.reduceat((multiple > 0) | elsewhere, start)
-            whole = elsewhere.copy()
-            if keep == "none":
-                whole[start[known]] = True
-            yield packed.packed_batch(span_rows(d[whole], s[whole], size[whole], keys))
-            anchor = np.flatnonzero(np.concatenate([[True], g[start][1:] != g[start][:-1]]))
-            contexts = np.diff(np.append(anchor, len(start)))
-            single = np.add.reduceat(~known, anchor) > 0
-            ask = np.repeat((contexts > 1) & (single | (keep != "none")), contexts)
-            large = np.repeat(contexts > most, contexts)
-            i = start[ask]
-            slot = packed.slots(mix(d[i].view(np.uint64)), n)
-            flags = known[ask].astype(np.uint8) | large[ask].astype(np.uint8) << np.uint8(1)
-            order = np.argsort(slot, kind="stable")
-            i, flags = i[order], flags[order]
-            yield packed.packed_batch([(keys[k], ASKS, packed.planes(g[i[lo:hi]]), entry_cell(d[i[lo:hi]], s[i[lo:hi]], size[i[lo:hi]], flags[lo:hi]), None) for k, lo, hi in packed.runs_of(slot[order])])
-
-    return judge
-
-
-def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(document, spans, asked contexts)"""
-    cells = packed.gathered(batches)
-    for kind in (SPANS, ASKS):
-        for held in cells[kind].values():
-            if kind == SPANS:
-                d, *more = (np.concatenate(x) for x in zip(*((packed.from_planes(a, np.int64), packed.from_planes(b, np.int64), packed.from_planes(c, np.int64)) for a, b, c in held), strict=True))
-            else:
-                g = np.concatenate([packed.from_planes(a, np.uint64) for a, _, _ in held])
-                d, s, size, flags = (np.concatenate(x) for x in zip(*(from_entry_cell(b) for _, b, _ in held), strict=True))
-                more = [g.view(np.int64), s, size, flags.astype(np.int64)]
-            order = np.lexsort((more[0], d))
-            d, table = d[order], np.stack(more, 1)[order]
-            found = list(packed.runs_of(d))
-            mine = pa.array([table[lo:hi].tobytes() for _, lo, hi in found], pa.binary())
-            none = pa.nulls(len(found), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _, _ in found], pa.int64()), *([mine, none] if kind == SPANS else [none, mine])], names=["_document", "_spans", "_asks"])
-
-
-def _answer(length: int, keep: str, keys: list[int], back: list[int]):
-    """Sends the asked contexts' bytes to their anchors' tasks, and the windows of large groups to their hashes' tasks."""
-    n = len(keys)
-
-    def window_rows(held: list[tuple[np.ndarray, ...]]) -> list[tuple]:
-        h, d, s, known = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((s, d, h))
-        order = order[differs(h[order], d[order], s[order])]
-        h, d, s, known = (x[order] for x in (h, d, s, known))
-        first = differs(h)
-        start = np.flatnonzero(first)
-        multiple = np.zeros(len(h), np.uint8)
-        multiple[start] = np.logical_or.reduceat(known > 0, start) | (np.diff(np.append(start, len(h))) > 1)
-        gone = ~first | ((multiple > 0) & (keep == "none"))
-        out = span_rows(d[gone], s[gone], np.full(int(gone.sum()), length), back)
-        h, d, s, multiple = (x[start] for x in (h, d, s, multiple))
-        return out + [(keys[k], WINDOWS, packed.pack_sorted(h[lo:hi]), entry_cell(d[lo:hi], s[lo:hi], s[lo:hi] * 0 + length, multiple[lo:hi]), None) for k, lo, hi in packed.runs_of(packed.slots(h, n))]
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield combined(held)
+
+    return rows
+
+
+def _strings(length: int):
+    """CONTEXTS of large groups -> RUNS, one for each string."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         have = 0
         for batch in batches:
-            buf, offs = text_buffer(batch.column(0))
-            data, offs = buf.data, offs.tolist()
-            out = []
-            for row, (document, spans, asks) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:4]), strict=True)):
-                if spans:
-                    table = np.frombuffer(spans, np.int64).reshape(-1, 2)
-                    out += span_rows(np.full(len(table), document), table[:, 0], table[:, 1], back)
-                for g, s, size, flags in np.frombuffer(asks or b"", np.int64).reshape(-1, 4).tolist():
-                    context = bytes(data[offs[row] + s : offs[row] + s + size])
-                    g &= (1 << 64) - 1
-                    if flags & 2:
-                        at = np.arange(size - length + 1)
-                        h = span_hashes(byte_sums(np.frombuffer(context, np.uint8)), at, at + length)
-                        held.append((h, np.full(len(at), document), at + s, np.full(len(at), flags & 1)))
-                        have += len(at)
-                    else:
-                        out.append((keys[(g >> 32) * n >> 32], CONTEXT, context, struct.pack(ASK, g, document, s, flags & 1), None))
-            yield packed.packed_batch(out)
-            if have >= packed.GATHERED // 2:
-                yield packed.packed_batch(window_rows(held))
-                held, have = [], 0
+            batch = batch.filter(batch.column("many"))
+            for key, place, known, context in zip(*(batch.column(c).to_pylist() for c in ("key", "place", "known", "context")), strict=True):
+                at = np.arange(len(context) - length + 1)
+                buf = np.frombuffer(context, np.uint8)
+                g = span_hashes(byte_sums(buf), at, at + length)
+                c = span_hashes(byte_sums(buf[::-1]), at[::-1], at[::-1] + length)  # the same bytes read backwards
+                held.append((g, c, np.full(len(at), key), place + at, np.full(len(at), length), at * 0, np.full(len(at), known)))
+                have += len(at)
+                if have >= HELD:
+                    yield combined(held)
+                    held, have = [], 0
         if have:
-            yield packed.packed_batch(window_rows(held))
+            yield combined(held)
+
+    return rows
 
-    return answer
 
+def judged(runs: DataFrame, keep: str) -> DataFrame:
+    """gram, key, place, size, anchor, known; first: the first of its context; gone: a string that goes as a whole.
+
+    A place that two tasks have read (repeated rows) counts once.
+    """
+    same = Window.partitionBy("gram", "context")
+    order = same.orderBy("key", "place")
+    place = F.struct("key", "place")
+    rows = runs.select("gram", "key", "place", "size", "anchor", F.row_number().over(order).alias("number"), (F.col("later") | (F.rank().over(order) > 1)).alias("copy"), (F.max("known").over(same) | (F.max(place).over(same) > place)).alias("known"))
+    first = (F.col("number") == 1) & ~F.col("copy")
+    gone = F.col("copy") | F.col("known") if keep == "none" else F.col("copy")
+    return rows.select("gram", "key", "place", "size", "anchor", "known", first.alias("first"), gone.alias("gone")).where("first or gone")
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, ..., asks) -> CONTEXTS: the bytes that are asked for."""
+    for batch, buf, offs in pieces(batches, "_text"):
+        data = buf.data
+        asks = batch.column(batch.num_columns - 1)
+        sizes = np.diff(asks.offsets.to_numpy())
+        g, place, size, known, many = (x.to_numpy(zero_copy_only=False) for x in asks.flatten().flatten())
+        row = np.repeat(np.arange(batch.num_rows), sizes)
+        key = batch.column("_key").to_numpy()[row]
+        begin = offs[row] + (place & 0xFFFFFFFF)
+        route = np.where(many, mix(key.view(np.uint64) ^ mix(place.view(np.uint64))).view(np.int64), g)  # large groups are dealt by place
+        context = pa.array([data[a : a + n] for a, n in zip(begin.tolist(), size.tolist(), strict=True)], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(route), pa.array(g), pa.array(key), pa.array(place), pa.array(known), pa.array(many), context], names=["route", "gram", "key", "place", "known", "many", "context"])
+
+
+def dense(x: np.ndarray) -> np.ndarray:
+    """Ranks 0, 1, ... of values."""
+    order = np.argsort(x)
+    rank = np.empty(len(x), np.int64)
+    rank[order] = np.cumsum(differs(x[order])) - 1
+    return rank
+
+
+def folded(parts: Sequence[np.ndarray]) -> np.ndarray:
+    """One number for each tuple of ranks, in the tuples' order."""
+    out = parts[0].astype(np.uint64)
+    for part in parts[1:]:
+        top = int(part.max()) + 1
+        if (int(out.max()) + 1) * top >= 1 << 64:
+            out = dense(out).astype(np.uint64)
+        out = out * np.uint64(top) + part.astype(np.uint64)
+    return out
+
+
+def suffix_array(text: np.ndarray, starts: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix order of starts within their groups, by up to ``length`` bytes, and the common prefix of each with the one before it.
+
+    At least ``length`` bytes of its own follow every start, and ``length`` is 8 or more.  Ranks of 8 bytes give those of
+    24, 72, ... and ranks of two or three overlapping pieces the order.  Ranks of ever smaller
+    pieces, then bytes, give the common prefixes.
+    """
+    n = len(text)
+    padded = np.concatenate([text, np.zeros(length, np.uint8)]).astype(np.uint64)
+    word = np.zeros(n, np.uint64)
+    for k in range(8):
+        word = (word << np.uint64(8)) | padded[k : k + n]
+    ranks = [dense(word)]
+    size = 8
+    reach = lambda rank, by: np.concatenate([rank[by:], np.zeros(by, np.int64)])[:n]
+    while 3 * size <= length:
+        ranks.append(dense(folded([ranks[-1], reach(ranks[-1], size), reach(ranks[-1], 2 * size)])))
+        size *= 3
+    at = sorted({min(k * size, length - size) for k in range(-(-length // size))})
+    order = np.argsort(folded([group, *(ranks[-1][starts + k] for k in at)]))
+    a, b = starts[order[1:]], starts[order[:-1]]
+    common = np.zeros(len(a), np.int64)
+    mates = np.flatnonzero(group[order[1:]] == group[order[:-1]])
+    a, b, own = a[mates], b[mates], np.zeros(len(mates), np.int64)
+    for rank in reversed(ranks):
+        for _ in range(2 + (size * 3 <= length)):
+            same = np.flatnonzero(own + size <= length)
+            same = same[rank[a[same] + own[same]] == rank[b[same] + own[same]]]
+            own[same] += size
+            if not len(same):
+                break
+        size //= 3
+    left = np.flatnonzero(own < length)
+    apart = word[np.minimum(a[left] + own[left], n - 1)] ^ word[np.minimum(b[left] + own[left], n - 1)]
+    for k in range(1, 8):  # whole equal bytes ahead of the first that differs
+        own[left] += (apart >> np.uint64(8 * (8 - k)) == 0) & (own[left] < length)
+    common[mates] = own
+    return order, np.concatenate([[0], common]) if len(order) else common
+
+
+def _toward(position: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """For each entry in suffix order its common prefix with the nearest one before it whose position is smaller.
+
+    Every entry points to the one before it; as long as that has a larger position, the entry
+    takes over where that one points, and the least common prefix on the way.
+    """
+    to, least = np.arange(len(position)) - 1, shared.copy()
+    active = np.flatnonzero(to >= 0)
+    while True:
+        active = active[(least[active] > 0) & (to[active] >= 0)]
+        active = active[position[to[active]] > position[active]]
+        if not len(active):
+            return np.where(to >= 0, least, 0)
+        via = to[active]
+        to[active], least[active] = to[via], np.minimum(least[active], least[via])
+
+
+def longest_previous_factors(position: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """For each entry in suffix order its longest common prefix with any smaller position.
+
+    ``shared`` is the common prefix of each entry with the one before it.  The longest is that
+    with the previous or with the next smaller position in suffix order.
+    """
+    backwards = np.concatenate([[0], shared[:0:-1]]) if len(shared) else shared
+    return np.maximum(_toward(position, shared), _toward(position[::-1], backwards)[::-1])
+
+
+def repeated_starts(contexts: Sequence[bytes], group: np.ndarray, length: int, keep: str) -> tuple[np.ndarray, np.ndarray]:
+    """Context number and offset of the starts that match elsewhere (keep none) or at an earlier place (keep first) of their group.
+
+    Contexts stand in the order of their places, group after group.
+    """
+    sizes = np.array([len(c) for c in contexts], np.int64)
+    begin = np.cumsum(sizes) - sizes
+    count = sizes - length + 1
+    starts = ragged(begin, count)
+    of = np.repeat(np.arange(len(sizes)), count)
+    order, shared = suffix_array(np.frombuffer(b"".join(contexts), np.uint8), starts, group[of], length)
+    longest = longest_previous_factors(order, shared)
+    if keep == "none":
+        longest = np.maximum(longest, longest_previous_factors(-order, shared))
+    hits = np.sort(order[longest >= length])
+    return of[hits], starts[hits] - begin[of[hits]]
+
+
+def _matched(length: int, keep: str):
+    """CONTEXTS, sorted by group and place -> SPANS"""
+
+    def spans(rows: list[tuple]) -> pa.RecordBatch:
+        group = np.cumsum(differs(np.array([r[0] for r in rows], np.int64))) - 1
+        of, at = repeated_starts([r[4] for r in rows], group, length, keep)
+        key, place, known = (np.array([r[k] for r in rows]) for k in (1, 2, 3))
+        if keep == "none":  # copies go as a whole already
+            of, at = of[~known[of]], at[~known[of]]
+        first = np.flatnonzero(differs(of, at - np.arange(len(at))))
+        last = np.append(first[1:], len(at)) - 1
+        arrays = [key[of[first]], place[of[first]] + at[first], at[last] - at[first] + length] if len(at) else [np.zeros(0, np.int64)] * 3
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in arrays], names=["key", "place", "size"])
 
-def _matched(length: int, keep: str, keys: list[int]):
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = packed.gathered(batches)
-        for key, held in cells[SPANS].items():
-            yield packed.packed_batch([(key, SPANS, *x) for x in held])
-        groups: dict[int, list[tuple[int, int, int, bytes]]] = defaultdict(list)
-        for held in cells[CONTEXT].values():
-            for context, about, _ in held:
-                g, document, s, known = struct.unpack(ASK, about)
-                groups[g].append((document, s, known, context))
-        found: list[tuple[int, int]] = []
-        for members in groups.values():
-            members = sorted({m[:2]: m for m in members}.values())  # repeated rows answer alike
-            for (document, s, known, _), starts in zip(members, repeated_starts([m[3] for m in members], length, keep), strict=True):
-                if not (known and keep == "none"):
-                    found += [(document, s + x) for x in starts]
-        if found:
-            yield packed.packed_batch(window_spans(*np.array(found, np.int64).T))
-        for held in cells[WINDOWS].values():
-            h = np.concatenate([packed.unpack_sorted(a) for a, _, _ in held])
-            d, s, _, multiple = (np.concatenate(x) for x in zip(*(from_entry_cell(b) for _, b, _ in held), strict=True))
-            order = np.lexsort((s, d, h))
-            h, d, s, multiple = (x[order] for x in (h, d, s, multiple))
-            first = differs(h)
-            start = np.flatnonzero(first)
-            gone = ~first & differs(d, s)
-            if keep == "none":
-                gone |= np.repeat(np.logical_or.reduceat((multiple > 0) | gone, start), np.diff(np.append(start, len(h))))
-            yield packed.packed_batch(window_spans(d[gone], s[gone]))
-
-    def window_spans(d: np.ndarray, s: np.ndarray) -> list[tuple]:
-        """Neighbouring starts of one document as one span."""
-        if not len(d):
-            return []
-        order = np.lexsort((s, d))
-        d, s = d[order], s[order]
-        new = np.ones(len(d), bool)
-        new[1:] = (d[1:] != d[:-1]) | (s[1:] != s[:-1] + 1)
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(d)) - 1
-        return span_rows(d[first], s[first], s[last] - s[first] + length, keys)
+        held: list[tuple] = []
+        have = 0
+        for batch in batches:
+            batch = batch.filter(pa.compute.invert(batch.column("many")))
+            for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "key", "place", "known", "context")), strict=True):
+                if held and row[:3] == held[-1][:3]:
+                    continue  # rows that repeat answer alike
+                if have >= CHUNK and row[0] != held[-1][0]:
+                    yield spans(held)
+                    held, have = [], 0
+                held.append(row)
+                have += len(row[4])
+        if held:
+            yield spans(held)
 
     return matched
 
 
 def _remover(as_text: bool):
+    """(text, known key, ..., spans) -> the carried columns, n_bytes, removed, kept"""
+
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buf, offs = text_buffer(batch.column(0))
-            data, offs = buf.tobytes(), offs.tolist()
+        for batch, buf, offs in pieces(batches, "_text"):
+            data, offs = buf.data, offs.tolist()
             sizes, removed, kept = [], [], []
-            for row, cell in enumerate(batch.column(1).to_pylist()):
+            for row, (has_key, cell) in enumerate(zip(batch.column(1).to_pylist(), batch.column(batch.num_columns - 1), strict=True)):
                 text = data[offs[row] : offs[row + 1]]
                 runs: list[list[int]] = []
-                for s, size in sorted(np.frombuffer(cell or b"", np.int64).reshape(-1, 2).tolist()):
-                    if runs and s <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], s + size)
-                    else:
-                        runs.append([s, s + size])
-                at, parts = 0, []
+                if has_key and cell.is_valid:
+                    place, size = (x.to_numpy() for x in cell.values.flatten())
+                    at = place & 0xFFFFFFFF
+                    for k in np.argsort(at, kind="stable").tolist():
+                        lo, hi = int(at[k]), int(at[k] + size[k])
+                        if runs and lo <= runs[-1][1]:
+                            runs[-1][1] = max(runs[-1][1], hi)
+                        else:
+                            runs.append([lo, hi])
+                parts, begin = [], 0
                 for lo, hi in runs:
-                    parts.append(text[at:lo])
-                    at = hi
+                    parts.append(text[begin:lo])
+                    begin = hi
                 sizes.append(len(text))
                 removed.append(runs)
-                left = b"".join([*parts, text[at:]])
+                left = b"".join([*parts, text[begin:]])
                 kept.append(left.decode("utf-8", "ignore") if as_text else left)
             arrays = [pa.array(sizes, pa.int64()), pa.array(removed, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.string() if as_text else pa.binary())]
-            yield pa.RecordBatch.from_arrays(batch.columns[2:] + arrays, names=batch.schema.names[2:] + ["n_bytes", "removed", "kept"])
+            yield pa.RecordBatch.from_arrays(batch.columns[4:-1] + arrays, names=batch.schema.names[4:-1] + ["n_bytes", "removed", "kept"])
 
     return remove
 
 
-def repeated_spans(df: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH, keep: str = "first", most: int = GROUP_CONTEXTS) -> DataFrame:
-    """(_document, _spans): start and size of what goes, as packed whole numbers."""
+def by_document(places: DataFrame, name: str, *columns: str) -> DataFrame:
+    """One row per document with its places as a list: no more of them than its text has starts."""
+    return places.groupBy(F.col("key").alias("_of"), F.shiftright("place", 32).alias("_of_version")).agg(F.collect_list(F.struct(*columns)).alias(name))
+
+
+def repeated_spans(docs: DataFrame, *, length: int, keep: str, most: int) -> DataFrame:
+    """SPANS of docs (_text, _has_key, _key, _version, ...)."""
     if length < GRAM:
         raise ValueError(f"length is at least {GRAM}")
     if keep not in ("first", "none"):
         raise ValueError("keep is first or none")
-    spark = df.sparkSession
+    spark = docs.sparkSession
     ship(spark)
-    n, n_back = packed.partitions(spark)
-    keys, back = packed.partition_keys(spark, n), packed.partition_keys(spark, n_back)
-    rows = df.where(F.col(key).isNotNull()).select(F.col(text).alias("_text"), F.col(key).cast("bigint").alias("_key"))
-    sent = packed.shuffled(rows.mapInArrow(_sender(length, keep, keys, back), packed.PACKED), n)
-    told = packed.shuffled(sent.mapInArrow(_judge(keep, back, most), packed.PACKED), n_back).mapInArrow(_told, "_document bigint, _spans binary, _asks binary")
-    both = rows.join(told.hint("shuffle_hash"), rows["_key"] == told["_document"]).select("_text", "_document", "_spans", "_asks")
-    asked = packed.shuffled(both.mapInArrow(_answer(length, keep, keys, back), packed.PACKED), n)
-    found = packed.shuffled(asked.mapInArrow(_matched(length, keep, back), packed.PACKED), n_back)
-    return found.mapInArrow(_told, "_document bigint, _spans binary, _asks binary").select("_document", "_spans")
-
-
-def without_repeats(df: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH, keep: str = "first", most: int = GROUP_CONTEXTS, carry: Sequence[str] = ("doc_id",), as_text: bool = False) -> DataFrame:
+    runs = docs.where("_has_key").select("_text", "_key", "_version").mapInArrow(_runs(length), RUNS)
+    table = f"{folder(spark, 'suffixes')}/runs"
+    judged(runs, keep).write.parquet(table)
+    all_runs = spark.read.parquet(table)
+    first = all_runs.where("first")
+    groups = first.groupBy("gram").agg(F.count("*").alias("contexts"), F.min("known").alias("all_known")).where("contexts > 1")
+    if keep == "none":
+        groups = groups.where("not all_known")
+    asked = first.join(groups.select("gram", (F.col("contexts") > most).alias("many")), "gram").select("key", "gram", "place", "size", "known", "many")
+    asks = by_document(asked, "_asks", "gram", "place", "size", "known", "many")
+    contexts = with_places(docs, asks, "inner").mapInArrow(_contexts, CONTEXTS).repartition("route")
+    # both read the same shuffle; groups above `most` are told apart only there
+    small = contexts.sortWithinPartitions("gram", "key", "place").mapInArrow(_matched(length, keep), SPANS)
+    large = judged(contexts.mapInArrow(_strings(length), RUNS), keep)
+    gone = [x.where("gone").select("key", "place", F.col("size").cast("bigint").alias("size")) for x in (all_runs, large)]
+    return small.unionByName(gone[0]).unionByName(gone[1])
+
+
+def with_places(docs: DataFrame, places: DataFrame, how: str) -> DataFrame:
+    """All columns of docs, whatever is read of them, so that every join shares one shuffle of the texts."""
+    joined = docs.join(places.hint("shuffle_hash"), (docs["_key"] == places["_of"]) & (docs["_version"] == places["_of_version"]), how)
+    return joined.select(*docs.columns, places.columns[-1])
+
+
+def version(text: Column) -> Column:
+    """Tells texts of one key apart: 31 bits of a hash."""
+    return F.abs(F.xxhash64(text) % (1 << 31))
+
+
+def without_repeats(df: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH, keep: str = "first", most: int = MOST, carry: Sequence[str] = ("doc_id",), as_text: bool = False) -> DataFrame:
     """The carried columns, n_bytes, removed (maximal byte runs [start, end)) and kept (the other bytes).
 
-    ``key`` is a whole number that identifies and orders the documents.  With ``as_text``
-    kept is a string, without characters of which only a part is left.
+    ``key`` is a whole number that orders the documents.  With ``as_text`` kept is a string,
+    without characters of which only a part is left.  The runs of step 1 are found and written
+    to the shared folder when this is called; all else is left to the result's own job.
     """
     if clash := set(carry) & {"n_bytes", "removed", "kept"}:
         raise ValueError(f"carried columns are named like results: {sorted(clash)}")
-    spans = repeated_spans(df, key=key, text=text, length=length, keep=keep, most=most)
-    rows = df.select(F.col(text).alias("_text"), F.col(key).cast("bigint").alias("_key"), *(F.col(c).alias(f"_{k}") for k, c in enumerate(carry)))
-    both = rows.join(spans.hint("shuffle_hash"), rows["_key"] == spans["_document"], "left").select("_text", "_spans", *(f"_{k}" for k in range(len(carry))))
-    schema = ", ".join([f"_{k} {rows.schema[f'_{k}'].dataType.simpleString()}" for k in range(len(carry))] + [f"n_bytes bigint, removed array<array<bigint>>, kept {'string' if as_text else 'binary'}"])
+    number = F.col(key).cast("bigint")
+    docs = df.select(F.col(text).alias("_text"), number.isNotNull().alias("_has_key"), F.coalesce(number, F.lit(0).cast("bigint")).alias("_key"), version(F.col(text)).alias("_version"), *(F.col(c).alias(f"_{k}") for k, c in enumerate(carry)))
+    spans = by_document(repeated_spans(docs, length=length, keep=keep, most=most), "_spans", "place", "size")
+    both = with_places(docs, spans, "left")
+    schema = ", ".join([f"_{k} {docs.schema[f'_{k}'].dataType.simpleString()}" for k in range(len(carry))] + [f"n_bytes bigint, removed array<array<bigint>>, kept {'string' if as_text else 'binary'}"])
     return both.mapInArrow(_remover(as_text), schema).withColumnsRenamed({f"_{k}": c for k, c in enumerate(carry)})

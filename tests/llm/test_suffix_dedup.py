@@ -92,15 +92,42 @@ def test_repeated_rows_are_one_document(spark, keep, most, tasks):
     assert want[2000][1] == []
 
 
+def common_prefix(t, i, j, most=10**9):
+    k = 0
+    while k < most and max(i, j) + k < len(t) and t[i + k] == t[j + k]:
+        k += 1
+    return k
+
+
 def test_longest_previous_factors():
     r = random.Random(3)
-    for _ in range(200):
-        t = "".join(r.choice("ab") for _ in range(r.randint(1, 30)))
+    for _ in range(300):
+        t = "".join(r.choice("ab") for _ in range(r.randint(0, 30)))
         order = sorted(range(len(t)), key=lambda i: t[i:])
-        common = lambda i, j: next((k for k in range(len(t)) if t[i + k : i + k + 1] != t[j + k : j + k + 1] or i + k >= len(t) or j + k >= len(t)), len(t))
-        lcp = [0] + [common(a, b) for a, b in zip(order, order[1:], strict=False)]
-        want = [max((common(i, j) for j in range(i)), default=0) for i in range(len(t))]
-        assert longest_previous_factors(order, lcp) == want
+        shared = [common_prefix(t, a, b) for a, b in zip(order, order[1:], strict=False)]
+        shared = np.array([0] * bool(t) + shared, np.int64)
+        for sign, others in ((1, range), (-1, lambda i: range(i + 1, len(t)))):
+            want = [max((common_prefix(t, i, j) for j in others(i)), default=0) for i in order]
+            assert longest_previous_factors(sign * np.array(order, np.int64), shared).tolist() == want
+
+
+@pytest.mark.parametrize("length", [8, 20, 64, 100, 240, 400])
+def test_suffix_array(length):
+    r = random.Random(length)
+    texts = ["".join(r.choices("ab" if k % 2 else "a", k=length + r.randint(0, 60))) for k in range(12)]
+    texts += [t[:20] + "c" + t[20:] for t in texts] + ["ab" * length]
+    group = [k % 3 for k in range(len(texts))]
+    text = "".join(texts).encode()
+    starts, of, at = [], [], 0
+    for t, g in zip(texts, group, strict=True):
+        starts += range(at, at + len(t) - length + 1)
+        of += [g] * (len(t) - length + 1)
+        at += len(t)
+    order, shared = suffix_dedup.suffix_array(np.frombuffer(text, np.uint8), np.array(starts), np.array(of), length)
+    keys = [(of[i], text[starts[i] : starts[i] + length]) for i in order]
+    assert keys == sorted(keys) and sorted(order) == list(range(len(starts)))
+    want = [0] + [common_prefix(text, starts[a], starts[b], length) if of[a] == of[b] else 0 for a, b in zip(order, order[1:], strict=False)]
+    assert shared.tolist() == want
 
 
 def test_anchors_agree_between_equal_windows():
@@ -108,7 +135,7 @@ def test_anchors_agree_between_equal_windows():
     common = bytes(r.choices(range(97, 123), k=300))
     a, b = bytes(r.choices(range(97, 123), k=130)) + common, common + bytes(r.choices(range(97, 123), k=77))
     buf = np.frombuffer(a + b, np.uint8)
-    doc, start, size, g, _ = suffix_dedup.anchored_runs(buf, np.array([0, len(a), len(a) + len(b)]), 100)
+    doc, start, size, _, g, _ = suffix_dedup.anchored_runs(buf, np.array([0, len(a), len(a) + len(b)]), 100)
     owner = {}
     for d, s, n, h in zip(doc.tolist(), start.tolist(), size.tolist(), g.tolist(), strict=True):
         for x in range(s, s + n - 99):
