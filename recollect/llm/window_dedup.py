@@ -1,18 +1,19 @@
 """Substring dedup over words: Rabin-Karp hashes of every window, counted across the corpus.
 
-Every window of ``window`` consecutive words gets a rolling hash.  Tasks keep each hash
-once, with the smallest document that has it; the shuffle brings equal hashes together,
-and every document but the smallest learns which of its windows start earlier elsewhere.
-Within a document the first start stays.  Overlapping repeated windows merge into maximal
-runs of removed words.
+Every window of ``window`` consecutive words gets a rolling hash.  Tasks send their hashes
+in cells, one for each range of hashes; Spark deals the cells by range, unpacks them into
+rows and numbers the documents of each hash.  Every document but the smallest learns which
+of its windows start earlier elsewhere; within a document the first start stays.  Overlapping
+repeated windows merge into maximal runs of removed words.
 
-A hash that a third of all documents share leaves each task once, so no reducer gets more
-than one entry per task for it.  Hashes have 64 bits.
+A hash that several documents of a task share leaves the task once, with the smallest; what
+is left goes straight back to the documents.  So a window of a third of all documents sends
+one entry per task to its range.  Hashes have 64 bits.
 
 Defined results: null text has no words; a text shorter than the window keeps everything;
 rows with a null key keep their text apart from repeats within themselves, and count for
-no other; rows that share a key are not compared with each other; extra columns are
-ignored unless carried, whatever their names.
+no other; rows that share a key, whatever their texts, are not compared with each other;
+extra columns are ignored unless carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,14 +23,18 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window, functions as F
 
-from recollect.llm import packed
 from recollect.llm.shipping import ship
 from recollect.llm.textbatch import SPACE, byte_sums, mix, pieces, span_hashes, window_hashes, words
 
 WINDOW = 20
-HASHES, LATER = 0, 1
+#: Hashes that a task gathers before it hands them on, and ranges of hashes for each shuffle partition.
+GATHERED, RANGES = 1_000_000, 8
+
+#: copy: the document is not the smallest of its task that has the hash.
+CELLS = "range int, hash array<bigint>, document array<bigint>, copy array<boolean>"
 
 
 def _windows(buf: np.ndarray, offs: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -40,20 +45,25 @@ def _windows(buf: np.ndarray, offs: np.ndarray, window: int) -> tuple[np.ndarray
     return doc, at, h[at], np.searchsorted(doc, np.arange(len(offs)))
 
 
-def _sender(window: int, keys: list[int], back: list[int]):
-    n = len(keys)
-
-    def rows(h: np.ndarray, d: np.ndarray) -> list[tuple]:
-        order = np.lexsort((d, h))
-        h, d = h[order], d[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-        h, d = h[new], d[new]
-        first = np.ones(len(h), bool)
-        first[1:] = h[1:] != h[:-1]
-        out = [(keys[s], HASHES, packed.pack_sorted(h[first][lo:hi]), packed.planes(d[first][lo:hi]), None) for s, lo, hi in packed.runs_of(packed.slots(h[first], n))]
-        return out + later_rows(h[~first], d[~first], back)
-
+def cells(h: np.ndarray, d: np.ndarray, ranges: int) -> pa.RecordBatch:
+    """The windows of a task, dealt by ranges of hashes; copies, by document."""
+    order = np.lexsort((d, h))
+    h, d = h[order], d[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+    h, d = h[new], d[new]
+    copy = np.zeros(len(h), bool)
+    copy[1:] = h[1:] == h[:-1]
+    dealt = (np.where(copy, mix(d.view(np.uint64)), h) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+    order = np.lexsort((d, dealt))  # documents that repeat compress well
+    h, d, copy, dealt = h[order], d[order], copy[order], dealt[order]
+    begin = np.flatnonzero(np.concatenate([[True], dealt[1:] != dealt[:-1]]))
+    offsets = pa.array(np.append(begin, len(h)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(h.view(np.int64)), pa.array(d), pa.array(copy))]
+    return pa.RecordBatch.from_arrays([pa.array(dealt[begin].astype(np.int32)), *lists], names=["range", "hash", "document", "copy"])
+
+
+def _sender(window: int, ranges: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
@@ -61,61 +71,24 @@ def _sender(window: int, keys: list[int], back: list[int]):
             doc, at, h, _ = _windows(buf, offs, window)
             held.append((h, batch.column(1).to_numpy()[doc[at]]))
             size += len(h)
-            if size >= packed.GATHERED:
-                yield packed.packed_batch(rows(*(np.concatenate(x) for x in zip(*held, strict=True))))
+            if size >= GATHERED:
+                yield cells(*(np.concatenate(x) for x in zip(*held, strict=True)), ranges)
                 held, size = [], 0
         if size:
-            yield packed.packed_batch(rows(*(np.concatenate(x) for x in zip(*held, strict=True))))
+            yield cells(*(np.concatenate(x) for x in zip(*held, strict=True)), ranges)
 
     return send
 
 
-def later_rows(h: np.ndarray, d: np.ndarray, keys: list[int]) -> list[tuple]:
-    """Cells that tell documents which of their hashes start earlier elsewhere."""
-    slot = packed.slots(mix(d.view(np.uint64)), len(keys))
-    order = np.lexsort((h, slot))
-    return [(keys[s], LATER, packed.pack_sorted(h[order[lo:hi]]), packed.planes(d[order[lo:hi]]), None) for s, lo, hi in packed.runs_of(slot[order])]
-
-
-def _judge(keys: list[int]):
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = packed.gathered(batches)
-        for key, held in cells[LATER].items():
-            yield packed.packed_batch([(key, LATER, *x) for x in held])
-        for held in cells[HASHES].values():
-            h = np.concatenate([packed.unpack_sorted(a) for a, _, _ in held])
-            d = np.concatenate([packed.from_planes(b, np.int64) for _, b, _ in held])
-            order = np.lexsort((d, h))
-            h, d = h[order], d[order]
-            new = np.ones(len(h), bool)
-            new[1:] = h[1:] != h[:-1]
-            least = d[np.flatnonzero(new)[np.cumsum(new) - 1]]
-            later = d != least
-            yield packed.packed_batch(later_rows(h[later], d[later], keys))
-
-    return judge
-
-
-def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(document, its hashes that start earlier elsewhere, sorted)"""
-    for held in packed.gathered(batches)[LATER].values():
-        h = np.concatenate([packed.unpack_sorted(a) for a, _, _ in held])
-        d = np.concatenate([packed.from_planes(b, np.int64) for _, b, _ in held])
-        order = np.lexsort((h, d))
-        h, d = h[order], d[order]
-        found = list(packed.runs_of(d))
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _, _ in found], pa.int64()), pa.array([h[lo:hi].tobytes() for _, lo, hi in found], pa.binary())], names=["_document", "_later"])
-
-
 def _remover(window: int):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, buf, offs in pieces(batches, "_text"):
             n = batch.num_rows
             doc, at, h, first_word = _windows(buf, offs, window)
             own = mix(h + doc[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            cells = [x or b"" for x in batch.column(1).to_pylist()]
-            later = np.frombuffer(b"".join(cells), np.uint64)
-            of = np.repeat(np.arange(n), [len(x) // 8 for x in cells]).astype(np.uint64)
+            told = batch.column(1)
+            later = told.flatten().to_numpy().view(np.uint64)
+            of = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(told), 0).to_numpy()).astype(np.uint64)
             gone = np.isin(own, mix(later + of * np.uint64(0x9E3779B97F4A7C15)))
             _, first = np.unique(own, return_index=True)
             again = np.ones(len(own), bool)
@@ -151,12 +124,15 @@ def later_windows(df: DataFrame, *, key: str = "doc_id", text: str = "text", win
     """(_document, _later): the hashes of the windows that also occur in a smaller document."""
     spark = df.sparkSession
     ship(spark)
-    n, n_back = packed.partitions(spark)
-    keys, back = packed.partition_keys(spark, n), packed.partition_keys(spark, n_back)
+    ranges = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.where(F.col(key).isNotNull()).select(F.col(text).alias("_text"), F.col(key).cast("bigint").alias("_key"))
-    sent = packed.shuffled(rows.mapInArrow(_sender(window, keys, back), packed.PACKED), n)
-    told = packed.shuffled(sent.mapInArrow(_judge(back), packed.PACKED), n_back)
-    return told.mapInArrow(_by_document, "_document bigint, _later binary")
+    dealt = rows.mapInArrow(_sender(window, ranges), CELLS).repartition("range")
+    # both read the same shuffle, and need no other: a hash is always of the same range
+    every = dealt.select("range", F.explode(F.arrays_zip("hash", "document", "copy")).alias("x")).select("range", "x.*")
+    number = F.rank().over(Window.partitionBy("hash", "range").orderBy("document"))
+    later = every.where("not copy").select("document", "hash", number.alias("number")).where("number > 1")
+    both = later.select("document", "hash").union(every.where("copy").select("document", "hash"))
+    return both.groupBy(F.col("document").alias("_document")).agg(F.collect_list("hash").alias("_later"))
 
 
 def without_repeats(df: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -167,7 +143,9 @@ def without_repeats(df: DataFrame, *, key: str = "doc_id", text: str = "text", w
     if clash := set(carry) & {"n_words", "removed", "kept"}:
         raise ValueError(f"carried columns are named like results: {sorted(clash)}")
     later = later_windows(df, key=key, text=text, window=window)
-    rows = df.select(F.col(text).alias("_text"), F.col(key).cast("bigint").alias("_key"), *(F.col(c).alias(f"_{k}") for k, c in enumerate(carry)))
-    both = rows.join(later.hint("shuffle_hash"), rows["_key"] == later["_document"], "left").select("_text", "_later", *(f"_{k}" for k in range(len(carry))))
+    number = F.col(key).cast("bigint")
+    # rows without a key are dealt by their text
+    rows = df.select(F.col(text).alias("_text"), number.isNotNull().alias("_has_key"), F.coalesce(number, F.xxhash64(F.col(text))).alias("_key"), *(F.col(c).alias(f"_{k}") for k, c in enumerate(carry)))
+    both = rows.join(later.hint("shuffle_hash"), rows["_key"] == later["_document"], "left").select("_text", F.when(F.col("_has_key"), F.col("_later")).alias("_later"), *(f"_{k}" for k in range(len(carry))))
     schema = ", ".join([f"_{k} {rows.schema[f'_{k}'].dataType.simpleString()}" for k in range(len(carry))] + ["n_words bigint, removed array<array<bigint>>, kept string"])
     return both.mapInArrow(_remover(window), schema).withColumnsRenamed({f"_{k}": c for k, c in enumerate(carry)})
