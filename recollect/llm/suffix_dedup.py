@@ -46,11 +46,11 @@ from recollect.llm.textbatch import byte_sums, mix, pieces, ragged, span_hashes,
 LENGTH = 400
 GRAM = 64
 #: Different contexts of an anchor that one task puts into suffix order.
-MOST = 2000
+MOST = 500
 #: Starts of one text that are worked on at once.
 SEGMENT = 1 << 22
 #: Rows that a task holds before it hands them on, and bytes of contexts put into order at once.
-HELD, CHUNK = 500_000, 1 << 20
+HELD, CHUNK = 500_000, 1 << 19
 
 #: place: the text's version and the start; later: a copy of a context that comes earlier in the task; known: the context has copies.
 RUNS = "gram bigint, context bigint, key bigint, place bigint, size int, anchor int, later boolean, known boolean"
