@@ -9,8 +9,8 @@
    order, so documents meet by those few, and a boilerplate passage, however frequent,
    brings none together.
 3. Classes that meet form units around the least class of each shingle.  In a unit the
-   sets go into a trie, most frequent shingle first, so near copies share long paths; a
-   query set walks down with its partial overlap and leaves a subtree when even all that
+   sets go into a trie by the global order, from its frequent end, so near copies share long
+   paths; a query set walks down with its partial overlap and leaves a subtree when even all that
    remains can't reach the threshold, or when all its sets are already linked with it.
    A unit above ``UNIT_SHINGLES`` is dealt into blocks: blocks are joined within, and the sets
    not linked with the unit's centre, as queries, with every other block.
@@ -20,15 +20,16 @@ No link is lost and nothing is capped or sampled; copies are never expanded into
 
 Defined results: null or empty text, or text without words, has no shingles and is alone
 in its component; fewer words than the shingle size are one shingle; rows with a null key
-are left out; equal texts are one class; rows that repeat whole (key and text) are one
-document; extra columns are ignored, whatever their names.
+are counted, linked with nothing and have no component; equal texts are one class; every row
+of the input is a row of the result, so rows that repeat whole (key and text) repeat with
+the same values; a key must not have two texts (it would count as one document); extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import gc
 import time
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from recollect.llm import packed
+from recollect.llm.shared import folder as shared_folder
 from recollect.llm.shipping import ship
 from recollect.llm.textbatch import LOWER, SPACE, byte_sums, mix, pieces, prefix_sums, ragged, span_hashes, window_hashes, words
 
@@ -72,9 +74,8 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarr
     return d[new], h[new]
 
 
-def _sender(size: int, keys: list[int], back: list[int]):
+def _sender(size: int, n: int):
     """Shingles of one document in a task go as (hash, document); of more, as (hash, count) and a list that waits for the count."""
-    n = len(keys)
 
     def rows(d: np.ndarray, h: np.ndarray, task: int) -> list[tuple]:
         order = np.lexsort((d, h))
@@ -82,13 +83,13 @@ def _sender(size: int, keys: list[int], back: list[int]):
         start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
         count = np.diff(np.append(start, len(h)))
         one, more = start[count == 1], start[count > 1]
-        out = [(keys[s], SINGLES, packed.pack_sorted(h[one][lo:hi]), packed.planes(d[one][lo:hi]), None) for s, lo, hi in packed.runs_of(packed.slots(h[one], n))]
+        out = [(s, SINGLES, packed.pack_sorted(h[one][lo:hi]), packed.planes(d[one][lo:hi]), None) for s, lo, hi in packed.runs_of(packed.slots(h[one], n))]
         if len(more):
             times = count[count > 1]
             place = task.to_bytes(8, "big")
-            out += [(keys[s], MANY, packed.pack_sorted(h[more][lo:hi]), packed.planes(times[lo:hi].astype(np.uint32)), place) for s, lo, hi in packed.runs_of(packed.slots(h[more], n))]
+            out += [(s, MANY, packed.pack_sorted(h[more][lo:hi]), packed.planes(times[lo:hi].astype(np.uint32)), place) for s, lo, hi in packed.runs_of(packed.slots(h[more], n))]
             holders = d[ragged(more, times)]
-            out.append((back[task % len(back)], HOLDERS, packed.pack_sorted(h[more]), packed.planes(times.astype(np.uint32)) + packed.planes(holders), place))
+            out.append((task % n, HOLDERS, packed.pack_sorted(h[more]), packed.planes(times.astype(np.uint32)) + packed.planes(holders), place))
         return out
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +112,7 @@ def _sender(size: int, keys: list[int], back: list[int]):
                 sums[1, d[first]] = np.add.reduceat(mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), first)
             same = mix(sums[0] ^ mix(sums[1] + n_own.astype(np.uint64)))
             cells = packed.planes(key), packed.planes(n_own.astype(np.int64)), packed.planes(same)
-            yield packed.packed_batch([(back[int(key[0]) % len(back)], DOCUMENT, *cells)])
+            yield packed.packed_batch([(int(key[0]) % n, DOCUMENT, *cells)])
             held.append((key[d], h))
             have += len(h)
             if have >= packed.GATHERED:
@@ -124,35 +125,46 @@ def _sender(size: int, keys: list[int], back: list[int]):
 
 
 #: owner: a document (kind SINGLES) or a task (kinds MANY and HOLDERS)
-def _count(keys: list[int]):
-    n = len(keys)
-
+def _count(n: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = packed.gathered(batches)
+        keys: set[int] = set()
+        cells = packed.gathered(packed.noted(batches, keys))
         for kind in (HOLDERS, DOCUMENT):
-            for key, held in cells[kind].items():
-                yield packed.packed_batch([(key, kind, *x) for x in held])
-        for key in {*cells[SINGLES], *cells[MANY]}:
-            one, more = cells[SINGLES][key], cells[MANY][key]
-            parts = [packed.unpack_sorted(a) for a, _, _ in one] + [packed.unpack_sorted(a) for a, _, _ in more]
-            h = np.concatenate(parts)
-            owner = np.concatenate([packed.from_planes(b, np.int64) for _, b, _ in one] + [np.full(len(p), int.from_bytes(c, "big"), np.int64) for p, (_, _, c) in zip(parts[len(one) :], more, strict=True)])
-            times = np.concatenate([np.ones(sum(map(len, parts[: len(one)])), np.int64)] + [packed.from_planes(b, np.uint32).astype(np.int64) for _, b, _ in more])
-            single = np.arange(len(h)) < sum(map(len, parts[: len(one)]))
-            order = np.argsort(h, kind="stable")
-            start = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
-            total = np.add.reduceat(times[order], start)
-            df = np.empty(len(h), np.int64)
-            df[order] = np.repeat(total, np.diff(np.append(start, len(h))))
-            df = np.minimum(df, 0xFFFFFFFF).astype(np.uint32)
-            yield from told(h, owner, df, single & (df > 1), SINGLES)
-            yield from told(h, owner, df, ~single, MANY)
+            if cells[kind]:
+                yield packed.packed_batch([(*keys, kind, *x) for x in cells[kind]])
+        one, more = cells[SINGLES], cells[MANY]
+        if not one and not more:
+            return
+        parts = [packed.unpack_sorted(a) for a, _, _ in one] + [packed.unpack_sorted(a) for a, _, _ in more]
+        h = np.concatenate(parts)
+        owner = np.concatenate([packed.from_planes(b, np.int64) for _, b, _ in one] + [np.full(len(p), int.from_bytes(c, "big"), np.int64) for p, (_, _, c) in zip(parts[len(one) :], more, strict=True)])
+        single = np.arange(len(h)) < sum(map(len, parts[: len(one)]))
+        times = np.concatenate([np.ones(int(single.sum()), np.int64)] + [packed.from_planes(b, np.uint32).astype(np.int64) for _, b, _ in more])
+        order = np.argsort(h, kind="stable")
+        start = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+        total = np.add.reduceat(times[order], start)
+        df = np.empty(len(h), np.int64)
+        df[order] = np.repeat(total, np.diff(np.append(start, len(h))))
+        df = np.minimum(df, 0xFFFFFFFF).astype(np.uint32)
+        yield from told(h, owner, df, single & (df > 1), SINGLES)
+        yield from told(h, owner, df, ~single, MANY)
 
     def told(h: np.ndarray, owner: np.ndarray, df: np.ndarray, which: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
         h, owner, df = h[which], owner[which], df[which]
         slot = packed.slots(mix(owner.view(np.uint64)), n) if kind == SINGLES else owner % n
         order = np.lexsort((h, slot))
-        yield packed.packed_batch([(keys[s], kind, packed.pack_sorted(h[order[lo:hi]]), packed.planes(df[order[lo:hi]]), packed.planes(owner[order[lo:hi]])) for s, lo, hi in packed.runs_of(slot[order])])
+        yield packed.packed_batch([(s, kind, packed.pack_sorted(h[order[lo:hi]]), packed.planes(df[order[lo:hi]]), packed.planes(owner[order[lo:hi]])) for s, lo, hi in packed.runs_of(slot[order])])
+
+    return count
+
+
+def _counter(size: int):
+    """The number of shingles of every text."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, buf, offs in pieces(batches, "_text"):
+            d, _ = shingle_sets(buf, offs, size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.bincount(d, minlength=batch.num_rows).astype(np.int64))], names=["n_shingles"])
 
     return count
 
@@ -171,35 +183,26 @@ def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = pa.nulls(len(found), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array([x for x, _, _ in found], pa.int64()), none, none, pa.array([h[lo:hi].tobytes() for _, lo, hi in found], pa.binary()), pa.array([df[lo:hi].tobytes() for _, lo, hi in found], pa.binary())], names=["key", "n", "same", "shared", "df"])
 
-    for held in cells[DOCUMENT].values():
-        for a, b, c in held:
-            key, n, same = packed.from_planes(a, np.int64), packed.from_planes(b, np.int64), packed.from_planes(c, np.int64)
-            none = pa.nulls(len(key), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n), pa.array(same), none, none], names=["key", "n", "same", "shared", "df"])
-    for held in cells[SINGLES].values():
-        h, df, d = (np.concatenate(x) for x in zip(*((packed.unpack_sorted(a), packed.from_planes(b, np.uint32), packed.from_planes(c, np.int64)) for a, b, c in held), strict=True))
+    for a, b, c in cells[DOCUMENT]:
+        key, n, same = packed.from_planes(a, np.int64), packed.from_planes(b, np.int64), packed.from_planes(c, np.int64)
+        none = pa.nulls(len(key), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n), pa.array(same), none, none], names=["key", "n", "same", "shared", "df"])
+    if cells[SINGLES]:
+        h, df, d = (np.concatenate(x) for x in zip(*((packed.unpack_sorted(a), packed.from_planes(b, np.uint32), packed.from_planes(c, np.int64)) for a, b, c in cells[SINGLES]), strict=True))
         yield shared(d, h, df)
     counts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-    for held in cells[MANY].values():
-        for a, b, c in held:
-            h, df, task = packed.unpack_sorted(a), packed.from_planes(b, np.uint32), packed.from_planes(c, np.int64)
-            for t in np.unique(task).tolist():
-                counts.setdefault(t, []).append((h[task == t], df[task == t]))
-    for held in cells[HOLDERS].values():
-        for a, b, c in held:
-            h = packed.unpack_sorted(a)
-            times = packed.from_planes(b[: 4 * len(h)], np.uint32).astype(np.int64)
-            d = packed.from_planes(b[4 * len(h) :], np.int64)
-            known, df = (np.concatenate(x) for x in zip(*counts[int.from_bytes(c, "big")], strict=True))
-            order = np.argsort(known)
-            df = df[order][np.searchsorted(known[order], h)]
-            yield shared(d, np.repeat(h, times), np.repeat(df, times))
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir')}/shared"
-    return f"{top}/jaccard-{uuid.uuid4().hex}"
+    for a, b, c in cells[MANY]:
+        h, df, task = packed.unpack_sorted(a), packed.from_planes(b, np.uint32), packed.from_planes(c, np.int64)
+        for t in np.unique(task).tolist():
+            counts.setdefault(t, []).append((h[task == t], df[task == t]))
+    for a, b, c in cells[HOLDERS]:
+        h = packed.unpack_sorted(a)
+        times = packed.from_planes(b[: 4 * len(h)], np.uint32).astype(np.int64)
+        d = packed.from_planes(b[4 * len(h) :], np.int64)
+        known, df = (np.concatenate(x) for x in zip(*counts[int.from_bytes(c, "big")], strict=True))
+        order = np.argsort(known)
+        df = df[order][np.searchsorted(known[order], h)]
+        yield shared(d, np.repeat(h, times), np.repeat(df, times))
 
 
 def release(spark: SparkSession) -> None:
@@ -239,12 +242,11 @@ def document_sets(df: DataFrame, *, key: str, text: str, size: int, percent: int
     """key, n, same (class), shared (of candidates: shared shingles, rarest first), prefix."""
     spark = df.sparkSession
     ship(spark)
-    n, n_back = packed.partitions(spark)
-    keys, back = packed.partition_keys(spark, n), packed.partition_keys(spark, n_back)
+    n = packed.ranges(spark)
     rows = df.where(F.col(key).isNotNull()).select(F.col(text).alias("_text"), F.col(key).cast("bigint").alias("_key"))
-    sent = packed.shuffled(rows.mapInArrow(_sender(size, keys, back), packed.PACKED), n)
-    told = packed.shuffled(sent.mapInArrow(_count(back), packed.PACKED), n_back)
-    parts = told.mapInArrow(_by_document, SETS)
+    sent = rows.mapInArrow(_sender(size, n), packed.PACKED)
+    told = sent.groupBy("key").applyInArrow(_count(n), packed.PACKED)
+    parts = told.groupBy("key").applyInArrow(_by_document, SETS)
     whole = parts.groupBy("key").agg(F.max("n").alias("n"), F.max("same").alias("same"), F.collect_list("shared").alias("shared"), F.collect_list("df").alias("df"))
     return whole.mapInArrow(_ordered(percent), "key bigint, n bigint, same bigint, shared binary, prefix bigint")
 
@@ -343,16 +345,9 @@ class Trie:
             children = edge[2]
 
 
-def _frequent_first(sets: list[np.ndarray]) -> list[tuple[int, ...]]:
-    """The sets as paths, by how many of these sets have a shingle."""
-    h = np.concatenate(sets)
-    _, which, n = np.unique(h, return_inverse=True, return_counts=True)
-    order = np.argsort(np.argsort(-n, kind="stable"))[which]
-    out, at = [], 0
-    for s in sets:
-        out.append(tuple(np.sort(order[at : at + len(s)]).tolist()))
-        at += len(s)
-    return out
+def _paths(shared: pa.ChunkedArray) -> list[tuple[int, ...]]:
+    """The sets as paths in the global order backwards: the most frequent shingle of the corpus first."""
+    return [tuple(np.frombuffer(x, np.int64)[::-1].tolist()) for x in shared.to_pylist()]
 
 
 def _unit_links(percent: int):
@@ -361,7 +356,7 @@ def _unit_links(percent: int):
     def join(table: pa.Table) -> pa.Table:
         same = table.column("same").to_pylist()
         sizes = table.column("n").to_pylist()
-        paths = _frequent_first([np.frombuffer(x, np.int64) for x in table.column("shared").to_pylist()])
+        paths = _paths(table.column("shared"))
         order = sorted(range(len(same)), key=lambda i: (sizes[i], same[i]))
         trie, out = Trie(percent), []
         for k, i in enumerate(order):
@@ -376,7 +371,7 @@ def _query_links(percent: int):
 
     def join(table: pa.Table) -> pa.Table:
         same, sizes, query, component = (table.column(c).to_pylist() for c in ("same", "n", "query", "component"))
-        paths = _frequent_first([np.frombuffer(x, np.int64) for x in table.column("shared").to_pylist()])
+        paths = _paths(table.column("shared"))
         trie, names, of, out = Trie(percent), [], {}, []
         for i in range(len(same)):
             if not query[i]:
@@ -441,7 +436,7 @@ def similar_groups(df: DataFrame, *, key: str = "doc_id", text: str = "text", si
     ``key`` is a whole number that identifies a document.
     """
     spark = df.sparkSession
-    folder = shared_folder(spark)
+    folder = shared_folder(spark, "jaccard")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(f"{folder}/checkpoints")
     document_sets(df, key=key, text=text, size=size, percent=percent).write.parquet(f"{folder}/sets")
@@ -453,4 +448,8 @@ def similar_groups(df: DataFrame, *, key: str = "doc_id", text: str = "text", si
     least = whole.groupBy("component").agg(F.min("first").alias("component_id"))
     named = whole.join(least, "component").select("same", "component_id")
     out = sets.select("key", "n", F.when(F.col("n") > 0, F.col("same")).alias("same")).join(named, "same", "left")
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
+    result = out.select(F.col("key").alias("_known"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias(key))
+    known = rows.join(result, rows[key] == result["_known"]).select(key, "n_shingles", "component_id")
+    alone = df.where(F.col(key).isNull()).select(F.col(text).alias("_text")).mapInArrow(_counter(size), "n_shingles bigint")
+    return known.unionByName(alone.select(F.lit(None).cast("bigint").alias(key), "n_shingles", F.lit(None).cast("bigint").alias("component_id")))

@@ -1,9 +1,10 @@
 """Counting hashes across a corpus: columns of numbers packed into binary cells.
 
-Rows of (hash, number) would cost a JVM row each.  Tasks instead send, for every
-partition of the shuffle, one row with all their hashes of that partition as a binary
-cell: sorted, as differences, by byte planes, which the shuffle's compression shrinks.
-The work itself (partitioning, shuffling, retrying) stays with Spark.
+Rows of (hash, number) would cost a JVM row each.  Tasks instead send, for every range of
+hashes, one row with all their hashes of that range as a binary cell: sorted, as
+differences, by byte planes, which the shuffle's compression shrinks.  Spark groups the
+cells by range, and a function gets one range at a time: a fraction of a shuffle partition
+(``RANGES`` of them on average), never more.
 """
 
 from __future__ import annotations
@@ -13,12 +14,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import SparkSession
 
 #: Hashes that a task gathers before it hands them on.
 GATHERED = 1_000_000
+#: Ranges for each shuffle partition.
+RANGES = 4
 
-#: key: which partition; kind: what the cells hold.
+#: key: which range; kind: what the cells hold.
 PACKED = "key int, kind int, a binary, b binary, c binary"
 
 
@@ -43,24 +46,13 @@ def unpack_sorted(cell: bytes) -> np.ndarray:
     return np.cumsum(from_planes(cell, np.uint64), dtype=np.uint64)
 
 
-def partitions(spark: SparkSession) -> tuple[int, int]:
-    """Shuffle partitions for hashes, which take more memory to unpack than rows, and for what goes back to documents.
-
-    Every task of the first kind sends a cell to every one of the second, so those are fewer.
-    """
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return 3 * n, n
-
-
-def partition_keys(spark: SparkSession, n: int) -> list[int]:
-    """For each of n partitions a key that repartition(n, key) sends there."""
-    found = spark.range(n * (16 + n.bit_length())).select(F.col("id").cast("int").alias("key")).groupBy(F.pmod(F.hash("key"), F.lit(n)).alias("p")).agg(F.min("key").alias("key"))
-    keys = {r["p"]: r["key"] for r in found.collect()}  # n small rows
-    return [keys.get(p, p) for p in range(n)]
+def ranges(spark: SparkSession) -> int:
+    """How many ranges there are: they follow the number of shuffle partitions, which is set to the size of the data."""
+    return RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def slots(hashes: np.ndarray, n: int) -> np.ndarray:
-    """The partition of each hash; sorted hashes have sorted partitions."""
+    """The range of each hash, of n; sorted hashes have sorted ranges."""
     return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
@@ -78,14 +70,17 @@ def packed_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["key", "kind", "a", "b", "c"])
 
 
-def gathered(batches: Iterator[pa.RecordBatch]) -> dict[int, dict[int, list[tuple]]]:
-    """All cells of a partition: kind -> key -> [(a, b, c)]."""
-    out: dict[int, dict[int, list[tuple]]] = defaultdict(lambda: defaultdict(list))
+def gathered(batches: Iterator[pa.RecordBatch]) -> dict[int, list[tuple]]:
+    """All cells of a range: kind -> [(a, b, c)]."""
+    out: dict[int, list[tuple]] = defaultdict(list)
     for batch in batches:
-        for key, kind, a, b, c in zip(*(column.to_pylist() for column in batch.columns), strict=True):
-            out[kind][key].append((a, b, c))
+        for kind, a, b, c in zip(*(column.to_pylist() for column in batch.columns[1:]), strict=True):
+            out[kind].append((a, b, c))
     return out
 
 
-def shuffled(df: DataFrame, n: int) -> DataFrame:
-    return df.repartition(n, "key")
+def noted(batches: Iterator[pa.RecordBatch], keys: set[int]) -> Iterator[pa.RecordBatch]:
+    """The same batches; keys learns their range."""
+    for batch in batches:
+        keys.add(batch.column(0)[0].as_py())
+        yield batch

@@ -81,7 +81,22 @@ def test_empty_table_and_repeated_rows(spark):
     assert run(spark, []) == set()
     rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (3, None)]
     df = spark.createDataFrame([(i, t, "n", "same") for i, t in rows], "doc_id long, text string, n string, component_id string")
-    assert {tuple(x) for x in similar_groups(df).collect()} == {(1, 3, 1), (2, 3, 1), (3, 0, 3)}
+    assert sorted(tuple(x) for x in similar_groups(df).collect()) == [(1, 3, 1), (1, 3, 1), (2, 3, 1), (3, 0, 3)]
+
+
+def test_rows_without_a_key_are_counted_and_alone(spark):
+    text = "a b c d e f g"
+    df = spark.createDataFrame([(None, text), (None, text), (None, None), (4, text), (5, text + " h")], "doc_id long, text string")
+    got = sorted((x["doc_id"] or 0, x["n_shingles"], x["component_id"]) for x in similar_groups(df).collect())
+    assert got == [(0, 0, None), (0, 3, None), (0, 3, None), (4, 3, 4), (5, 4, 4)]
+
+
+def test_very_long_text(spark):
+    r = random.Random(8)
+    words = [f"w{r.randrange(10**6)}" for _ in range(300_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-50_000])), (3, " ".join(words[: len(words) // 2]))]
+    sets = {i: shingles(t) for i, t in rows}
+    assert run(spark, rows) == {(1, len(sets[1]), 1), (2, len(sets[2]), 1), (3, len(sets[3]), 3)}
 
 
 def test_trie_finds_all_links():
