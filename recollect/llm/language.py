@@ -2,7 +2,8 @@
 
 Training counts words (maximal runs of letters, A-Z lower-cased) and the n-grams of
 those words by language over all training rows, with partial counts in the tasks.  The
-model keeps each language's most frequent words and n-grams, so its size is fixed.
+model keeps each language's most frequent words and n-grams (``MODEL_WORDS``, ``MODEL_GRAMS``),
+so that its size is fixed for each language; less frequent words count as unseen.
 
 A word that is known in some language scores its log frequency in each.  An unseen word
 is covered by n-grams: at every position the longest n-gram that is known in some
@@ -36,8 +37,6 @@ LONGEST = 5
 MODEL_WORDS, MODEL_GRAMS = 50_000, 20_000
 #: Counts that a task gathers before it hands them on.
 GATHERED = 1_000_000
-#: The best of a language are found in so many parts before the last comparison.
-FINAL_SALTS = 8
 
 
 def _character_words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -162,12 +161,14 @@ def train(rows: DataFrame, *, text: str = "text", lang: str = "lang", words: int
     ship(rows.sparkSession)
     parts = rows.where(F.col(lang).isNotNull()).select(F.col(text).alias("_text"), F.col(lang).alias("_lang")).mapInArrow(_counts, "kind int, lang string, hash bigint, n bigint")
     counts = parts.groupBy("kind", "lang", "hash").agg(F.sum("n").alias("n"))
-    most = F.when(F.col("kind") == 0, words).otherwise(grams)
-    kept = counts
-    for salts in (int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), FINAL_SALTS, 1):  # a language may have most of the words
-        best = Window.partitionBy("kind", "lang", F.pmod("hash", F.lit(salts))).orderBy(F.desc("n"), "hash")
-        kept = kept.withColumn("place", F.row_number().over(best)).where(F.col("place") <= max(words, grams)).where(F.col("place") <= most).drop("place")
-    found = kept.select("kind", "lang", "hash", "n").toArrow()
+    # how many words have which count tells from which count on a language keeps them; of those at the edge a share, by hash
+    tally = counts.groupBy("kind", "lang", "n").agg(F.count("*").alias("size"))
+    above = F.sum("size").over(Window.partitionBy("kind", "lang").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1))
+    room = F.when(F.col("kind") == 0, words).otherwise(grams) - F.coalesce(above, F.lit(0))
+    edge = tally.withColumn("share", room / F.col("size")).where("share > 0").groupBy("kind", "lang").agg(F.min_by("share", "n").alias("share"), F.min("n").alias("least"))
+    found = counts.join(F.broadcast(edge), ["kind", "lang"])  # a row for each kind and language
+    drawn = F.pmod(F.xxhash64("hash"), F.lit(1 << 20)) < F.col("share") * (1 << 20)
+    found = found.where((F.col("n") > F.col("least")) | ((F.col("n") == F.col("least")) & drawn)).select("kind", "lang", "hash", "n").toArrow()
     langs = sorted(set(found.column("lang").to_pylist()))
     kind, hashes, n = (found.column(c).to_numpy() for c in ("kind", "hash", "n"))
     which = np.searchsorted(langs, found.column("lang").to_numpy(zero_copy_only=False).astype(str)) if langs else np.zeros(0, np.int64)

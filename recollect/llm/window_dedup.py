@@ -30,8 +30,10 @@ from recollect.llm.shipping import ship
 from recollect.llm.textbatch import SPACE, byte_sums, mix, pieces, span_hashes, window_hashes, words
 
 WINDOW = 20
-#: Hashes that a task gathers before it hands them on, and ranges of hashes for each shuffle partition.
-GATHERED, RANGES = 1_000_000, 8
+#: Hashes that a task gathers before it hands them on.
+GATHERED = 1_000_000
+#: For each shuffle partition, those for the hashes (a hash takes more memory than its bytes in the shuffle), and ranges of hashes.
+PARTITIONS, RANGES = 3, 16
 
 #: copy: the document is not the smallest of its task that has the hash.
 CELLS = "range int, hash array<bigint>, document array<bigint>, copy array<boolean>"
@@ -124,9 +126,10 @@ def later_windows(df: DataFrame, *, key: str = "doc_id", text: str = "text", win
     """(_document, _later): the hashes of the windows that also occur in a smaller document."""
     spark = df.sparkSession
     ship(spark)
-    ranges = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = RANGES * partitions
     rows = df.where(F.col(key).isNotNull()).select(F.col(text).alias("_text"), F.col(key).cast("bigint").alias("_key"))
-    dealt = rows.mapInArrow(_sender(window, ranges), CELLS).repartition("range")
+    dealt = rows.mapInArrow(_sender(window, ranges), CELLS).repartition(PARTITIONS * partitions, "range")
     # both read the same shuffle, and need no other: a hash is always of the same range
     every = dealt.select("range", F.explode(F.arrays_zip("hash", "document", "copy")).alias("x")).select("range", "x.*")
     number = F.rank().over(Window.partitionBy("hash", "range").orderBy("document"))
