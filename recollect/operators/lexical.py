@@ -33,20 +33,31 @@ class Index:
 
 def term_counts(docs: DataFrame, by: Sequence[str] = (), wanted: DataFrame | None = None) -> DataFrame:
     """by, id, length, term, n; of the wanted terms where they are given"""
+    return _counted(docs, by, wanted).where("n > documents").drop("documents")
+
+
+def _counted(docs: DataFrame, by: Sequence[str], wanted: DataFrame | None) -> DataFrame:
+    """by, id, length, term, n (times in the document), documents: tokens are found once for everything that an index needs.
+
+    An empty term stands for the document (documents 1, else 0).
+    """
     said = docs.select(*by, "id", tokens("text").alias("_tokens"))
-    said = said.select(*by, "id", F.size("_tokens").alias("length"), F.explode("_tokens").alias("term"))
+    said = said.select(*by, "id", F.size("_tokens").cast("bigint").alias("length"), F.explode(F.concat(F.array(F.lit("")), F.col("_tokens"))).alias("term"))
+    said = said.withColumn("term", F.coalesce("term", F.lit("")))  # never null, and known to be: no reader filters its own way
     if wanted is not None:
-        said = said.join(wanted.select("term"), "term", "left_semi")
-    return said.groupBy(*by, "id", "length", "term").agg(F.count("*").alias("n"))
+        said = said.join(wanted.select("term", F.lit(True).alias("_wanted")), "term", "left").where("_wanted or term = ''").drop("_wanted")
+    return said.groupBy(*by, "id", "length", "term").agg(F.count(F.when(F.col("term") != "", 1)).alias("n"), F.count(F.when(F.col("term") == "", 1)).alias("documents"))
 
 
 def build_index(docs: DataFrame, by: Sequence[str] = (), wanted: DataFrame | None = None) -> Index:
-    """docs: id, text and the columns of ``by``.  ``wanted`` (term) leaves other terms' postings out; the statistics are those of all."""
+    """docs: id, text and the columns of ``by``.  ``wanted`` (distinct term) leaves other terms' postings out; the statistics are those of all."""
     by = list(by)
-    lengths = docs.select(*by, "id", F.size(tokens("text")).cast("bigint").alias("length"))
-    corpus = lengths.groupBy(*by).agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
-    counts = term_counts(docs, by, wanted).withColumn("tf", F.col("n").cast("double") / F.col("length")).drop("n")
-    df = counts.groupBy(*by, "term").agg(F.count("*").alias("df"))
+    counted = _counted(docs, by, wanted)
+    # told apart by both sums, so that all readers share one shuffle
+    lengths = counted.where("documents > n").select(*by, "id", "length")
+    corpus = counted.where("documents > n").groupBy(*by).agg(F.sum("documents").alias("n"), (F.sum(F.col("length") * F.col("documents")) / F.sum("documents")).alias("mean_length"))
+    counts = counted.where("n > documents").withColumn("tf", F.col("n").cast("double") / F.col("length")).drop("n", "documents")
+    df = counted.where("n > documents").groupBy(*by, "term").agg(F.count("*").alias("df"))
     # one row without `by`, else a row for each part
     terms = (df.join(corpus, by) if by else df.crossJoin(F.broadcast(corpus))).withColumn("idf", idf(F.col("n"), F.col("df")))
     postings = counts.join(terms, [*by, "term"]).withColumn("weight", bm25_term(F.col("idf"), F.col("tf"), F.col("length"), F.col("mean_length")))
