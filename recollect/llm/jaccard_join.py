@@ -74,7 +74,7 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarr
     return d[new], h[new]
 
 
-def _sender(size: int, n: int):
+def _sender(size: int, n: int, back: int):
     """Shingles of one document in a task go as (hash, document); of more, as (hash, count) and a list that waits for the count."""
 
     def rows(d: np.ndarray, h: np.ndarray, task: int) -> list[tuple]:
@@ -89,7 +89,7 @@ def _sender(size: int, n: int):
             place = task.to_bytes(8, "big")
             out += [(s, MANY, packed.pack_sorted(h[more][lo:hi]), packed.planes(times[lo:hi].astype(np.uint32)), place) for s, lo, hi in packed.runs_of(packed.slots(h[more], n))]
             holders = d[ragged(more, times)]
-            out.append((task % n, HOLDERS, packed.pack_sorted(h[more]), packed.planes(times.astype(np.uint32)) + packed.planes(holders), place))
+            out.append((task % back, HOLDERS, packed.pack_sorted(h[more]), packed.planes(times.astype(np.uint32)) + packed.planes(holders), place))
         return out
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +112,7 @@ def _sender(size: int, n: int):
                 sums[1, d[first]] = np.add.reduceat(mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), first)
             same = mix(sums[0] ^ mix(sums[1] + n_own.astype(np.uint64)))
             cells = packed.planes(key), packed.planes(n_own.astype(np.int64)), packed.planes(same)
-            yield packed.packed_batch([(int(key[0]) % n, DOCUMENT, *cells)])
+            yield packed.packed_batch([(int(key[0]) % back, DOCUMENT, *cells)])
             held.append((key[d], h))
             have += len(h)
             if have >= packed.GATHERED:
@@ -125,7 +125,7 @@ def _sender(size: int, n: int):
 
 
 #: owner: a document (kind SINGLES) or a task (kinds MANY and HOLDERS)
-def _count(n: int):
+def _count(back: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: set[int] = set()
         cells = packed.gathered(packed.noted(batches, keys))
@@ -151,7 +151,7 @@ def _count(n: int):
 
     def told(h: np.ndarray, owner: np.ndarray, df: np.ndarray, which: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
         h, owner, df = h[which], owner[which], df[which]
-        slot = packed.slots(mix(owner.view(np.uint64)), n) if kind == SINGLES else owner % n
+        slot = packed.slots(mix(owner.view(np.uint64)), back) if kind == SINGLES else owner % back
         order = np.lexsort((h, slot))
         yield packed.packed_batch([(s, kind, packed.pack_sorted(h[order[lo:hi]]), packed.planes(df[order[lo:hi]]), packed.planes(owner[order[lo:hi]])) for s, lo, hi in packed.runs_of(slot[order])])
 
@@ -242,10 +242,10 @@ def document_sets(df: DataFrame, *, key: str, text: str, size: int, percent: int
     """key, n, same (class), shared (of candidates: shared shingles, rarest first), prefix."""
     spark = df.sparkSession
     ship(spark)
-    n = packed.ranges(spark)
+    n, back = packed.ranges(spark)
     rows = df.where(F.col(key).isNotNull()).select(F.col(text).alias("_text"), F.col(key).cast("bigint").alias("_key"))
-    sent = rows.mapInArrow(_sender(size, n), packed.PACKED)
-    told = sent.groupBy("key").applyInArrow(_count(n), packed.PACKED)
+    sent = rows.mapInArrow(_sender(size, n, back), packed.PACKED)
+    told = sent.groupBy("key").applyInArrow(_count(back), packed.PACKED)
     parts = told.groupBy("key").applyInArrow(_by_document, SETS)
     whole = parts.groupBy("key").agg(F.max("n").alias("n"), F.max("same").alias("same"), F.collect_list("shared").alias("shared"), F.collect_list("df").alias("df"))
     return whole.mapInArrow(_ordered(percent), "key bigint, n bigint, same bigint, shared binary, prefix bigint")
@@ -445,7 +445,8 @@ def similar_groups(df: DataFrame, *, key: str = "doc_id", text: str = "text", si
     groups = components(links(sets, percent=percent, unit_shingles=unit_shingles))
     classes = sets.where("n > 0").groupBy("same").agg(F.min("key").alias("first"))
     whole = classes.join(groups, classes["same"] == groups["node"], "left").select("same", "first", F.coalesce("component", "same").alias("component"))
-    least = whole.groupBy("component").agg(F.min("first").alias("component_id"))
+    # dealt again, so that Spark can split the join where a component has very many classes
+    least = whole.groupBy("component").agg(F.min("first").alias("component_id")).repartition("component")
     named = whole.join(least, "component").select("same", "component_id")
     out = sets.select("key", "n", F.when(F.col("n") > 0, F.col("same")).alias("same")).join(named, "same", "left")
     result = out.select(F.col("key").alias("_known"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))

@@ -18,8 +18,8 @@ from pyspark.sql import SparkSession
 
 #: Hashes that a task gathers before it hands them on.
 GATHERED = 1_000_000
-#: Ranges for each shuffle partition.
-RANGES = 4
+#: Ranges for each shuffle partition: of hashes, which take more memory unpacked, and for what goes back to documents.
+RANGES, BACK_RANGES = 3, 1
 
 #: key: which range; kind: what the cells hold.
 PACKED = "key int, kind int, a binary, b binary, c binary"
@@ -46,9 +46,14 @@ def unpack_sorted(cell: bytes) -> np.ndarray:
     return np.cumsum(from_planes(cell, np.uint64), dtype=np.uint64)
 
 
-def ranges(spark: SparkSession) -> int:
-    """How many ranges there are: they follow the number of shuffle partitions, which is set to the size of the data."""
-    return RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
+def ranges(spark: SparkSession) -> tuple[int, int]:
+    """How many ranges there are of either kind.
+
+    They follow the number of shuffle partitions, which is set to the size of the data.  A range
+    of the first kind sends a cell to every one of the second, so those are fewer.
+    """
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return RANGES * n, BACK_RANGES * n
 
 
 def slots(hashes: np.ndarray, n: int) -> np.ndarray:
