@@ -101,6 +101,18 @@ def csr(index: Index) -> DataFrame:
     return terms.withColumn("_own", own).join(before, "_start").select("term", "term_id", "df", (F.col("_before") + F.col("_own")).cast("bigint").alias("first"))
 
 
+def skip_stats(queries: DataFrame, index: Index, k: int) -> DataFrame:
+    """query_id, postings, skipped, skip_rate: of a query's postings those that can't bring a new document among its k best.
+
+    They are those of the terms whose bound (from that term on) is below the k-th score.
+    """
+    last = bm25(queries, index, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("_last"))
+    rows = remaining_bounds(queries, index).join(index.terms.select("term", "df"), "term").join(last, "query_id", "left")
+    skipped = F.sum(F.when(F.col("bound") < F.coalesce("_last", F.lit(0.0)), F.col("df")).otherwise(0))
+    out = rows.groupBy("query_id").agg(F.sum("df").alias("postings"), skipped.alias("skipped"))
+    return out.withColumn("skip_rate", rounded(F.col("skipped") / F.col("postings")))
+
+
 def remaining_bounds(queries: DataFrame, index: Index) -> DataFrame:
     """query_id, term, place, bound: a query's terms by the most they can add, and the most that terms from here on add together."""
     terms = query_terms(queries).join(max_weights(index), "term").withColumn("most", rounded(F.col("times") * F.col("max_score")))

@@ -60,3 +60,9 @@ def search_stats(queries: DataFrame, records: DataFrame, k: int, most: int = MOS
     read = stops(queries, found, records, k, most, threshold).join(F.broadcast(places), F.col("po") <= F.col("stop"))  # at most `most` rows
     counted = read.groupBy("query_id").agg(F.count("*").alias("partitions_searched"), F.sum("records").alias("records_searched"))
     return counted.crossJoin(F.broadcast(total)).select("query_id", "partitions_searched", "records_searched", F.round(F.col("records_searched") / F.col("total"), 8).alias("search_fraction"))
+
+
+def mean_stats(stats: DataFrame) -> DataFrame:
+    """queries, and over them the mean buckets searched, the mean share of records searched, and the share skipped."""
+    mean = F.avg("search_fraction")
+    return stats.agg(F.count("*").alias("queries"), F.round(F.avg("partitions_searched"), 6).alias("partitions_searched"), F.round(mean, 6).alias("search_fraction"), F.round(1 - mean, 6).alias("skip_rate"))

@@ -80,9 +80,12 @@ def consolidated(clustered: DataFrame) -> DataFrame:
 
 def centroids(clustered: DataFrame) -> DataFrame:
     """cluster, embedding: the normalised sum of the members' embeddings, for clusters of two or more."""
-    parts = clustered.select("cluster", F.posexplode("embedding").alias("pos", "x")).groupBy("cluster", "pos").agg(F.sum(F.col("x").cast("double")).alias("x"), F.count("*").alias("n"))
-    sums = parts.groupBy("cluster").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("v")).where("n >= 2")
-    return sums.select("cluster", normalised(F.transform("v", lambda p: p["x"])).alias("embedding"))
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    members = clustered.where("embedding is not null").select("cluster", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
+    sums = members.groupBy("cluster").agg(F.count("*").alias("n"), Summarizer.sum(F.col("v")).alias("v")).where("n >= 2")
+    return sums.select("cluster", normalised(vector_to_array("v")).alias("embedding"))
 
 
 def semantic_entries(clustered: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from recollect.functions.constants import ROLES, STOPWORDS
+from recollect.functions.constants import ROLES, STOPWORDS, TIERS, TOOLS
 
 STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
 
+TOOL_LIST, TIER_LIST = ("[" + ", ".join(f"'{w}'" for w in names) + "]" for names in (TOOLS, TIERS))
+
 
 def tok(column: str) -> str:
     return f"list_filter(list_transform(regexp_extract_all(coalesce({column}, ''), '[A-Za-z0-9]+'), lambda x: lower(x)), lambda x: NOT list_contains({STOP}, x))"
@@ -145,6 +147,13 @@ SQL: dict[str, str] = {
         bm25("asked"),
         "mx AS (SELECT query_id, term, round(times * m, 8) AS most FROM qt JOIN (SELECT term, round(max(weight), 8) AS m FROM post GROUP BY term) USING (term))",
     ),
+    "maxscore_skips": sql(
+        "SELECT query_id, CAST(sum(df) AS BIGINT) AS postings, CAST(sum(CASE WHEN bound < coalesce(kth, 0) THEN df ELSE 0 END) AS BIGINT) AS skipped, round(sum(CASE WHEN bound < coalesce(kth, 0) THEN df ELSE 0 END) / sum(df), 8) AS skip_rate FROM bo JOIN df USING (term) LEFT JOIN (SELECT query_id, score AS kth FROM hits WHERE rank = 10) USING (query_id) GROUP BY query_id",
+        *ALL_DOCS,
+        bm25("asked"),
+        "mx AS (SELECT query_id, term, round(times * m, 8) AS most FROM qt JOIN (SELECT term, round(max(weight), 8) AS m FROM post GROUP BY term) USING (term))",
+        "bo AS (SELECT query_id, term, round(sum(most) OVER (PARTITION BY query_id ORDER BY most DESC, term ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 8) AS bound FROM mx)",
+    ),
     "bm25_topk": sql(HITS.format(""), *ALL_DOCS, bm25("asked")),
     "bm25_repeated_query_terms": sql(HITS.format(""), *ALL_DOCS, "twice AS (SELECT query_id, text || ' ' || array_to_string((string_split(text, ' '))[1:3], ' ') AS text FROM asked)", bm25("twice")),
     "global_topk": sql("SELECT query_id, id AS doc_id, score FROM score ORDER BY score DESC, query_id, id LIMIT 50", *ALL_DOCS, bm25("asked")),
@@ -175,6 +184,7 @@ SQL: dict[str, str] = {
     "temporal_topk_fixed": sql("SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM cand) WHERE rank <= 5", *TEMPORAL),
     "temporal_topk_early_stop": sql("SELECT query_id, id, score, rank, stop FROM (SELECT query_id, id, score, stop, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM cand JOIN stops USING (query_id) WHERE po <= stop) WHERE rank <= 5", *TEMPORAL, STOPS),
     "temporal_search_stats": sql("SELECT query_id, count(*) AS partitions_searched, CAST(sum(records) AS BIGINT) AS records_searched, round(sum(records) / (SELECT count(*) FROM daily), 8) AS search_fraction FROM stops JOIN po ON po <= stop GROUP BY query_id", *TEMPORAL, STOPS),
+    "temporal_search_averages": sql("SELECT count(*) AS queries, round(avg(p), 6) AS partitions_searched, round(avg(f), 6) AS search_fraction, round(1 - avg(f), 6) AS skip_rate FROM (SELECT count(*) AS p, round(sum(records) / (SELECT count(*) FROM daily), 8) AS f FROM stops JOIN po ON po <= stop GROUP BY query_id)", *TEMPORAL, STOPS),
     "weekly_windows": "SELECT epoch_us(ts) // 604800000000 * 604800000 AS start_ms, event_type AS role, count(*) AS n FROM events GROUP BY ALL",
     "working_overlap": sql("SELECT * FROM wh", *TIER_BASE, WORKING),
     "semantic_search": sql("SELECT * FROM sh", ASKV, *DOC_BASE, *SEMANTIC),
@@ -194,10 +204,12 @@ SQL: dict[str, str] = {
     "store_overview": sql("SELECT count(*) AS records, count(DISTINCT session_id) AS sessions, count(DISTINCT agent_id) AS agents, min(ts_ms) AS first_ts, max(ts_ms) AS last_ts, round(avg(importance), 8) AS mean_importance FROM mem", MEM),
     "records_by_role": sql("SELECT role, count(*) AS n FROM mem GROUP BY 1", MEM),
     "records_by_agent": sql("SELECT agent_id, count(*) AS n FROM mem GROUP BY 1", MEM),
+    "records_by_tool": sql(f"SELECT {TOOL_LIST}[CASE WHEN role = 'assistant' THEN id % 10 ELSE 0 END + 1] AS tool, count(*) AS n FROM mem GROUP BY 1", MEM),
     "distinct_sessions": sql("SELECT DISTINCT session_id FROM mem", MEM),
     "session_sample": sql("SELECT id, role, CASE WHEN length(content) > 40 THEN substring(content, 1, 37) || '...' ELSE content END AS content FROM mem WHERE session_id = 'sess-000000' ORDER BY id LIMIT 6", MEM),
     "role_names": "SELECT code, coalesce(([" + ", ".join(f"'{r}'" for r in ROLES) + "])[code + 1], 'unknown') AS role FROM range(9) AS t(code)",
-    "durations": "SELECT l_orderkey, CASE WHEN u < 1000 THEN printf('%.1f us', u) WHEN u < 1000000 THEN printf('%.2f ms', u / 1000) ELSE printf('%.2f s', u / 1000000) END AS duration FROM (SELECT l_orderkey, l_orderkey * 40.0::DOUBLE AS u FROM lineitem WHERE l_linenumber = 1)",
+    "tool_and_tier_names": f"SELECT code, coalesce({TOOL_LIST}[code + 1], 'unknown') AS tool, coalesce({TIER_LIST}[code + 1], 'unknown') AS tier FROM range(12) AS t(code)",
+    "durations": "SELECT l_orderkey, l_linenumber, CASE WHEN u < 1000 THEN printf('%.1f us', u) WHEN u < 1000000 THEN printf('%.2f ms', u / 1000) ELSE printf('%.2f s', u / 1000000) END AS duration FROM (SELECT l_orderkey, l_linenumber, l_orderkey * 40.0::DOUBLE AS u FROM lineitem)",
     "kendall_tau": sql(
         "SELECT query_id, round(coalesce(tau, 1.0::DOUBLE), 8) AS tau FROM (SELECT DISTINCT query_id FROM hits) LEFT JOIN (SELECT a.query_id, sum(sign((a.x - b.x) * (a.y - b.y)))::DOUBLE / sum(abs(sign((a.x - b.x) * (a.y - b.y)))) AS tau FROM xy AS a JOIN xy AS b ON a.query_id = b.query_id AND a.x < b.x GROUP BY 1) USING (query_id)",
         DOCS,
@@ -230,5 +242,6 @@ SQL: dict[str, str] = {
     "scaling_pivot": sql("SELECT corpus_size, max(speedup) FILTER (strategy = 'sequential') AS sequential, max(speedup) FILTER (strategy = 'data_parallel') AS data_parallel, max(speedup) FILTER (strategy = 'full_parallel') AS full_parallel FROM sp GROUP BY 1", RUNS),
     "mean_timings": sql("SELECT strategy, round(avg(total_ms / 100), 8) AS avg_latency_ms, round(avg(1000 * 100 / total_ms), 8) AS throughput_qps FROM runs GROUP BY 1", RUNS),
     "stream_append_snapshot": sql("SELECT query_id, id, score, rank FROM hits", MEM, MEMT, ASKED, index("memt"), bm25("asked")),
+    "stream_reads_beside_writes": sql("SELECT id % 4 AS flush, CAST(sum(count(*)) OVER (ORDER BY id % 4) AS BIGINT) AS visible, true AS whole FROM mem GROUP BY id % 4", MEM),
     "csv_round_trip": sql("SELECT corpus_size, strategy, threads, round(speedup, 3) AS speedup, round(efficiency, 3) AS efficiency FROM sp", RUNS),
 }

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from recollect.functions import scores, text, vectors
-from recollect.functions.constants import DAY_MS, ROLES, TOP_K
+from recollect.functions.constants import DAY_MS, ROLES, TIERS, TOOLS, TOP_K
 from recollect.operators import dense, fusion, lexical, metrics, ranking, temporal, tiers
 from recollect.sources import synthetic, tables
 from recollect.streaming import store
@@ -88,6 +88,12 @@ def maxscore_bounds(spark, d):
     return lexical.remaining_bounds(_asked(spark, d), _index(spark, d))
 
 
+@query
+def maxscore_skips(spark, d):
+    docs, asked = _docs(spark, d), _asked(spark, d)
+    return lexical.skip_stats(asked, lexical.build_index(docs, wanted=lexical.query_terms(asked).select("term").distinct()), TOP_K)
+
+
 @query
 def bm25_topk(spark, d):
     return _hits(lexical.search(_asked(spark, d), _docs(spark, d), TOP_K))
@@ -263,6 +269,11 @@ def temporal_search_stats(spark, d):
     return temporal.search_stats(_asked(spark, d), _daily(spark, d), 5, threshold=0.6)
 
 
+@query
+def temporal_search_averages(spark, d):
+    return temporal.mean_stats(temporal.search_stats(_asked(spark, d), _daily(spark, d), 5, threshold=0.6))
+
+
 @query
 def weekly_windows(spark, d):
     e = tables.table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("role"))
@@ -374,6 +385,13 @@ def records_by_agent(spark, d):
     return metrics.counts_by(_records(spark, d), "agent_id")
 
 
+@query
+def records_by_tool(spark, d):
+    """The assistant's turns use the tools in turn."""
+    tool = text.named(F.when(F.col("role") == "assistant", F.col("id") % len(TOOLS)).otherwise(0), TOOLS)
+    return metrics.counts_by(_records(spark, d).withColumn("tool", tool), "tool")
+
+
 @query
 def distinct_sessions(spark, d):
     return _records(spark, d).select("session_id").distinct()
@@ -391,9 +409,14 @@ def role_names(spark, d):
     return spark.range(9).select(F.col("id").alias("code"), text.named(F.col("id"), ROLES).alias("role"))
 
 
+@query
+def tool_and_tier_names(spark, d):
+    return spark.range(12).select(F.col("id").alias("code"), text.named(F.col("id"), TOOLS).alias("tool"), text.named(F.col("id"), TIERS).alias("tier"))
+
+
 @query
 def durations(spark, d):
-    return tables.table(spark, d, "lineitem").where("l_linenumber = 1").select("l_orderkey", text.duration(F.col("l_orderkey") * 40.0).alias("duration"))
+    return tables.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", text.duration(F.col("l_orderkey") * 40.0).alias("duration"))
 
 
 # evaluation
@@ -451,7 +474,11 @@ def mean_timings(spark, d):
 
 
 def _shared(spark: SparkSession) -> str:
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        top = spark.conf.get("spark.sql.warehouse.dir")
     return f"{top}/recollect-{uuid.uuid4().hex}"
 
 
@@ -464,6 +491,22 @@ def stream_append_snapshot(spark, d):
     return store.retrieve(_asked(spark, d), store.snapshot(spark, f"{folder}/store"), TOP_K).select("query_id", "id", "score", "rank")
 
 
+@query
+def stream_reads_beside_writes(spark, d):
+    """Quarters of the conversations arrive one after the other; a reader looks while each is flushed, and after."""
+    folder, seen = _shared(spark), []
+    records = _records(spark, d).withColumnRenamed("id", "source_id").withColumn("agent_id", F.col("agent_id").cast("string")).drop("tool")
+    for part in range(4):
+        records.where(F.col("source_id") % 4 == part).write.mode("append").json(f"{folder}/waiting")
+        before = store.snapshot(spark, f"{folder}/store").count()
+        writer = store.append_stream(spark, f"{folder}/waiting", f"{folder}/store", f"{folder}/state")
+        during = store.snapshot(spark, f"{folder}/store").count()
+        writer.awaitTermination()
+        after = store.snapshot(spark, f"{folder}/store").count()
+        seen.append((part, after, during in (before, after)))
+    return spark.createDataFrame(seen, "flush long, visible long, whole boolean")
+
+
 @query
 def csv_round_trip(spark, d):
     folder = _shared(spark)
@@ -479,6 +522,11 @@ def generic_corpus(spark, d):
     return synthetic.corpus(spark, 1000).select("id", F.size(F.split("text", " ")).cast("bigint").alias("n_words"), F.round(vectors.squared_norm(F.col("embedding")), 6).alias("norm"))
 
 
+@query
+def generic_queries(spark, d):
+    return synthetic.corpus_queries(spark, 200).select("query_id", F.size(F.split("text", " ")).cast("bigint").alias("n_words"), F.round(vectors.squared_norm(F.col("embedding")), 6).alias("norm"))
+
+
 @query
 def agent_corpus(spark, d):
     return synthetic.agent_records(spark, 200).groupBy("role").agg(F.count("*").alias("n"), F.round(F.avg("importance"), 6).alias("importance"), F.countDistinct("session_id").alias("sessions"))
