@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from recollect.llm.shipping import ship
+from recollect.llm.textbatch import pieces
 
 WINDOW = 13
 BLOCK_WORDS = 200_000
@@ -163,7 +164,7 @@ def _scanner(shared, window: int, token: str):
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(token, shared, window)
-        for batch in batches:
+        for batch, _, _ in pieces(batches, "_text"):
             n_words, found = [], []
             for text in batch.column(0):
                 words = normal_words(text.as_py())

@@ -43,12 +43,12 @@ def _character_words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.
     """Hash sums of the characters (non-letters as blanks), and each word's start, end and document."""
     cp, at = characters(buf)
     letter = character_classes()[cp] == LETTER
-    starts, ends, doc = runs(letter, np.searchsorted(at, offs))
+    border = np.searchsorted(at, offs)
+    starts, ends, doc = runs(letter, border)
     cp = np.where(letter, np.where((cp >= 65) & (cp <= 90), cp + 32, cp), 0x20)
-    # a blank before the first character and one after the last
-    cp = np.concatenate([[0x20], cp, [0x20]]).astype(np.uint64)
-    return prefix_sums(mix(cp + np.uint64(1)), 0), starts + 1, ends + 1, doc
-
+    # a blank before every document and one after the last, so that no word touches another document's
+    cp = np.append(np.insert(cp, border[:-1], 0x20), 0x20).astype(np.uint64)
+    return prefix_sums(mix(cp + np.uint64(1)), 0), starts + doc + 1, ends + doc + 1, doc
 
 
 def _grams(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +72,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def handed() -> Iterator[pa.RecordBatch]:
         for (kind, lang), parts in held.items():
             keys, n = merged(parts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array([lang] * len(keys)), pa.array(keys.view(np.int64)), pa.array(n)], names=["kind", "lang", "hash", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n)], names=["kind", "lang", "hash", "n"])
         held.clear()
 
     for rows, buf, offs in pieces(batches, "_text"):

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from recollect.llm.shipping import ship
+from recollect.llm.textbatch import pieces
 
 PACKET, SYNC = 188, 0x47
 MAP_PID, STREAM_PID = 0x100, 0x101
@@ -247,7 +248,7 @@ def _mapped(df: DataFrame, column: str, carry: Sequence[str], make, results: str
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, _, _ in pieces(batches, "_in"):
             found = [make(x.as_py()) for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays(batch.columns[1:] + [pa.array([x[k] for x in found], t) for k, t in enumerate(types)], names=batch.schema.names[1:] + names)
 

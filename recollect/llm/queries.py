@@ -45,7 +45,7 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT v, min(u) AS g FROM r GROUP
 
 
 def remainder(column: str, modulus: int):
-    """crc32 of a value as text, modulo a number: the folds of the learned operators."""
+    """crc32 of a value as text, modulo a number: the folds of the learned operators.  Null for null."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))
 
 
@@ -59,8 +59,9 @@ TOXIC_FROM = 0.3
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without a doc_id have no label and are not learned from: they count as held out."""
     scores = toxicity.scored(_table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
-    return scores.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+    return scores.select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(True)).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
 
 
 def op4_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,9 +85,24 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", decontaminate.hit_words(F.col("removed")).alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+v AS (SELECT doc_id, unnest(range(0, greatest(0, length(h) // 2 - 399))) AS p, unnest(list_transform(range(0, greatest(0, length(h) // 2 - 399)), lambda p: hash(substr(h, 2 * p + 1, 800)))) AS x FROM d),
+g AS (SELECT doc_id, p FROM v WHERE x IN (SELECT x FROM v GROUP BY x HAVING count(*) > 1)),
+e AS (SELECT doc_id, p, CAST(coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 400, true) AS BIGINT) AS new FROM g),
+i AS (SELECT doc_id, min(p) AS lo, max(p) + 400 AS hi FROM (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS n FROM e) GROUP BY doc_id, n),
+k AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM i),
+s AS (SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans, max(hi) AS last, string_agg(substr(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) AS kept FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN s USING (doc_id)
+"""
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without a doc_id belong to no fold: they are not learned from and count as held out."""
     docs = _table(spark, sf_dir, "documents")
-    held_out = remainder("doc_id", 5) == 0
+    held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(True))
     model = language.train(docs.where(~held_out))
     return language.identified(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
@@ -155,4 +171,4 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_jaccard_join": op1_jaccard_join, "op2_byte_bpe": op2_byte_bpe, "op3_toxicity": op3_toxicity, "op4_window_dedup": op4_window_dedup, "op5_suffix_dedup": op5_suffix_dedup, "op6_language": op6_language, "op7_chat_format": op7_chat_format, "op8_decontaminate": op8_decontaminate, "op9_mpegts": op9_mpegts, "op10_token_counts": op10_token_counts}
-SQL: dict[str, str] = {"op1_jaccard_join": OP1_SQL, "op4_window_dedup": OP4_SQL, "op7_chat_format": OP7_SQL, "op8_decontaminate": OP8_SQL}
+SQL: dict[str, str] = {"op1_jaccard_join": OP1_SQL, "op4_window_dedup": OP4_SQL, "op5_suffix_dedup": OP5_SQL, "op7_chat_format": OP7_SQL, "op8_decontaminate": OP8_SQL}

@@ -46,7 +46,7 @@ from recollect.llm.textbatch import byte_sums, mix, pieces, ragged, span_hashes,
 LENGTH = 400
 GRAM = 64
 #: Different contexts of an anchor that one task puts into suffix order.
-MOST = 500
+MOST = 2000
 #: Starts of one text that are worked on at once.
 SEGMENT = 1 << 22
 #: Rows that a task holds before it hands them on, and bytes of contexts put into order at once.
@@ -112,14 +112,16 @@ def combined(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
 
 def _runs(length: int):
     """(text, key, version) -> RUNS"""
+    segment = SEGMENT
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         have = 0
         for batch, buf, offs in pieces(batches, "_text"):
             key, version = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            for at in range(0, len(buf) if len(offs) == 2 else 1, SEGMENT):
-                part = (buf, offs) if len(buf) <= SEGMENT or len(offs) > 2 else (buf[at : at + SEGMENT + length - 1], np.array([0, min(len(buf) - at, SEGMENT + length - 1)]))
+            for at in range(0, len(buf) if len(offs) == 2 else 1, segment):
+                some = buf[at : at + segment + length - 1] if len(offs) == 2 else buf
+                part = some, np.array([0, len(some)]) if len(offs) == 2 else offs
                 doc, start, size, anchor, g, c = anchored_runs(*part, length)
                 held.append((g, c, key[doc], (version[doc] << 32) | (start + at), size, anchor, np.zeros(len(doc), bool)))
                 have += len(doc)

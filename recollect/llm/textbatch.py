@@ -61,10 +61,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of a string column and its offsets; null counts as empty."""
+    """The bytes of a string (UTF-8) or binary column and its offsets; null counts as empty."""
+    column = column.cast(pa.large_binary())
     if column.null_count:
-        column = pc.fill_null(column, "")
-    column = column.cast(pa.large_string()).cast(pa.large_binary())
+        column = pc.fill_null(column, b"")
     _, offsets, data = column.buffers()
     offs = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     buf = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)

@@ -1,5 +1,6 @@
 """Repeated byte strings against brute force."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -92,6 +93,31 @@ def test_repeated_rows_are_one_document(spark, keep, most, tasks):
     assert want[2000][1] == []
 
 
+def test_registered_query_on_a_larger_table(spark):
+    from conftest import DATA
+
+    from recollect.llm import queries
+
+    folder = f"{DATA}/sf0.01"
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    places = {}
+    for i, b in texts.items():
+        for s in range(len(b) - 399):
+            places.setdefault(hashlib.blake2b(b[s : s + 400], digest_size=12).digest(), []).append((i, s))
+    gone = {i: np.zeros(len(b) + 1, np.int32) for i, b in texts.items()}
+    for found in places.values():
+        for i, s in found if len(found) > 1 else ():
+            gone[i][s] += 1
+            gone[i][s + 400] -= 1
+    for r in queries.op5_suffix_dedup(spark, folder).collect():
+        b = texts.pop(r["doc_id"])
+        hit = np.cumsum(gone[r["doc_id"]][:-1]) > 0
+        spans = int((np.diff(np.concatenate([[0], hit.astype(np.int8)])) == 1).sum())
+        kept = hashlib.sha256(np.frombuffer(b, np.uint8)[~hit].tobytes()).hexdigest()
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(b), int(hit.sum()), spans, kept)
+    assert not texts
+
+
 def common_prefix(t, i, j, most=10**9):
     k = 0
     while k < most and max(i, j) + k < len(t) and t[i + k] == t[j + k]:
