@@ -1,14 +1,13 @@
 """Substring dedup over words: Rabin-Karp hashes of every window, counted across the corpus.
 
 Every window of ``window`` consecutive words gets a rolling hash.  Tasks send their hashes
-in cells, one for each range of hashes; Spark deals the cells by range, unpacks them into
-rows and numbers the documents of each hash.  Every document but the smallest learns which
-of its windows start earlier elsewhere; within a document the first start stays.  Overlapping
-repeated windows merge into maximal runs of removed words.
+in packed cells, one for each range of hashes, each hash once with the smallest document
+that has it.  Spark groups the cells by range, so equal hashes meet, and every document but
+the smallest learns which of its windows start earlier elsewhere; within a document the
+first start stays.  Overlapping repeated windows merge into maximal runs of removed words.
 
-A hash that several documents of a task share leaves the task once, with the smallest; what
-is left goes straight back to the documents.  So a window of a third of all documents sends
-one entry per task to its range.  Hashes have 64 bits.
+A hash that a third of all documents share leaves each task once, so its range gets no more
+than one entry per task for it.  Hashes have 64 bits.
 
 Defined results: null text has no words; a text shorter than the window keeps everything;
 rows with a null key keep their text apart from repeats within themselves, and count for
@@ -24,19 +23,14 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from recollect.llm import packed
 from recollect.llm.shipping import ship
 from recollect.llm.textbatch import SPACE, byte_sums, mix, pieces, span_hashes, window_hashes, words
 
 WINDOW = 20
-#: Hashes that a task gathers before it hands them on.
-GATHERED = 1_000_000
-#: For each shuffle partition, those for the hashes (a hash takes more memory than its bytes in the shuffle), and ranges of hashes.
-PARTITIONS, RANGES = 3, 16
-
-#: copy: the document is not the smallest of its task that has the hash.
-CELLS = "range int, hash array<bigint>, document array<bigint>, copy array<boolean>"
+HASHES, LATER = 0, 1
 
 
 def _windows(buf: np.ndarray, offs: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -47,25 +41,18 @@ def _windows(buf: np.ndarray, offs: np.ndarray, window: int) -> tuple[np.ndarray
     return doc, at, h[at], np.searchsorted(doc, np.arange(len(offs)))
 
 
-def cells(h: np.ndarray, d: np.ndarray, ranges: int) -> pa.RecordBatch:
-    """The windows of a task, dealt by ranges of hashes; copies, by document."""
-    order = np.lexsort((d, h))
-    h, d = h[order], d[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-    h, d = h[new], d[new]
-    copy = np.zeros(len(h), bool)
-    copy[1:] = h[1:] == h[:-1]
-    dealt = (np.where(copy, mix(d.view(np.uint64)), h) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
-    order = np.lexsort((d, dealt))  # documents that repeat compress well
-    h, d, copy, dealt = h[order], d[order], copy[order], dealt[order]
-    begin = np.flatnonzero(np.concatenate([[True], dealt[1:] != dealt[:-1]]))
-    offsets = pa.array(np.append(begin, len(h)).astype(np.int32))
-    lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(h.view(np.int64)), pa.array(d), pa.array(copy))]
-    return pa.RecordBatch.from_arrays([pa.array(dealt[begin].astype(np.int32)), *lists], names=["range", "hash", "document", "copy"])
-
-
-def _sender(window: int, ranges: int):
+def _sender(window: int, n: int, back: int):
+    def rows(h: np.ndarray, d: np.ndarray) -> list[tuple]:
+        order = np.lexsort((d, h))
+        h, d = h[order], d[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+        h, d = h[new], d[new]
+        first = np.ones(len(h), bool)
+        first[1:] = h[1:] != h[:-1]
+        out = [(s, HASHES, packed.pack_sorted(h[first][lo:hi]), packed.planes(d[first][lo:hi]), None) for s, lo, hi in packed.runs_of(packed.slots(h[first], n))]
+        return out + later_rows(h[~first], d[~first], back)
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
@@ -73,15 +60,54 @@ def _sender(window: int, ranges: int):
             doc, at, h, _ = _windows(buf, offs, window)
             held.append((h, batch.column(1).to_numpy()[doc[at]]))
             size += len(h)
-            if size >= GATHERED:
-                yield cells(*(np.concatenate(x) for x in zip(*held, strict=True)), ranges)
+            if size >= packed.GATHERED:
+                yield packed.packed_batch(rows(*(np.concatenate(x) for x in zip(*held, strict=True))))
                 held, size = [], 0
         if size:
-            yield cells(*(np.concatenate(x) for x in zip(*held, strict=True)), ranges)
+            yield packed.packed_batch(rows(*(np.concatenate(x) for x in zip(*held, strict=True))))
 
     return send
 
 
+def later_rows(h: np.ndarray, d: np.ndarray, back: int) -> list[tuple]:
+    """Cells that tell documents which of their hashes start earlier elsewhere."""
+    slot = packed.slots(mix(d.view(np.uint64)), back)
+    order = np.lexsort((h, slot))
+    return [(s, LATER, packed.pack_sorted(h[order[lo:hi]]), packed.planes(d[order[lo:hi]]), None) for s, lo, hi in packed.runs_of(slot[order])]
+
+
+def _judge(back: int):
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: set[int] = set()
+        cells = packed.gathered(packed.noted(batches, keys))
+        if cells[LATER]:
+            yield packed.packed_batch([(*keys, LATER, *x) for x in cells[LATER]])
+        if held := cells[HASHES]:
+            h = np.concatenate([packed.unpack_sorted(a) for a, _, _ in held])
+            d = np.concatenate([packed.from_planes(b, np.int64) for _, b, _ in held])
+            order = np.lexsort((d, h))
+            h, d = h[order], d[order]
+            new = np.ones(len(h), bool)
+            new[1:] = h[1:] != h[:-1]
+            least = d[np.flatnonzero(new)[np.cumsum(new) - 1]]
+            later = d != least
+            yield packed.packed_batch(later_rows(h[later], d[later], back))
+
+    return judge
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(document, its hashes that start earlier elsewhere)"""
+    if held := packed.gathered(batches)[LATER]:
+        h = np.concatenate([packed.unpack_sorted(a) for a, _, _ in held])
+        d = np.concatenate([packed.from_planes(b, np.int64) for _, b, _ in held])
+        order = np.argsort(d, kind="stable")
+        h, d = h[order], d[order]
+        found = list(packed.runs_of(d))
+        offsets = pa.array(np.array([lo for _, lo, _ in found] + [len(d)], np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _, _ in found], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(h.view(np.int64)))], names=["_document", "_later"])
+
+
 def _remover(window: int):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, buf, offs in pieces(batches, "_text"):
@@ -126,16 +152,11 @@ def later_windows(df: DataFrame, *, key: str = "doc_id", text: str = "text", win
     """(_document, _later): the hashes of the windows that also occur in a smaller document."""
     spark = df.sparkSession
     ship(spark)
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = RANGES * partitions
+    n, back = packed.ranges(spark)
     rows = df.where(F.col(key).isNotNull()).select(F.col(text).alias("_text"), F.col(key).cast("bigint").alias("_key"))
-    dealt = rows.mapInArrow(_sender(window, ranges), CELLS).repartition(PARTITIONS * partitions, "range")
-    # both read the same shuffle, and need no other: a hash is always of the same range
-    every = dealt.select("range", F.explode(F.arrays_zip("hash", "document", "copy")).alias("x")).select("range", "x.*")
-    number = F.rank().over(Window.partitionBy("hash", "range").orderBy("document"))
-    later = every.where("not copy").select("document", "hash", number.alias("number")).where("number > 1")
-    both = later.select("document", "hash").union(every.where("copy").select("document", "hash"))
-    return both.groupBy(F.col("document").alias("_document")).agg(F.collect_list("hash").alias("_later"))
+    sent = rows.mapInArrow(_sender(window, n, back), packed.PACKED)
+    told = sent.groupBy("key").applyInArrow(_judge(back), packed.PACKED)
+    return told.groupBy("key").applyInArrow(_by_document, "_document bigint, _later array<bigint>")
 
 
 def without_repeats(df: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = WINDOW, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
