@@ -12,14 +12,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def numbered(df: DataFrame, bucket: Column, order: list[str], name: str = "id") -> DataFrame:
+def numbered(df: DataFrame, bucket: Column, order: list[str], name: str = "id", top: Column | None = None) -> DataFrame:
     """Row numbers from 0 in the order of (bucket, order), where ``bucket`` rises with the order.
 
-    Numbers within buckets and a running sum over the buckets' counts: no task sorts all rows.
+    Numbers within buckets and running sums over the buckets' counts, in two steps: no task
+    sorts all rows, nor all buckets.  ``top`` brings neighbouring buckets (``_bucket``, whole
+    numbers unless it is given) together.
     """
     rows = df.withColumn("_bucket", bucket)
-    counts = rows.groupBy("_bucket").count()
-    before = counts.select("_bucket", (F.sum("count").over(Window.orderBy("_bucket")) - F.col("count")).alias("_before"))
+    counts = rows.groupBy("_bucket").count().withColumn("_top", F.floor(F.col("_bucket") / 4096) if top is None else top)
+    tops = counts.groupBy("_top").agg(F.sum("count").alias("_sum"))
+    above = tops.select("_top", (F.sum("_sum").over(Window.orderBy("_top")) - F.col("_sum")).alias("_above"))  # one row for 4096 buckets
+    within = F.sum("count").over(Window.partitionBy("_top").orderBy("_bucket")) - F.col("count")
+    before = counts.withColumn("_within", within).join(above, "_top").select("_bucket", (F.col("_above") + F.col("_within")).alias("_before"))
     place = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
     return rows.withColumn("_place", place).join(before, "_bucket").withColumn(name, (F.col("_before") + F.col("_place") - 1).cast("bigint")).drop("_bucket", "_place", "_before")
 
