@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from recollect.functions.scores import rounded
 from recollect.functions.vectors import similarity
 from recollect.operators.ranking import top_k
+from recollect.shipping import ship
 
 #: Query vectors that are sent to all tasks at once.
 QUERY_BLOCK = 2_048
@@ -44,6 +45,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 
     Queries go to all tasks in blocks of QUERY_BLOCK; every batch keeps its k nearest of each.
     """
+    ship(vectors.sparkSession)
     rows = vectors.where("embedding is not null").select(F.col("id").cast("bigint").alias("id"), "embedding")
     parts, block = [], []
 
