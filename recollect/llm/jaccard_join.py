@@ -12,8 +12,9 @@
    sets go into a trie by the global order, from its frequent end, so near copies share long
    paths; a query set walks down with its partial overlap and leaves a subtree when even all that
    remains can't reach the threshold, or when all its sets are already linked with it.
-   A unit above ``UNIT_SHINGLES`` is dealt into blocks: blocks are joined within, and the sets
-   not linked with the unit's centre, as queries, with every other block.
+   A unit above ``UNIT_SHINGLES`` is dealt into parts by size class, and these into blocks:
+   blocks are joined within, and the sets not linked with the unit's centre, as queries, with
+   the other blocks of their own and of the neighbouring classes.
 4. Links give components by propagating least labels, with a checkpoint every round.
 
 No link is lost and nothing is capped or sampled; copies are never expanded into pairs.
@@ -251,13 +252,24 @@ def document_sets(df: DataFrame, *, key: str, text: str, size: int, percent: int
     return whole.mapInArrow(_ordered(percent), "key bigint, n bigint, same bigint, shared binary, prefix bigint")
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [np.frombuffer(x, np.int64) for x in batch.column("shared").to_pylist()]
-        heads = [x[:p] for x, p in zip(sets, batch.column("prefix").to_pylist(), strict=True)]
-        size = [len(x) for x in heads]
-        arrays = [np.concatenate(heads or [np.zeros(0, np.int64)]), np.repeat(batch.column("same").to_numpy(), size), np.repeat(np.array([len(x) for x in sets], np.int64), size)]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["shingle", "same", "weight"])
+def size_class(n: np.ndarray, percent: int) -> np.ndarray:
+    """Classes of set sizes: sets that link are of the same or of neighbouring classes."""
+    return np.floor(np.log(np.maximum(n, 1)) / np.log(1.001 * 100 / percent)).astype(np.int64)
+
+
+def _prefixes(percent: int):
+    """(shingle, class, shared shingles, size class) for the first shingles of every set."""
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(x, np.int64) for x in batch.column("shared").to_pylist()]
+            heads = [x[:p] for x, p in zip(sets, batch.column("prefix").to_pylist(), strict=True)]
+            size = [len(x) for x in heads]
+            of_set = [batch.column("same").to_numpy(), np.array([len(x) for x in sets], np.int64), size_class(batch.column("n").to_numpy(), percent)]
+            arrays = [np.concatenate(heads or [np.zeros(0, np.int64)]), *(np.repeat(x, size) for x in of_set)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["shingle", "same", "weight", "size_class"])
+
+    return prefixes
 
 
 class Trie:
@@ -404,30 +416,35 @@ def components(edges: DataFrame) -> DataFrame:
 def links(sets: DataFrame, *, percent: int = PERCENT, unit_shingles: int = UNIT_SHINGLES) -> DataFrame:
     """(a, b): links between classes that connect every two classes that are linked."""
     some = sets.where("shared is not null")
-    prefix = some.select("same", "shared", "prefix").mapInArrow(_prefixes, "shingle bigint, same bigint, weight bigint")
+    prefix = some.select("same", "n", "shared", "prefix").mapInArrow(_prefixes(percent), "shingle bigint, same bigint, weight bigint, size_class bigint")
     centre = prefix.groupBy("shingle").agg(F.min("same").alias("centre"), F.max("same").alias("other")).where("centre <> other").select("shingle", "centre")
-    met = prefix.join(centre, "shingle").select("centre", "same", "weight").distinct()  # the centre meets itself, too
+    met = prefix.join(centre, "shingle").select("centre", "same", "weight", "size_class").distinct()  # the centre meets itself, too
     one = some.groupBy("same").agg(F.first("n").alias("n"), F.first("shared").alias("shared"))
-    blocks = met.groupBy("centre").agg(F.ceil(F.sum("weight") / unit_shingles).alias("blocks"))
-    units = met.join(blocks, "centre").withColumn("block", F.pmod(F.xxhash64("same"), F.col("blocks"))).select("centre", "same", "weight", "blocks", "block").checkpoint()
-    every_block = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
-    members = units.where("same <> centre or blocks = 1")
-    centres = units.where("same = centre and blocks > 1").withColumn("block", every_block)  # they stand in every block
+    total = met.groupBy("centre").agg(F.sum("weight").alias("total"))
+    # a large unit falls into parts by size class, and these into blocks; others are one part
+    parted = met.join(total, "centre").withColumn("part", F.when(F.col("total") > unit_shingles, F.col("size_class")).otherwise(-1))
+    blocks = parted.groupBy("centre", "part").agg(F.ceil(F.sum("weight") / unit_shingles).alias("blocks"))
+    units = parted.join(blocks, ["centre", "part"]).withColumn("block", F.pmod(F.xxhash64("same"), F.col("blocks"))).select("centre", "same", "weight", "part", "blocks", "block").checkpoint()
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    to = units.where("part >= 0").select("centre", F.col("part").alias("to"), "blocks").distinct()  # the parts of large units
+    near = lambda rows: rows.drop("blocks").join(to, "centre").where("abs(part - to) <= 1")
+    members = units.where("same <> centre or part < 0").select("centre", "same", "part", "block")
+    centres = near(units.where("same = centre and part >= 0")).select("centre", "same", F.col("to").alias("part"), every("blocks").alias("block"))  # they stand in every block that can hold a link
     pair = "a bigint, b bigint"
-    within = members.unionByName(centres).join(one, "same").groupBy("centre", "block").applyInArrow(_unit_links(percent), pair)
-    if units.where("blocks > 1").limit(1).count() == 0:
+    within = members.unionByName(centres).join(one, "same").groupBy("centre", "part", "block").applyInArrow(_unit_links(percent), pair)
+    if units.where("part >= 0").limit(1).count() == 0:
         return within
     within = within.checkpoint()
-    large = units.where("blocks > 1").join(components(within).withColumnRenamed("node", "same"), "same", "left").withColumn("component", F.coalesce("component", "same"))
+    large = units.where("part >= 0").join(components(within).withColumnRenamed("node", "same"), "same", "left").withColumn("component", F.coalesce("component", "same"))
     middle = large.where("same = centre").select("centre", F.col("component").alias("middle"))
-    rest = large.join(middle, "centre").where("component <> middle")
-    asks = rest.groupBy("centre").agg(F.ceil(F.sum("weight") / unit_shingles).alias("asks"))
-    asked = rest.join(asks, "centre").withColumn("ask", F.pmod(F.xxhash64("same", F.lit(1)), F.col("asks")))
-    queries = asked.select("centre", "same", "component", "ask", F.col("block").alias("own"), every_block.alias("block"), F.lit(True).alias("query")).where("own <> block").drop("own")
-    every_ask = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("asks") - 1))
-    others = large.where("same <> centre").join(asks, "centre").select("centre", "same", "component", every_ask.alias("ask"), "block", F.lit(False).alias("query"))
-    across = queries.unionByName(others).join(one, "same").groupBy("centre", "block", "ask").applyInArrow(_query_links(percent), pair)
-    return within.union(across)
+    rest = near(large.join(middle, "centre").where("component <> middle"))
+    asks = rest.groupBy("centre", "to").agg(F.ceil(F.sum("weight") / unit_shingles).alias("asks"))
+    asked = rest.join(asks, ["centre", "to"]).withColumn("ask", F.pmod(F.xxhash64("same", F.lit(1)), F.col("asks")))
+    queries = asked.select("centre", "same", "component", "ask", "part", F.col("block").alias("own"), "to", every("blocks").alias("block"), F.lit(True).alias("query")).where("own <> block or part <> to")
+    queries = queries.select("centre", "same", "component", "ask", F.col("to").alias("part"), "block", "query")
+    others = large.where("same <> centre").join(asks.withColumnRenamed("to", "part"), ["centre", "part"]).select("centre", "same", "component", every("asks").alias("ask"), "part", "block", F.lit(False).alias("query"))
+    across = queries.unionByName(others).join(one, "same").groupBy("centre", "part", "block", "ask").applyInArrow(_query_links(percent), pair)
+    return within.union(across.checkpoint())
 
 
 def similar_groups(df: DataFrame, *, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT, unit_shingles: int = UNIT_SHINGLES) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from recollect.llm import jaccard_join
 from recollect.llm.jaccard_join import Trie, similar_groups
 
@@ -77,6 +79,24 @@ def test_units_dealt_into_blocks(spark):
     assert run(spark, rows, unit_shingles=700) == brute(rows)
 
 
+def test_large_units_of_many_sizes(spark):
+    r = random.Random(9)
+    base, rows = [f"v{i}" for i in range(90)], []
+    for i in range(24):  # one common beginning, lengths from 12 to 90: only sets of near sizes link
+        t = base[: r.randint(12, 90)]
+        for _ in range(r.randint(0, 2)):
+            t[r.randrange(len(t))] = f"x{r.randrange(30)}"
+        rows.append((i, " ".join(t)))
+    assert run(spark, rows, unit_shingles=400) == brute(rows)
+
+
+def test_size_classes_of_links_are_neighbours():
+    for percent in (75, 90, 100):
+        n = np.arange(1, 5000)
+        least = jaccard_join.least_overlap(n, percent)  # the smallest set that can link to one of n
+        assert (jaccard_join.size_class(n, percent) - jaccard_join.size_class(least, percent) <= 1).all()
+
+
 def test_empty_table_and_repeated_rows(spark):
     assert run(spark, []) == set()
     rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (3, None)]
