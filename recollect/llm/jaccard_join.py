@@ -29,8 +29,6 @@ columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-import gc
-import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -206,17 +204,6 @@ def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield shared(d, np.repeat(h, times), np.repeat(df, times))
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more.
-
-    It does so after garbage collection; what the first collection frees lets go of the rest.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def _ordered(percent: int):
     """Candidates' shared shingles, rarest first, and how many of those are the prefix; null for the others."""
 
@@ -457,7 +444,6 @@ def similar_groups(df: DataFrame, *, key: str = "doc_id", text: str = "text", si
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(f"{folder}/checkpoints")
     document_sets(df, key=key, text=text, size=size, percent=percent).write.parquet(f"{folder}/sets")
-    release(spark)
     sets = spark.read.parquet(f"{folder}/sets")
     groups = components(links(sets, percent=percent, unit_shingles=unit_shingles))
     classes = sets.where("n > 0").groupBy("same").agg(F.min("key").alias("first"))
