@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recollect.llm import byte_bpe, chat_format, decontaminate, jaccard_join, language, mpegts, suffix_dedup, token_counts, toxicity, window_dedup
+from recollect.llm import byte_bpe, chat_format, decontaminate, jaccard_join, language, merkle, mpegts, suffix_dedup, token_counts, toxicity, window_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -170,5 +170,44 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_jaccard_join": op1_jaccard_join, "op2_byte_bpe": op2_byte_bpe, "op3_toxicity": op3_toxicity, "op4_window_dedup": op4_window_dedup, "op5_suffix_dedup": op5_suffix_dedup, "op6_language": op6_language, "op7_chat_format": op7_chat_format, "op8_decontaminate": op8_decontaminate, "op9_mpegts": op9_mpegts, "op10_token_counts": op10_token_counts}
-SQL: dict[str, str] = {"op1_jaccard_join": OP1_SQL, "op4_window_dedup": OP4_SQL, "op5_suffix_dedup": OP5_SQL, "op7_chat_format": OP7_SQL, "op8_decontaminate": OP8_SQL}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without a doc_id are never tampered with."""
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    changed = F.coalesce(remainder("doc_id", 7) == 0, F.lit(False))
+    claimed = [F.col("n_chars") + changed.cast("bigint") if c == "n_chars" else F.col(c) for c in fields]
+    docs = _table(spark, sf_dir, "documents").withColumn("claimed", merkle.leaf_digest(*claimed))
+    proofs = merkle.manifest(docs, merkle.leaf_digest(*map(F.col, fields)), carry=["doc_id", "claimed"])
+    found = proofs.withColumn("folded_root", merkle.folded(F.col("claimed"), F.col("path")))
+    return found.select("doc_id", "leaf", F.col("peak").alias("subroot"), "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+_FIELD = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "text")) + ")"
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB's text for the CRC-32 of an ASCII text; null for null."""
+    step = "xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    bytes_ = f"list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {bytes_}), lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda v, i: {step})), 4294967295)"
+
+
+OP11_SQL = f"""
+WITH RECURSIVE c AS (SELECT *, n_chars + CASE WHEN {crc32_sql('doc_id::VARCHAR')} % 7 = 0 THEN 1 ELSE 0 END AS claimed_chars FROM documents),
+d AS (SELECT row_number() OVER () AS k, doc_id, coalesce('+' || lang, '') AS part, {_LEAF} AS leaf, {_LEAF.replace("n_chars", "claimed_chars")} AS claimed FROM c),
+r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY part ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY part) AS n FROM d),
+t AS (SELECT 0 AS level, part, place, leaf AS h, n FROM r
+      UNION ALL SELECT level + 1, part, place // 2, sha256(string_agg(h, '' ORDER BY place)), (any_value(n) + 1) // 2 FROM t WHERE n > 1 GROUP BY level, part, place // 2),
+p AS (SELECT part, h, row_number() OVER (ORDER BY encode(part)) - 1 AS place, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS level, place, h, n FROM p UNION ALL SELECT level + 1, place // 2, sha256(string_agg(h, '' ORDER BY place)), (any_value(n) + 1) // 2 FROM u WHERE n > 1 GROUP BY level, place // 2),
+i AS (SELECT k, level, r.part, r.place >> level AS spot FROM r JOIN (SELECT DISTINCT part, level FROM t WHERE n > 1) USING (part)),
+j AS (SELECT k, level + 1000 AS level, p.place >> level AS spot FROM r JOIN p USING (part), (SELECT DISTINCT level FROM u WHERE n > 1)),
+s AS (SELECT k, i.level, CASE WHEN h IS NULL THEN '' WHEN spot % 2 = 1 THEN 'l' || h ELSE 'r' || h END AS step FROM i LEFT JOIN t ON t.part = i.part AND t.level = i.level AND t.place = xor(spot, 1)
+      UNION ALL SELECT k, j.level, CASE WHEN h IS NULL THEN '' WHEN spot % 2 = 1 THEN 'l' || h ELSE 'r' || h END FROM j LEFT JOIN u ON u.level + 1000 = j.level AND u.place = xor(spot, 1)),
+g AS (SELECT k, list(step ORDER BY level) AS steps, string_agg(step[2:], '' ORDER BY level) AS others FROM s GROUP BY k),
+f AS (SELECT r.*, coalesce(others, '') AS others, list_reduce(list_concat([claimed], coalesce(steps, [])), lambda a, x: sha256(CASE WHEN x[1] = 'l' THEN x[2:] || a WHEN x[1] = 'r' THEN a || x[2:] ELSE a END)) AS folded_root FROM r LEFT JOIN g USING (k))
+SELECT doc_id, leaf, p.h AS subroot, o.h AS root, sha256(others) AS proof_sha256, folded_root, folded_root = o.h AS verified FROM f JOIN p USING (part), (SELECT h FROM u WHERE n = 1) AS o
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_jaccard_join": op1_jaccard_join, "op2_byte_bpe": op2_byte_bpe, "op3_toxicity": op3_toxicity, "op4_window_dedup": op4_window_dedup, "op5_suffix_dedup": op5_suffix_dedup, "op6_language": op6_language, "op7_chat_format": op7_chat_format, "op8_decontaminate": op8_decontaminate, "op9_mpegts": op9_mpegts, "op10_token_counts": op10_token_counts, "op11_merkle": op11_merkle}
+SQL: dict[str, str] = {"op1_jaccard_join": OP1_SQL, "op4_window_dedup": OP4_SQL, "op5_suffix_dedup": OP5_SQL, "op7_chat_format": OP7_SQL, "op8_decontaminate": OP8_SQL, "op11_merkle": OP11_SQL}
