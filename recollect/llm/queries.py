@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recollect.llm import byte_bpe, chat_format, decontaminate, jaccard_join, language, merkle, mpegts, suffix_dedup, token_counts, toxicity, window_dedup
+from recollect.llm import best_fit, byte_bpe, chat_format, decontaminate, jaccard_join, language, merkle, mpegts, prefix_trie, suffix_dedup, token_counts, toxicity, window_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -209,5 +209,34 @@ f AS (SELECT r.*, coalesce(others, '') AS others, list_reduce(list_concat([claim
 SELECT doc_id, leaf, p.h AS subroot, o.h AS root, sha256(others) AS proof_sha256, folded_root, folded_root = o.h AS verified FROM f JOIN p USING (part), (SELECT h FROM u WHERE n = 1) AS o
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_jaccard_join": op1_jaccard_join, "op2_byte_bpe": op2_byte_bpe, "op3_toxicity": op3_toxicity, "op4_window_dedup": op4_window_dedup, "op5_suffix_dedup": op5_suffix_dedup, "op6_language": op6_language, "op7_chat_format": op7_chat_format, "op8_decontaminate": op8_decontaminate, "op9_mpegts": op9_mpegts, "op10_token_counts": op10_token_counts, "op11_merkle": op11_merkle}
-SQL: dict[str, str] = {"op1_jaccard_join": OP1_SQL, "op4_window_dedup": OP4_SQL, "op5_suffix_dedup": OP5_SQL, "op7_chat_format": OP7_SQL, "op8_decontaminate": OP8_SQL, "op11_merkle": OP11_SQL}
+def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rank file has the vocabulary of byte_bpe_50k.json, with the same ids."""
+    import public_tokenizers
+
+    return best_fit.packed_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv_id")
+    rebuilt = prefix_trie.with_shared_heads(_table(spark, sf_dir, "conversations"), conv - conv % 5, remainder("conv_id", 9))
+    return prefix_trie.trie_nodes(rebuilt)
+
+
+OP13_SQL = f"""
+WITH t AS (SELECT conv_id, {{'r': coalesce(role, ''), 't': coalesce(text, '')}} AS x, turn FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id, list(x ORDER BY turn NULLS FIRST, sha256(strlen(x.r)::VARCHAR || ':' || x.r || x.t)) AS w, {crc32_sql('any_value(conv_id)::VARCHAR')} % 9 AS h FROM t GROUP BY conv_id),
+b AS (SELECT l.conv_id AS c, list_concat(coalesce(a.w, [])[1:l.h], l.w[l.h + 1:]) AS w FROM l LEFT JOIN l AS a ON a.conv_id = l.conv_id - l.conv_id % 5),
+p AS (SELECT c, d, w[1:d] AS k, d = len(w) AS ends, CASE WHEN d > 0 THEN strlen(w[d].t) ELSE 0 END AS size FROM b, unnest(range(0, len(w) + 1)) AS u(d)),
+n AS MATERIALIZED (SELECT d, k, min(c) AS c, count(*) AS n, any_value(size) AS size, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends FROM p GROUP BY d, k),
+m AS MATERIALIZED (SELECT p.c AS member, p.d, n.c FROM p JOIN n ON n.d = p.d AND n.k = p.k),
+f AS (SELECT n.*, m.c AS parent FROM n LEFT JOIN m ON m.member = n.c AND m.d = n.d - 1),
+k AS (SELECT parent AS c, d - 1 AS d, count(*) AS children FROM f WHERE d > 0 GROUP BY ALL),
+s AS (SELECT m.c, m.d, sum(CASE WHEN k.children IS NULL THEN 1 ELSE 0 END) AS leaves, sum((f.n - 1) * f.size) AS saved
+      FROM f LEFT JOIN k ON k.c = f.c AND k.d = f.d JOIN m ON m.member = f.c AND m.d <= f.d GROUP BY m.c, m.d)
+SELECT f.c AS conv_id, f.d AS depth, f.parent AS parent_conv_id, f.n AS n_convs, CAST(coalesce(k.children, 0) AS BIGINT) AS n_children,
+       CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, f.ends AS ends_sha256
+FROM f JOIN s ON s.c = f.c AND s.d = f.d LEFT JOIN k ON k.c = f.c AND k.d = f.d
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_jaccard_join": op1_jaccard_join, "op2_byte_bpe": op2_byte_bpe, "op3_toxicity": op3_toxicity, "op4_window_dedup": op4_window_dedup, "op5_suffix_dedup": op5_suffix_dedup, "op6_language": op6_language, "op7_chat_format": op7_chat_format, "op8_decontaminate": op8_decontaminate, "op9_mpegts": op9_mpegts, "op10_token_counts": op10_token_counts, "op11_merkle": op11_merkle, "op12_best_fit": op12_best_fit, "op13_prefix_trie": op13_prefix_trie}
+SQL: dict[str, str] = {"op1_jaccard_join": OP1_SQL, "op4_window_dedup": OP4_SQL, "op5_suffix_dedup": OP5_SQL, "op7_chat_format": OP7_SQL, "op8_decontaminate": OP8_SQL, "op11_merkle": OP11_SQL, "op13_prefix_trie": OP13_SQL}
