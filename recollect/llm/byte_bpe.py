@@ -1,6 +1,7 @@
 """Byte-level BPE encoding and decoding with segment trees.
 
-Each distinct pre-token is encoded once and remembered in the task.  A segment tree over its byte
+Each distinct pre-token is encoded once and remembered in the task (found again by a hash,
+told equal by its bytes).  A segment tree over its byte
 positions holds, in every node, the leftmost pair of least rank; the root names the next
 merge.  A merge changes three leaves (the merged position, its right neighbour that
 vanishes, and the live neighbour before it) and so takes a logarithmic number of updates.
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from recollect.llm.pretokens import pretokens, read_ranks
 from recollect.shipping import ship
-from recollect.llm.textbatch import byte_sums, pieces, ragged, span_hashes
+from recollect.llm.textbatch import SpanTable, pieces, ragged
 
 NONE = np.int64(1) << 50
 BATCHED_BYTES = 64
@@ -161,23 +162,8 @@ class BytePairCodec:
             total += len(ids)
         return np.concatenate(found) if found else np.zeros(0, np.int64), begin, counts
 
-    def _known(self, distinct: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """encode_spans for distinct pre-tokens with sorted hashes; those met before are looked up."""
-        if len(self.seen) > MOST_KNOWN:
-            self._forget()
-        at = np.searchsorted(self.seen, distinct)
-        new = np.flatnonzero(self.seen[np.minimum(at, len(self.seen) - 1)] != distinct) if len(self.seen) else np.arange(len(distinct))
-        if len(new):
-            ids, begin, counts = self.encode_spans(buf, starts[new], ends[new])
-            self.seen_begin = np.insert(self.seen_begin, at[new], begin + len(self.seen_ids))
-            self.seen_counts = np.insert(self.seen_counts, at[new], counts)
-            self.seen = np.insert(self.seen, at[new], distinct[new])
-            self.seen_ids = np.concatenate([self.seen_ids, ids.astype(np.int32)])
-            at = np.searchsorted(self.seen, distinct)
-        return self.seen_ids, self.seen_begin[at], self.seen_counts[at]
-
     def _forget(self) -> None:
-        self.seen = np.zeros(0, np.uint64)
+        self.seen = SpanTable()
         self.seen_ids = np.zeros(0, np.int32)
         self.seen_begin = self.seen_counts = np.zeros(0, np.int64)
 
@@ -186,12 +172,18 @@ class BytePairCodec:
         starts, ends, doc = pretokens(buf, offs)
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(offs), np.int64)
-        distinct, first, which = np.unique(span_hashes(byte_sums(buf), starts, ends), return_index=True, return_inverse=True)
-        ids, begin, counts = self._known(distinct, buf, starts[first], ends[first])
-        each = counts[which]
+        if len(self.seen) > MOST_KNOWN:
+            self._forget()
+        number, new = self.seen.number(buf, starts, ends)
+        if len(new):
+            ids, begin, counts = self.encode_spans(buf, starts[new], ends[new])
+            self.seen_begin = np.concatenate([self.seen_begin, begin + len(self.seen_ids)])
+            self.seen_counts = np.concatenate([self.seen_counts, counts])
+            self.seen_ids = np.concatenate([self.seen_ids, ids.astype(np.int32)])
+        each = self.seen_counts[number]
         bounds = np.zeros(len(offs), np.int64)
         np.cumsum(np.bincount(doc, each, len(offs) - 1), out=bounds[1:])
-        return ids[ragged(begin[which], each)], bounds
+        return self.seen_ids[ragged(self.seen_begin[number], each)], bounds
 
     def decode(self, ids: Sequence[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))

@@ -62,8 +62,8 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarr
     first = np.searchsorted(doc, np.arange(len(offs)))
     count = np.diff(first)
     short = np.flatnonzero((count > 0) & (count < size))
-    sums = prefix_sums(h, 1)
-    own = mix(span_hashes(sums, first[short], first[short] + count[short], 1) + count[short].astype(np.uint64))
+    sums = prefix_sums(h, 1, 64)
+    own = mix(span_hashes(sums, first[short], first[short] + count[short]) + count[short].astype(np.uint64))
     at = np.flatnonzero(whole)
     d, h = np.concatenate([doc[at], short]), np.concatenate([windows[at], own])
     order = np.lexsort((h, d))

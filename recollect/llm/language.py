@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 
 from recollect.llm.pretokens import LETTER, character_classes
 from recollect.shipping import ship
-from recollect.llm.textbatch import characters, mix, pieces, prefix_sums, runs, span_hashes
+from recollect.llm.textbatch import characters, pieces, prefix_sums, runs, span_hashes
 
 LONGEST = 5
 #: Words and n-grams of each length that the model keeps by language.
@@ -48,7 +48,7 @@ def _character_words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.
     cp = np.where(letter, np.where((cp >= 65) & (cp <= 90), cp + 32, cp), 0x20)
     # a blank before every document and one after the last, so that no word touches another document's
     cp = np.append(np.insert(cp, border[:-1], 0x20), 0x20).astype(np.uint64)
-    return prefix_sums(mix(cp + np.uint64(1)), 0), starts + doc + 1, ends + doc + 1, doc
+    return prefix_sums(cp + np.uint64(1), 0, 22), starts + doc + 1, ends + doc + 1, doc
 
 
 def _grams(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

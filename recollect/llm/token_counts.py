@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from recollect.llm.pretokens import pretokens, read_ranks
 from recollect.shipping import ship
-from recollect.llm.textbatch import BYTE_VALUE, byte_sums, mix, pieces, powers, span_hashes
+from recollect.llm.textbatch import SpanTable, byte_sums, pieces, span_hashes
 
 #: Longer pre-tokens are scored one by one.
 TRIE_BYTES = 64
@@ -53,7 +53,7 @@ class UnigramCounter:
         self._forget()
 
     def _forget(self) -> None:
-        self.seen, self.seen_counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.seen, self.seen_counts = SpanTable(), np.zeros(0, np.int64)
 
     def count_one(self, data: bytes) -> int:
         """The number of pieces of the best cut of one pre-token."""
@@ -67,9 +67,7 @@ class UnigramCounter:
     def _count_in_trie(self, data: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The same for rows of bytes with the given sizes, by the depth of the trie's nodes."""
         n, width = data.shape
-        sums = np.zeros((n, width + 1), np.uint64)
-        np.cumsum(BYTE_VALUE[data] * powers(0, False, width), axis=1, out=sums[:, 1:])
-        inverse = powers(0, True, width + 1)
+        sums = byte_sums(data.ravel())
         node = np.zeros((n, width + 1), np.int64)  # of each pre-token's prefix of each length
         best, counts = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]  # by depth and node
         rows, out = np.arange(n), np.zeros(n, np.int64)
@@ -84,7 +82,7 @@ class UnigramCounter:
                 if length > depth:
                     break
                 at = depth - length
-                h = mix((sums[sample, depth] - sums[sample, at]) * inverse[at])
+                h = span_hashes(sums, sample * width + at, sample * width + depth)
                 k = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
                 hit = np.flatnonzero(self.hashes[k] == h)
                 before = node[sample[hit], at]
@@ -116,17 +114,12 @@ class UnigramCounter:
         n = len(offs) - 1
         if not len(starts):
             return np.zeros(n, np.int64), np.zeros(n, np.int64)
-        distinct, first, which = np.unique(span_hashes(byte_sums(buf), starts, ends), return_index=True, return_inverse=True)
         if len(self.seen) > MOST_KNOWN:
             self._forget()
-        at = np.searchsorted(self.seen, distinct)
-        new = np.flatnonzero(self.seen[np.minimum(at, len(self.seen) - 1)] != distinct) if len(self.seen) else np.arange(len(distinct))
+        number, new = self.seen.number(buf, starts, ends)
         if len(new):
-            found = self.count_spans(buf, starts[first[new]], ends[first[new]])
-            self.seen_counts = np.insert(self.seen_counts, at[new], found)
-            self.seen = np.insert(self.seen, at[new], distinct[new])
-            at = np.searchsorted(self.seen, distinct)
-        return np.bincount(doc, minlength=n), np.bincount(doc, self.seen_counts[at][which], n).astype(np.int64)
+            self.seen_counts = np.concatenate([self.seen_counts, self.count_spans(buf, starts[new], ends[new])])
+        return np.bincount(doc, minlength=n), np.bincount(doc, self.seen_counts[number], n).astype(np.int64)
 
 
 _counters: dict[str, UnigramCounter] = {}
