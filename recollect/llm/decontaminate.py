@@ -11,8 +11,8 @@ depend on nothing but the text, so those of the blocks are united per text (by i
 and every row gets the hits of its text, whatever its id.
 
 Defined results: null or empty text has no words, no hits and is not contaminated; items
-that are null or without words are ignored; items that repeat (same id or same text) each
-count by their id once; documents that repeat are independent rows; extra columns are
+without words are ignored; an item without an id has windows like any other, but no name to
+report; items that repeat (same id or same text) each count by their id once; documents that repeat are independent rows; extra columns are
 ignored, whatever their names.
 """
 
@@ -42,7 +42,7 @@ def normal_words(text: str | None) -> list[bytes]:
 class SuffixAutomaton:
     """Generalised suffix automaton of word sequences that reports windows of items."""
 
-    def __init__(self, items: Iterable[tuple[str, list[bytes]]], window: int = WINDOW):
+    def __init__(self, items: Iterable[tuple[str | None, list[bytes]]], window: int = WINDOW):
         self.next: list[dict[bytes, int]] = [{}]
         self.link, self.length = [-1], [0]
         items = [(name, words) for name, words in items if words]
@@ -51,7 +51,7 @@ class SuffixAutomaton:
             for w in words:
                 last = self._extend(last, w)
         self.window = window
-        self.found: list[dict[int, set[str]]] = [{} for _ in self.next]  # by state: window size -> items
+        self.found: list[dict[int, set[str | None]]] = [{} for _ in self.next]  # by state: window size -> items
         for name, words in items:
             self._report(name, words)
         self.ending = [self._chain(s) for s in range(len(self.next))]
@@ -93,7 +93,7 @@ class SuffixAutomaton:
             return q, size + 1
         return 0, 0
 
-    def _report(self, name: str, words: list[bytes]) -> None:
+    def _report(self, name: str | None, words: list[bytes]) -> None:
         """Note the item at the states where its windows end."""
         k, state, size = min(self.window, len(words)), 0, 0
         for i, w in enumerate(words):
@@ -170,7 +170,7 @@ def _scanner(shared, window: int, token: str):
                 words = normal_words(text.as_py())
                 n_words.append(len(words))
                 found.append(automaton.scan(words))
-            arrays = [pa.array(n_words, pa.int64()), pa.array([x for x, _ in found], pa.list_(pa.list_(pa.int64()))), pa.array([sorted(x) for _, x in found], pa.list_(pa.string()))]
+            arrays = [pa.array(n_words, pa.int64()), pa.array([x for x, _ in found], pa.list_(pa.list_(pa.int64()))), pa.array([sorted(x - {None}) for _, x in found], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(batch.columns[1:] + arrays, names=batch.schema.names[1:] + ["n_words", "spans", "items"])
 
     return scan
@@ -185,17 +185,17 @@ def united(spans: Column) -> Column:
 
 
 def _blocks(benchmark: DataFrame, item: str, item_text: str, block_words: int) -> list[DataFrame]:
-    items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null").distinct()
+    items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text")).where("text is not null").distinct()
     most_words = items.agg(F.sum(F.length("text") / 2 + 1)).first()[0] or 0
     n = int(most_words // block_words) + 1
-    return [items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == b) for b in range(n)] if n > 1 else [items]
+    return [items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b) for b in range(n)] if n > 1 else [items]
 
 
 def _scanned(documents: DataFrame, text: str, carry: list[str], block: DataFrame, window: int) -> DataFrame:
     """The carried columns with what one block of items finds, in one pass over the documents."""
     spark = documents.sparkSession
     ship(spark)
-    rows = sorted((r["item"], r["text"]) for r in block.toLocalIterator())
+    rows = sorted(((r["item"], r["text"]) for r in block.toLocalIterator()), key=lambda r: (r[0] or "", r[1]))
     docs = documents.select(F.col(text).alias("_text"), *(F.col(c).alias(f"_{k}") for k, c in enumerate(carry)))
     schema = ", ".join([f"_{k} {docs.schema[f'_{k}'].dataType.simpleString()}" for k in range(len(carry))] + [RESULT])
     out = docs.mapInArrow(_scanner(spark.sparkContext.broadcast(rows), window, uuid.uuid4().hex), schema)

@@ -69,14 +69,15 @@ def op4_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", decontaminate.hit_words(F.col("removed")).alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+# as the operator: rows without an id are compared with themselves alone, rows of one id not with each other
 OP4_SQL = r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-v AS (SELECT doc_id, p, array_to_string(w[p : p + 19], ' ') AS s FROM d, unnest(range(1, greatest(0, len(w) - 19) + 1)) AS t(p)),
-r AS (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS n FROM v),
-g AS (SELECT DISTINCT doc_id, q FROM r, unnest(range(p, p + 20)) AS t(q) WHERE n > 1),
-a AS (SELECT doc_id, q, w[q] AS x FROM d, unnest(range(1, len(w) + 1)) AS t(q)),
-k AS (SELECT a.doc_id, count(g.q) AS n_removed, string_agg(x, ' ' ORDER BY a.q) FILTER (g.q IS NULL) AS kept FROM a LEFT JOIN g ON a.doc_id = g.doc_id AND a.q = g.q GROUP BY a.doc_id)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+WITH d AS (SELECT row_number() OVER () AS i, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+v AS (SELECT i, doc_id, p, array_to_string(w[p : p + 19], ' ') AS s FROM d, unnest(range(1, greatest(0, len(w) - 19) + 1)) AS t(p)),
+r AS (SELECT i, p, row_number() OVER (PARTITION BY s, i ORDER BY p) AS n, coalesce(doc_id > min(doc_id) OVER (PARTITION BY s), false) AS later FROM v),
+g AS (SELECT DISTINCT i, q FROM r, unnest(range(p, p + 20)) AS t(q) WHERE n > 1 OR later),
+a AS (SELECT i, q, w[q] AS x FROM d, unnest(range(1, len(w) + 1)) AS t(q)),
+k AS (SELECT a.i, count(g.q) AS n_removed, string_agg(x, ' ' ORDER BY a.q) FILTER (g.q IS NULL) AS kept FROM a LEFT JOIN g ON a.i = g.i AND a.q = g.q GROUP BY a.i)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (i)
 """
 
 
@@ -85,17 +86,19 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", decontaminate.hit_words(F.col("removed")).alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+# as the operator: rows that repeat whole are one document, rows without an id are compared with nothing
 OP5_SQL = r"""
-WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-v AS (SELECT doc_id, unnest(range(0, greatest(0, length(h) // 2 - 399))) AS p, unnest(list_transform(range(0, greatest(0, length(h) // 2 - 399)), lambda p: hash(substr(h, 2 * p + 1, 800)))) AS x FROM d),
-g AS (SELECT doc_id, p FROM v WHERE x IN (SELECT x FROM v GROUP BY x HAVING count(*) > 1)),
-e AS (SELECT doc_id, p, CAST(coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 400, true) AS BIGINT) AS new FROM g),
-i AS (SELECT doc_id, min(p) AS lo, max(p) + 400 AS hi FROM (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS n FROM e) GROUP BY doc_id, n),
-k AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM i),
-s AS (SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans, max(hi) AS last, string_agg(substr(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) AS kept FROM k JOIN d USING (doc_id) GROUP BY doc_id)
-SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
-       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
-FROM d LEFT JOIN s USING (doc_id)
+WITH d AS (SELECT row_number() OVER () AS i, doc_id, hex(encode(text)) AS h FROM (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents WHERE doc_id IS NOT NULL)),
+v AS (SELECT i, unnest(range(0, greatest(0, length(h) // 2 - 399))) AS p, unnest(list_transform(range(0, greatest(0, length(h) // 2 - 399)), lambda p: hash(substr(h, 2 * p + 1, 800)))) AS x FROM d),
+g AS (SELECT i, p FROM v WHERE x IN (SELECT x FROM v GROUP BY x HAVING count(*) > 1)),
+e AS (SELECT i, p, CAST(coalesce(p > lag(p) OVER (PARTITION BY i ORDER BY p) + 400, true) AS BIGINT) AS new FROM g),
+j AS (SELECT i, min(p) AS lo, max(p) + 400 AS hi FROM (SELECT i, p, sum(new) OVER (PARTITION BY i ORDER BY p) AS n FROM e) GROUP BY i, n),
+k AS (SELECT i, lo, hi, coalesce(lag(hi) OVER (PARTITION BY i ORDER BY lo), 0) AS before FROM j),
+s AS (SELECT doc_id, h, sum(hi - lo) AS n_removed, count(*) AS n_spans, max(hi) AS last, string_agg(substr(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) AS kept FROM k JOIN d USING (i) GROUP BY i, doc_id, h),
+o AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents)
+SELECT o.doc_id, CAST(length(o.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(o.h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM o LEFT JOIN s ON o.doc_id = s.doc_id AND o.h = s.h
 """
 
 
@@ -156,18 +159,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP8_SQL = r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+WITH d AS (SELECT row_number() OVER () AS i, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 iw AS (SELECT DISTINCT item_id, least(13, len(w)) AS k, array_to_string(w[p : p + least(13, len(w)) - 1], ' ') AS s
-       FROM i, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS t(p) WHERE len(w) > 0),
+       FROM b, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS t(p) WHERE len(w) > 0),
 ks AS (SELECT DISTINCT k FROM iw),
-dw AS (SELECT doc_id, p, k, array_to_string(w[p : p + k - 1], ' ') AS s FROM d, ks, unnest(range(1, greatest(0, len(w) - k + 1) + 1)) AS t(p)),
-m AS (SELECT doc_id, p, dw.k, item_id FROM dw JOIN iw ON dw.s = iw.s AND dw.k = iw.k),
-h AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT DISTINCT doc_id, p, k FROM m) AS x, unnest(range(p, p + k)) AS t(q) GROUP BY doc_id),
-n AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM m GROUP BY doc_id)
+dw AS (SELECT i, p, k, array_to_string(w[p : p + k - 1], ' ') AS s FROM d, ks, unnest(range(1, greatest(0, len(w) - k + 1) + 1)) AS t(p)),
+m AS (SELECT i, p, dw.k, item_id FROM dw JOIN iw ON dw.s = iw.s AND dw.k = iw.k),
+h AS (SELECT i, count(DISTINCT q) AS n_hit FROM (SELECT DISTINCT i, p, k FROM m) AS x, unnest(range(p, p + k)) AS t(q) GROUP BY i),
+n AS (SELECT i, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM m GROUP BY i)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
+FROM d LEFT JOIN h USING (i) LEFT JOIN n USING (i)
 """
 
 def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,11 +192,11 @@ def crc32_sql(text: str) -> str:
     """DuckDB's text for the CRC-32 of an ASCII text; null for null."""
     step = "xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END)"
     bytes_ = f"list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)"
-    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {bytes_}), lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda v, i: {step})), 4294967295)"
+    return f"CASE WHEN {text} IS NOT NULL THEN xor(list_reduce(list_concat([4294967295::BIGINT], {bytes_}), lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda v, i: {step})), 4294967295) END"
 
 
 OP11_SQL = f"""
-WITH RECURSIVE c AS (SELECT *, n_chars + CASE WHEN {crc32_sql('doc_id::VARCHAR')} % 7 = 0 THEN 1 ELSE 0 END AS claimed_chars FROM documents),
+WITH RECURSIVE c AS (SELECT *, n_chars + CASE WHEN ({crc32_sql('doc_id::VARCHAR')}) % 7 = 0 THEN 1 ELSE 0 END AS claimed_chars FROM documents),
 d AS (SELECT row_number() OVER () AS k, doc_id, coalesce('+' || lang, '') AS part, {_LEAF} AS leaf, {_LEAF.replace("n_chars", "claimed_chars")} AS claimed FROM c),
 r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY part ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY part) AS n FROM d),
 t AS (SELECT 0 AS level, part, place, leaf AS h, n FROM r
@@ -224,7 +227,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP13_SQL = f"""
 WITH t AS (SELECT conv_id, {{'r': coalesce(role, ''), 't': coalesce(text, '')}} AS x, turn FROM conversations WHERE conv_id IS NOT NULL),
-l AS (SELECT conv_id, list(x ORDER BY turn NULLS FIRST, sha256(strlen(x.r)::VARCHAR || ':' || x.r || x.t)) AS w, {crc32_sql('any_value(conv_id)::VARCHAR')} % 9 AS h FROM t GROUP BY conv_id),
+l AS (SELECT conv_id, list(x ORDER BY turn NULLS FIRST, sha256(strlen(x.r)::VARCHAR || ':' || x.r || x.t)) AS w, ({crc32_sql('any_value(conv_id)::VARCHAR')}) % 9 AS h FROM t GROUP BY conv_id),
 b AS (SELECT l.conv_id AS c, list_concat(coalesce(a.w, [])[1:l.h], l.w[l.h + 1:]) AS w FROM l LEFT JOIN l AS a ON a.conv_id = l.conv_id - l.conv_id % 5),
 p AS (SELECT c, d, w[1:d] AS k, d = len(w) AS ends, CASE WHEN d > 0 THEN strlen(w[d].t) ELSE 0 END AS size FROM b, unnest(range(0, len(w) + 1)) AS u(d)),
 n AS MATERIALIZED (SELECT d, k, min(c) AS c, count(*) AS n, any_value(size) AS size, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends FROM p GROUP BY d, k),
