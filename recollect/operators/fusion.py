@@ -49,3 +49,37 @@ def memory_fuse(sparse: DataFrame, dense: DataFrame, queries: DataFrame, records
     score = blended(F.col("relevance"), F.col("recency"), F.col("recency_weight"))
     score = boosted(score, F.col("importance")) if importance else score
     return top_k(known.select("query_id", "id", "relevance", "recency", rounded(score).alias("score")), ["query_id"], top)
+
+
+#: Conditions of equality that a query may ask for: its column and the record's.
+EQUAL = (("session_filter", "session_id"), ("agent_filter", "agent_id"), ("role_filter", "role"))
+TIME_BINS = 64
+
+
+def matches(queries: DataFrame, records: DataFrame, bins: int = TIME_BINS) -> DataFrame:
+    """query_id, id of all records that pass a query's filter, without comparing all pairs.
+
+    Times fall into bins with about as many records each.  A query asks for the bins of its
+    interval (all, where it has none), and joins by bin and by all the columns that it names;
+    there is a join for each set of named columns.  Null asks nothing, a null field passes no
+    condition on it.
+    """
+    spark = records.sparkSession
+    shares = [k / bins for k in range(1, bins)]
+    bounds = sorted(set(records.agg(F.percentile_approx("ts_ms", shares, 10_000)).first()[0] or []))
+    edges = F.array(*(F.lit(b).cast("bigint") for b in bounds)) if bounds else F.array().cast("array<bigint>")
+    bin_of = lambda t: F.when(t.isNotNull(), F.size(F.filter(edges, lambda b: b < t)))
+    fields = [r for _, r in EQUAL]
+    held = records.select("id", "ts_ms", *fields, F.coalesce(bin_of(F.col("ts_ms")), F.lit(0)).alias("bin"))
+    first, last = (F.coalesce(bin_of(F.col(c)), F.lit(other)) for c, other in (("time_start", 0), ("time_end", len(bounds))))
+    asked = queries.select("query_id", "time_start", "time_end", *(q for q, _ in EQUAL)).withColumn("asked_bin", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))))
+    found = spark.createDataFrame([], "query_id bigint, id bigint")
+    for named in range(1 << len(EQUAL)):
+        pairs = [pair for k, pair in enumerate(EQUAL) if named >> k & 1]
+        own = asked.where(" and ".join(f"{q} is {'not ' if (q, r) in pairs else ''}null" for q, r in EQUAL))
+        on = F.col("asked_bin") == F.col("bin")
+        for q, r in pairs:
+            on &= F.col(q) == F.col(r)
+        in_time = (F.col("time_start").isNull() | (F.col("ts_ms") >= F.col("time_start"))) & (F.col("time_end").isNull() | (F.col("ts_ms") <= F.col("time_end")))
+        found = found.union(own.join(held, on).where(in_time).select("query_id", "id"))
+    return found

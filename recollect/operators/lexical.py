@@ -25,7 +25,7 @@ class Index:
     lengths: DataFrame
     #: by, n, mean_length
     corpus: DataFrame
-    #: by, term, id, tf, weight (the BM25 contribution)
+    #: by, term, id, length, tf, weight (the BM25 contribution)
     postings: DataFrame
     #: by, term, df, idf
     terms: DataFrame
@@ -61,7 +61,7 @@ def build_index(docs: DataFrame, by: Sequence[str] = (), wanted: DataFrame | Non
     # one row without `by`, else a row for each part
     terms = (df.join(corpus, by) if by else df.crossJoin(F.broadcast(corpus))).withColumn("idf", idf(F.col("n"), F.col("df")))
     postings = counts.join(terms, [*by, "term"]).withColumn("weight", bm25_term(F.col("idf"), F.col("tf"), F.col("length"), F.col("mean_length")))
-    return Index(by, lengths, corpus, postings.select(*by, "term", "id", "tf", "weight"), terms.select(*by, "term", "df", "idf"))
+    return Index(by, lengths, corpus, postings.select(*by, "term", "id", "length", "tf", "weight"), terms.select(*by, "term", "df", "idf"))
 
 
 def query_terms(queries: DataFrame, carry: Sequence[str] = ()) -> DataFrame:

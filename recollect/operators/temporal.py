@@ -1,8 +1,15 @@
-"""Search by time buckets, newest first, with statistics of their own in every bucket."""
+"""Search by time buckets, newest first, with statistics of their own in every bucket.
+
+``search_early_stop`` is one plan over the newest buckets.  ``search_stored`` works on a table
+that is stored by bucket: it reads the newest one, then the next one for the queries that are
+not done, and no bucket that nobody asks for.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from recollect.functions.constants import EARLY_STOP, MOST_BUCKETS, WEEK_MS
@@ -66,3 +73,55 @@ def mean_stats(stats: DataFrame) -> DataFrame:
     """queries, and over them the mean buckets searched, the mean share of records searched, and the share skipped."""
     mean = F.avg("search_fraction")
     return stats.agg(F.count("*").alias("queries"), F.round(F.avg("partitions_searched"), 6).alias("partitions_searched"), F.round(mean, 6).alias("search_fraction"), F.round(1 - mean, 6).alias("skip_rate"))
+
+
+def store_by_bucket(records: DataFrame, path: str) -> None:
+    """Write records (with ``bucket``) to a folder for each bucket; Spark splits large buckets among tasks."""
+    records.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(path)
+
+
+@dataclass
+class StoredSearch:
+    """What a search has read and found, in written tables."""
+
+    #: query_id, id, score, po
+    found: DataFrame
+    #: query_id, po, records: the buckets that a query's search has read
+    asked: DataFrame
+    k: int
+
+    def results(self) -> DataFrame:
+        """query_id, id, score, rank, stop"""
+        stop = self.asked.groupBy("query_id").agg(F.max("po").cast("bigint").alias("stop"))
+        return top_k(self.found.join(stop, "query_id"), ["query_id"], self.k).select("query_id", "id", "score", "rank", "stop")
+
+    def stats(self, total: int) -> DataFrame:
+        """query_id, partitions_searched, records_searched, search_fraction of ``total`` records."""
+        counted = self.asked.groupBy("query_id").agg(F.count("*").alias("partitions_searched"), F.sum("records").alias("records_searched"))
+        return counted.withColumn("search_fraction", F.round(F.col("records_searched") / F.lit(total), 8))
+
+
+def search_stored(spark: SparkSession, queries: DataFrame, stored: str, work: str, k: int, most: int = MOST_BUCKETS, threshold: float = EARLY_STOP) -> StoredSearch:
+    """Search the buckets of a stored table, newest first.  A step's findings are written to ``work``.
+
+    At most ``most`` steps; a step ends the search when all queries have k results whose last is
+    near enough the best.
+    """
+    rows = spark.read.parquet(stored)
+    # counts come from the files' footers
+    newest_first = rows.groupBy("bucket").agg(F.count("*").alias("n")).orderBy(F.desc("bucket")).limit(most).collect()
+    active = queries.select("query_id", "text")
+    found_schema, asked_schema = "query_id bigint, id bigint, score double, po int", "query_id bigint, po int, records bigint"
+    empty = StoredSearch(spark.createDataFrame([], found_schema), spark.createDataFrame([], asked_schema), k)
+    for po, bucket in enumerate(newest_first, 1):
+        near = rows.where(F.col("bucket") == bucket["bucket"]).select("id", "text")
+        search(active, near, k).select("query_id", "id", "score", F.lit(po).alias("po")).write.parquet(f"{work}/found/step={po}")
+        active.select("query_id", F.lit(po).alias("po"), F.lit(bucket["n"]).cast("bigint").alias("records")).write.parquet(f"{work}/asked/step={po}")
+        read = lambda what, schema: spark.read.schema(schema).parquet(*(f"{work}/{what}/step={n}" for n in range(1, po + 1)))  # noqa: B023, E731
+        empty = StoredSearch(read("found", found_schema), read("asked", asked_schema), k)
+        best = top_k(empty.found, ["query_id"], k).groupBy("query_id").agg(F.max("score").alias("best"), F.min("score").alias("kth"), F.count("*").alias("n"))
+        done = best.where((F.col("n") == k) & (F.col("best") > 0) & (F.col("kth") / F.col("best") > threshold)).select("query_id")
+        active = queries.select("query_id", "text").join(done, "query_id", "left_anti")
+        if po < len(newest_first) and not active.limit(1).collect():
+            break
+    return empty

@@ -13,6 +13,7 @@ from recollect.operators.dense import knn
 from recollect.operators.fusion import rrf_scores
 from recollect.operators.lexical import search
 from recollect.operators.ranking import last_rows, top_k
+from recollect.sources.tables import numbered
 
 
 def split_tiers(records: DataFrame, capacity: int = WORKING_CAPACITY) -> tuple[DataFrame, DataFrame]:
@@ -124,3 +125,66 @@ def spills(adds: DataFrame, capacity: int = WORKING_CAPACITY) -> DataFrame:
 def new_session(working: DataFrame, episodic: DataFrame) -> DataFrame:
     """Episodic memory after all of working memory has moved there."""
     return episodic.unionByName(working)
+
+
+# consolidation across runs
+
+#: cluster, n, id (the least), ids, longest (size, -id, content), embedding (the sum)
+def cluster_state(clustered: DataFrame) -> DataFrame:
+    """What a run knows of its clusters; states of different records merge."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    content = F.struct(F.octet_length("content").alias("size"), (-F.col("id")).alias("order"), F.col("content").alias("content"))
+    rows = clustered.where("embedding is not null").select("cluster", "id", content.alias("longest"), array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
+    found = rows.groupBy("cluster").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.collect_list("id").alias("ids"), F.max("longest").alias("longest"), Summarizer.sum(F.col("v")).alias("v"))
+    return found.withColumn("embedding", vector_to_array("v")).drop("v")
+
+
+def merged_states(*states: DataFrame) -> DataFrame:
+    """The state of all records of states that share none."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    found = states[0]
+    for more in states[1:]:
+        found = found.unionByName(more)
+    found = found.withColumn("v", array_to_vector("embedding"))
+    found = found.groupBy("cluster").agg(F.sum("n").alias("n"), F.min("id").alias("id"), F.flatten(F.collect_list("ids")).alias("ids"), F.max("longest").alias("longest"), Summarizer.sum(F.col("v")).alias("v"))
+    return found.withColumn("embedding", vector_to_array("v")).drop("v")
+
+
+def run_entries(state: DataFrame, run: int) -> DataFrame:
+    """The entries that a run adds: run, cluster, id (the least member), source_count, source_ids, confidence, content, embedding."""
+    many = state.where("n >= 2")
+    return many.select(
+        F.lit(run).cast("bigint").alias("run"),
+        "cluster",
+        "id",
+        F.col("n").alias("source_count"),
+        F.array_sort("ids").alias("source_ids"),
+        F.least(F.lit(1.0), F.col("n") / 5.0).alias("confidence"),
+        F.col("longest.content").alias("content"),
+        normalised(F.col("embedding")).alias("embedding"),
+    )
+
+
+def appended_entries(*runs_: DataFrame) -> DataFrame:
+    """Entries of runs, one after the other, as they are appended: with ``entry``, numbered through all runs (within a run by the least member)."""
+    found = runs_[0]
+    for more in runs_[1:]:
+        found = found.unionByName(more)
+    return numbered(found, F.col("run") * (1 << 40) + F.floor(F.col("id") / 4096), ["id", "cluster"], "entry", top=F.floor(F.col("_bucket") / 4096))
+
+
+def store_run(records: DataFrame, earlier: DataFrame | None, path: str, run: int) -> tuple[DataFrame, DataFrame]:
+    """One run over new records: the merged state and the entries that the run adds, both written to ``path``.
+
+    ``earlier``: the state after the run before; its records aren't read again.
+    """
+    spark = records.sparkSession
+    own = cluster_state(records)
+    (own if earlier is None else merged_states(earlier, own)).write.parquet(f"{path}/state-{run}")
+    state = spark.read.parquet(f"{path}/state-{run}")
+    run_entries(state, run).write.parquet(f"{path}/entries-{run}")
+    return state, spark.read.parquet(f"{path}/entries-{run}")
