@@ -2,9 +2,11 @@
 
 Spark fits the cells' centres by k-means on a bounded sample.  Every vector is stored with
 its nearest cell (a folder for each) and a code: the signs of its offset from the centre
-after random rotations.  A search goes to the ``probes`` cells whose centres are nearest; in
-these the codes tell which share of the vectors (``compared``) is compared in full.  A large
-cell is dealt into lists of bounded length, so that no task gets a cell as a whole.
+after random rotations, with its length.  A search goes to the ``probes`` cells whose centres
+are nearest.  There codes alone estimate all distances; a first pass sends a few quantiles of
+each list, from which follows the distance within which a share of the probed vectors
+(``compared``) lies, and a second pass compares those in full.  A large cell is dealt into
+lists of bounded length, so that no task gets a cell as a whole.
 """
 
 from __future__ import annotations
@@ -15,19 +17,22 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
 from recollect.functions.scores import rounded
 from recollect.functions.vectors import similarity
 from recollect.operators.ranking import top_k
 from recollect.shipping import ship
 
-CELLS, PROBES, COMPARED = 16, 8, 0.1
+PROBES, COMPARED = 16, 0.1
 #: Vectors that the centres are fitted on, and vectors of a list.
 FIT_ROWS, LIST_ROWS = 200_000, 16_384
 #: Words of 64 signs in a code.
-CODE_WORDS = 8
+CODE_WORDS = 16
+#: Quantiles of a list's estimates that a query gets.
+QUANTILES = 128
 
-STORED = "id bigint, embedding array<float>, code array<bigint>, list int, cell int"
+STORED = "id bigint, embedding array<float>, code array<bigint>, norm double, list int, cell int"
 FOUND = "query_id bigint, id bigint, d2 double, coded bigint, compared bigint"
 
 
@@ -52,8 +57,11 @@ def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * a @ b.T, 0.0)
 
 
-def fit_centres(vectors: DataFrame, cells: int = CELLS, rows: int = FIT_ROWS) -> np.ndarray:
-    """Centres by k-means in Spark, on at most ``rows`` vectors (those with the least hashes of their ids)."""
+def fit_centres(vectors: DataFrame, cells: int | None = None, rows: int = FIT_ROWS) -> np.ndarray:
+    """Centres by k-means in Spark, on about ``rows`` vectors at most (those with the least hashes of their ids).
+
+    Without ``cells`` there are a quarter as many as the root of the number of vectors.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -63,7 +71,7 @@ def fit_centres(vectors: DataFrame, cells: int = CELLS, rows: int = FIT_ROWS) ->
     sample = known.where(share).select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     if not n:
         return np.zeros((0, 0))
-    return np.array(KMeans(k=max(1, min(cells, n)), seed=7, maxIter=15, initSteps=2).fit(sample).clusterCenters())
+    return np.array(KMeans(k=max(1, min(cells or round(n**0.5 / 4), n)), seed=7, maxIter=15, initSteps=2).fit(sample).clusterCenters())
 
 
 def _assigned(centres: np.ndarray):
@@ -76,7 +84,7 @@ def _assigned(centres: np.ndarray):
                 cell = _squares(own, centres).argmin(1)
                 code = codes(own - centres[cell], turned)
                 bounds = pa.array(np.arange(0, code.size + 1, code.shape[1], dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(bounds, pa.array(code.ravel().view(np.int64))), pa.array(cell.astype(np.int32))], names=["id", "embedding", "code", "cell"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(bounds, pa.array(code.ravel().view(np.int64))), pa.array(np.sqrt(((own - centres[cell]) ** 2).sum(1))), pa.array(cell.astype(np.int32))], names=["id", "embedding", "code", "norm", "cell"])
 
     return assign
 
@@ -94,29 +102,53 @@ def _asked(centres: np.ndarray, probes: int):
     return ask
 
 
-def _searched(centres: np.ndarray, k: int, compared: float):
-    turned = rotations(centres.shape[1]) if len(centres) else np.zeros((0, 0))
+class _List:
+    """A list in a task: ids and what estimates need."""
+
+    def __init__(self, held: pa.Table, centre: np.ndarray, turned: np.ndarray):
+        self.ids, self.norms = held["id"].to_numpy(), held["norm"].to_numpy()
+        self.code = held["code"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(self.ids), -1)
+        self.centre, self.turned = centre, turned
+
+    def estimates(self, query: np.ndarray) -> np.ndarray:
+        """Squared distances by the angle that the codes' differing signs stand for."""
+        own = query - self.centre
+        differ = np.bitwise_count(self.code ^ codes(own[None], self.turned)).sum(1, dtype=np.int64)
+        length = np.sqrt((own**2).sum())
+        return self.norms**2 + length**2 - 2 * self.norms * length * np.cos(np.pi * differ / (64 * self.code.shape[1]))
+
+
+def _quantiles(centres: np.ndarray):
+    turned = rotations(centres.shape[1])
+
+    def sketch(asked: pa.Table, held: pa.Table) -> pa.Table:
+        """query_id, estimate, n: how many vectors of a list are as near as that, and not as near as the one before."""
+        out: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]
+        if asked.num_rows and held.num_rows:
+            own = _List(held, centres[asked["probe"][0].as_py()], turned)
+            last = np.unique(np.linspace(0, len(own.ids), min(QUANTILES, len(own.ids)) + 1).astype(np.int64)[1:])
+            rows = [np.sort(own.estimates(q))[last - 1] for q in matrix(asked["asked"].combine_chunks())]
+            out = [np.repeat(asked["query_id"].to_numpy(), len(last)), np.concatenate(rows), np.tile(np.diff(last, prepend=0), len(rows))]
+        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1]), pa.array(out[2], pa.int64())], names=["query_id", "estimate", "n"])
+
+    return sketch
+
+
+def _searched(centres: np.ndarray, k: int):
+    turned = rotations(centres.shape[1])
 
     def search(asked: pa.Table, held: pa.Table) -> pa.Table:
-        """One list: its vectors whose codes are nearest are compared, and the k nearest leave."""
-        centre = centres[asked["probe"][0].as_py()]
-        queries, ids = matrix(asked["asked"].combine_chunks()), held["id"].to_numpy()
-        own = matrix(held["embedding"].combine_chunks())
-        code = held["code"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
-        n = min(len(ids), max(2 * k, int(np.ceil(compared * len(ids)))))
-        out: list[list] = [[], [], []]
-        for q, vector, sign in zip(asked["query_id"].to_pylist(), queries, codes(queries - centre, turned), strict=True):
-            far = np.bitwise_count(code ^ sign).sum(1, dtype=np.int64)
-            near = np.argpartition(far, n - 1)[:n]
-            d2 = ((own[near] - vector) ** 2).sum(1)
-            best = np.lexsort((ids[near], d2))[:k]
-            out[0] += [q] * len(best)
-            out[1] += ids[near[best]].tolist()
-            out[2] += d2[best].tolist()
-        work = asked["query_id"].to_pylist()
-        none = [None] * len(out[0])
-        columns = [out[0] + work, out[1] + [None] * len(work), out[2] + [None] * len(work), none + [len(ids)] * len(work), none + [n] * len(work)]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], names=[x.split()[0] for x in FOUND.split(", ")])
+        """One list: the vectors within a query's estimate are compared, and the k nearest leave; a row without id tells the work."""
+        out: list[list] = [[], [], [], [], []]
+        if asked.num_rows and held.num_rows:
+            own, vectors = _List(held, centres[asked["probe"][0].as_py()], turned), matrix(held["embedding"].combine_chunks())
+            for q, query, within in zip(asked["query_id"].to_pylist(), matrix(asked["asked"].combine_chunks()), asked["within"].to_pylist(), strict=True):
+                near = np.flatnonzero(own.estimates(query) <= within)
+                d2 = ((vectors[near] - query) ** 2).sum(1)
+                best = np.lexsort((own.ids[near], d2))[:k]
+                for column, values in zip(out, ([q] * (len(best) + 1), [*own.ids[near[best]].tolist(), None], [*d2[best].tolist(), None], [None] * len(best) + [len(own.ids)], [None] * len(best) + [len(near)]), strict=True):
+                    column += values
+        return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], names=[x.split()[0] for x in FOUND.split(", ")])
 
     return search
 
@@ -138,7 +170,12 @@ class CellIndex:
         asked = rows.mapInArrow(_asked(self.centres, probes), "query_id bigint, asked array<float>, probe int")
         lists = self.stored.select(F.col("cell").alias("at"), F.col("list").alias("part")).distinct()
         dealt = asked.join(lists, asked["probe"] == lists["at"]).select("query_id", "asked", "probe", "part")
-        return dealt.groupBy("probe", "part").cogroup(self.stored.groupBy("cell", "list")).applyInArrow(_searched_or_none(self.centres, k, compared), FOUND)
+        coded = self.stored.select("id", "code", "norm", "cell", "list")
+        seen = dealt.groupBy("probe", "part").cogroup(coded.groupBy("cell", "list")).applyInArrow(_quantiles(self.centres), "query_id bigint, estimate double, n bigint")
+        own = Window.partitionBy("query_id")  # some quantiles for each list
+        running = seen.withColumns({"before": F.sum("n").over(own.orderBy("estimate")) - F.col("n"), "all": F.sum("n").over(own)})
+        within = running.where(F.col("before") < F.greatest(F.col("all") * compared, F.lit(2 * k))).groupBy("query_id").agg(F.max("estimate").alias("within"))
+        return dealt.join(within, "query_id").select("query_id", "asked", "probe", "part", "within").groupBy("probe", "part").cogroup(self.stored.groupBy("cell", "list")).applyInArrow(_searched(self.centres, k), FOUND)
 
     def search(self, queries: DataFrame, k: int, *, probes: int = PROBES, compared: float = COMPARED) -> DataFrame:
         """query_id, id, score, rank of the k nearest that are found; more probes and a greater share find more and cost more."""
@@ -150,22 +187,16 @@ class CellIndex:
         return self._found(queries, k, probes, compared).where("id is null").groupBy("query_id").agg(F.sum("coded").alias("coded"), F.sum("compared").alias("compared"))
 
 
-def _searched_or_none(centres: np.ndarray, k: int, compared: float):
-    search = _searched(centres, k, compared)
-    schema = pa.schema([(x.split()[0], pa.float64() if x.endswith("double") else pa.int64()) for x in FOUND.split(", ")])
-    return lambda asked, held: search(asked, held) if asked.num_rows and held.num_rows else schema.empty_table()
-
-
-def store_cells(vectors: DataFrame, path: str, *, cells: int = CELLS, list_rows: int = LIST_ROWS, fit_rows: int = FIT_ROWS) -> CellIndex:
+def store_cells(vectors: DataFrame, path: str, *, cells: int | None = None, list_rows: int = LIST_ROWS, fit_rows: int = FIT_ROWS) -> CellIndex:
     """Fit the cells and write all vectors (id, embedding) to a folder, by cell.  Rows without an embedding aren't stored."""
     spark = vectors.sparkSession
     ship(spark)
     centres = fit_centres(vectors, cells, fit_rows)
     rows = vectors.where("embedding is not null").select(F.col("id").cast("bigint").alias("id"), F.col("embedding").cast("array<float>").alias("embedding"))
-    placed = rows.mapInArrow(_assigned(centres), "id bigint, embedding array<float>, code array<bigint>, cell int")
+    placed = rows.mapInArrow(_assigned(centres), "id bigint, embedding array<float>, code array<bigint>, norm double, cell int")
     placed.write.parquet(f"{path}/placed")
     placed = spark.read.parquet(f"{path}/placed")
     lists = placed.groupBy("cell").agg(F.ceil(F.count("*") / list_rows).cast("int").alias("lists"))
     dealt = placed.join(F.broadcast(lists), "cell").withColumn("list", F.pmod(F.xxhash64("id"), F.col("lists")).cast("int"))  # a row for each cell
-    dealt.select("id", "embedding", "code", "list", "cell").hint("rebalance", "cell", "list").write.partitionBy("cell").parquet(f"{path}/cells")
+    dealt.select("id", "embedding", "code", "norm", "list", "cell").hint("rebalance", "cell", "list").write.partitionBy("cell").parquet(f"{path}/cells")
     return CellIndex(spark, path, centres)

@@ -65,15 +65,3 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
         found = found.union(more)
     return top_k(found.select("query_id", "id", rounded(similarity(F.col("d2"))).alias("score")), ["query_id"], k)
 
-
-def knn_lsh(queries: DataFrame, vectors: DataFrame, k: int, *, tables: int = 12, width: float = 1.0) -> DataFrame:
-    """The same by locality-sensitive hashing: more tables and wider buckets find more and cost more."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    data = vectors.select("id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-    asked = queries.select("query_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", numHashTables=tables, bucketLength=width, seed=42).fit(data)
-    near = model.approxSimilarityJoin(asked, data, float("inf"), "distance")
-    found = near.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.id").alias("id"), rounded(similarity(F.col("distance") * F.col("distance"))).alias("score"))
-    return top_k(found, ["query_id"], k)

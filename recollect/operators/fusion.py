@@ -43,9 +43,9 @@ def memory_fuse(sparse: DataFrame, dense: DataFrame, queries: DataFrame, records
     """
     kept = [kept_candidates(x, queries, records) for x in (sparse, dense)]
     fused = rrf_scores(*kept).withColumnRenamed("score", "relevance")
-    known = fused.join(records.select("id", "ts_ms", "importance"), "id").join(queries.select("query_id", "recency_weight"), "query_id")
     at = F.lit(now) if isinstance(now, int) else now
-    known = known.withColumn("recency", rounded(decay(at - F.col("ts_ms"), half_life_ms)))
+    known = fused.join(records.select("id", "ts_ms", "importance", at.alias("_now")), "id").join(queries.select("query_id", "recency_weight"), "query_id")
+    known = known.withColumn("recency", rounded(decay(F.col("_now") - F.col("ts_ms"), half_life_ms)))
     score = blended(F.col("relevance"), F.col("recency"), F.col("recency_weight"))
     score = boosted(score, F.col("importance")) if importance else score
     return top_k(known.select("query_id", "id", "relevance", "recency", rounded(score).alias("score")), ["query_id"], top)

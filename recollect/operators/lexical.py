@@ -93,7 +93,7 @@ def max_weights(index: Index) -> DataFrame:
 
 def csr(index: Index) -> DataFrame:
     """term, term_id, df, first: terms in order, and where each one's postings begin."""
-    start = F.substring("term", 1, 2)
+    start = F.substring("term", 1, 3)
     terms = numbered(index.terms.select("term", "df"), start, ["term"], "term_id", top=F.substring("_bucket", 1, 1)).withColumn("_start", start)
     sums = terms.groupBy("_start").agg(F.sum("df").alias("_sum"))
     before = sums.select("_start", (F.sum("_sum").over(Window.orderBy("_start")) - F.col("_sum")).alias("_before"))

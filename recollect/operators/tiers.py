@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -60,9 +62,12 @@ def merged(*results: DataFrame, k: int) -> DataFrame:
 
 def consolidation_window(records: DataFrame, batch: int = CONSOLIDATION_BATCH) -> DataFrame:
     """The last ``batch`` records where there are more than twice as many, else all."""
-    if records.limit(2 * batch + 1).count() > 2 * batch:
-        return last_rows(records, batch, "id")
-    return records
+    last = last_rows(records, 2 * batch + 1, "id")
+    # the last rows, how many of them there are, and so whether all rows are wanted
+    few = last.agg(F.when(F.count("*") > 2 * batch, F.max("id")).alias("_many"))
+    least = last_rows(records, batch, "id").agg(F.min("id").alias("_least"))
+    bound = few.crossJoin(least).select(F.when(F.col("_many").isNotNull(), F.col("_least")).alias("_from"))  # one row
+    return records.crossJoin(F.broadcast(bound)).where(F.col("_from").isNull() | (F.col("id") >= F.col("_from"))).drop("_from")
 
 
 def clusters(records: DataFrame, roles: tuple[str, ...] | None = ("assistant", "tool_output")) -> DataFrame:
@@ -111,7 +116,7 @@ def horizons(records: DataFrame, now, days: tuple[int, ...] = (7, 30, 60, 90, 18
     return counted.select("days", "evicted", (F.col("n") - F.col("evicted")).alias("remaining"), F.round(F.col("evicted") / F.col("n"), 8).alias("rate"))
 
 
-def spills(adds: DataFrame, capacity: int = WORKING_CAPACITY) -> DataFrame:
+def spills(adds: DataFrame, capacity: int = WORKING_CAPACITY, carry: Sequence[str] = ()) -> DataFrame:
     """start, added -> spills, spilled, working: what a working memory that held ``start`` has moved on after ``added`` more.
 
     Each time it holds capacity + 1 its oldest half moves, so the outcome has a closed form.
@@ -119,7 +124,7 @@ def spills(adds: DataFrame, capacity: int = WORKING_CAPACITY) -> DataFrame:
     half = (capacity + 1) // 2
     held = F.col("start") + F.col("added")
     times = F.when(held <= capacity, 0).otherwise(1 + F.floor((held - (capacity + 1)) / half)).cast("bigint")
-    return adds.select("start", "added", times.alias("spills")).withColumn("spilled", F.col("spills") * half).withColumn("working", F.col("start") + F.col("added") - F.col("spilled"))
+    return adds.select(*carry, "start", "added", times.alias("spills")).withColumn("spilled", F.col("spills") * half).withColumn("working", F.col("start") + F.col("added") - F.col("spilled"))
 
 
 def new_session(working: DataFrame, episodic: DataFrame) -> DataFrame:

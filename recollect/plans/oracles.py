@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from recollect.functions.constants import ROLES, STOPWORDS, TIERS, TOOLS
+from recollect.sources.synthetic import SEED, TOPICS
 
 STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
 
@@ -125,12 +126,31 @@ MERGED = "mt AS (SELECT * FROM (SELECT query_id, id, tier, score, row_number() O
 ALL_TIERS = (*TIER_BASE, *(x for x in DOC_BASE if x is not DOCV), WORKING, *SEMANTIC, *EPISODIC, MERGED)
 ALL_TIERS = (VEC, "docv AS (SELECT doc_id AS id, text, embedding FROM documents, nv JOIN embeddings ON vec_id = doc_id % n)", *ALL_TIERS[1:])
 
-RUNS = """runs AS (SELECT size * 1000 AS corpus_size, strategy, threads, size * 1000 * 2.0::DOUBLE * CASE WHEN strategy = 'sequential' THEN 1.0::DOUBLE ELSE share + (1 - share) / threads + 0.01::DOUBLE * threads END AS total_ms
-  FROM range(1, 5) AS s(size), (VALUES ('sequential', 0.4::DOUBLE), ('data_parallel', 0.4::DOUBLE), ('full_parallel', 0.05::DOUBLE)) AS n(strategy, share), (VALUES (1::BIGINT), (2::BIGINT), (4::BIGINT), (8::BIGINT)) AS t(threads) WHERE strategy <> 'sequential' OR threads = 1),
+RUNS = """runs AS (SELECT corpus_size, strategy, threads, sum(cents)::DOUBLE / count(*) AS total_ms, count(*) AS num_queries FROM (SELECT (user_id % 4 + 1) * 1000 AS corpus_size,
+    CASE event_type WHEN 'view' THEN 'sequential' WHEN 'click' THEN 'data_parallel' ELSE 'full_parallel' END AS strategy,
+    CASE event_type WHEN 'view' THEN 1 ELSE CAST(pow(2, event_id % 3 + 1) AS BIGINT) END AS threads, CAST(floor(value * 100) AS BIGINT) + 1 AS cents FROM events WHERE value IS NOT NULL) GROUP BY ALL),
 sp0 AS (SELECT corpus_size, strategy, threads, base / total_ms AS raw FROM runs JOIN (SELECT corpus_size, min(total_ms) AS base FROM runs WHERE strategy = 'sequential' GROUP BY 1) USING (corpus_size)),
 sp AS (SELECT corpus_size, strategy, threads, round(raw, 8) AS speedup, round(100 * raw / threads, 8) AS efficiency FROM sp0)"""
 
 NOW = 1706745600000
+VOCAB = "vocab AS (SELECT list(term ORDER BY df DESC, term) AS v FROM (SELECT * FROM df ORDER BY df DESC, term LIMIT 202))"
+PICKS = f"[{', '.join(repr(t) for t in TOPICS)}]"
+
+
+def pick(seed: int, *keys: str, n: str) -> str:
+    x = f"{seed}::BIGINT"
+    for k in (*keys, "0", "0"):
+        x = f"(({x} * 1103515245 + {k} + 12345) % 2147483648)"
+    return f"({x} // 256 % {n})"
+
+
+AGENTS = f"""ag0 AS (SELECT s, list_concat(['system'], flatten(list_transform(range(0, 13), lambda r: CASE WHEN {pick(SEED + 1, 's', 'r', n='2')} = 0 THEN ['user', 'planning', 'tool_call', 'tool_output', 'assistant'] ELSE ['user', 'tool_call', 'tool_output', 'assistant'] END)))[1 : greatest(1, 4 + {pick(SEED, 's', n='9')})] AS roles
+  FROM (SELECT DISTINCT conv_id AS s FROM conversations)),
+ag1 AS (SELECT s, turn, roles[turn + 1] AS role FROM ag0, unnest(range(0, len(roles))) AS t(turn)),
+ag AS (SELECT row_number() OVER (ORDER BY s, turn) - 1 AS id, printf('sess-%06d', s) AS session_id, printf('agent-%02d', s % 6 + 1) AS agent_id, role,
+  CASE WHEN role IN ('tool_call', 'tool_output') THEN ['web_search', 'code_exec', 'shell_cmd', 'db_query'][s % 4 + 1] ELSE '' END AS tool, 1704067200000 + s * 3600000 + turn * 15000 AS ts_ms,
+  {PICKS}[s % 4 + 1] || ' ' || role || ' note ' || {pick(SEED + 2, 's', 'turn', n='3')} AS content,
+  CASE role WHEN 'system' THEN 0.3::DOUBLE WHEN 'user' THEN 0.7::DOUBLE WHEN 'planning' THEN 0.4::DOUBLE WHEN 'tool_call' THEN 0.5::DOUBLE WHEN 'tool_output' THEN 0.6::DOUBLE ELSE 0.8::DOUBLE END AS importance FROM ag1)"""
 
 SQL: dict[str, str] = {
     "tokenize_stats": sql(f"SELECT id AS doc_id, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(list_distinct(t)) AS BIGINT) AS n_distinct, t[1] AS first_token, t[-1] AS last_token FROM (SELECT id, {tok('text')} AS t FROM docs)", DOCS),
@@ -199,7 +219,7 @@ SQL: dict[str, str] = {
         f"SELECT days, CAST(sum(gone) AS BIGINT) AS evicted, count(*) - CAST(sum(gone) AS BIGINT) AS remaining, round(sum(gone) / count(*), 8) AS rate FROM (SELECT days, CAST(round(importance * {decay(f'{NOW} + days * 86400000 - ts_ms')}, 8) < 0.05 AS BIGINT) AS gone FROM ev, (VALUES (7::BIGINT), (30::BIGINT), (60::BIGINT), (90::BIGINT), (180::BIGINT)) AS h(days)) GROUP BY days",
         EV,
     ),
-    "spill_schedule": "SELECT start, added, spills, spills * 50 AS spilled, start + added - spills * 50 AS working FROM (SELECT start, added, CASE WHEN start + added <= 100 THEN 0 ELSE 1 + (start + added - 101) // 50 END AS spills FROM range(0, 101, 20) AS s(start), range(0, 401, 37) AS a(added))",
+    "spill_schedule": "SELECT conv_id, start, added, spills, spills * 5 AS spilled, start + added - spills * 5 AS working FROM (SELECT conv_id, start, added, CASE WHEN start + added <= 10 THEN 0 ELSE 1 + (start + added - 11) // 5 END AS spills FROM (SELECT conv_id, least(conv_id % 11, count(*)) AS start, count(*) * 3 AS added FROM conversations GROUP BY conv_id))",
     "new_session_flush": sql("SELECT session_id, count(*) AS n, max(id) AS last_id FROM mem GROUP BY 1", MEM),
     "store_overview": sql("SELECT count(*) AS records, count(DISTINCT session_id) AS sessions, count(DISTINCT agent_id) AS agents, min(ts_ms) AS first_ts, max(ts_ms) AS last_ts, round(avg(importance), 8) AS mean_importance FROM mem", MEM),
     "records_by_role": sql("SELECT role, count(*) AS n FROM mem GROUP BY 1", MEM),
@@ -207,8 +227,8 @@ SQL: dict[str, str] = {
     "records_by_tool": sql(f"SELECT {TOOL_LIST}[CASE WHEN role = 'assistant' THEN id % 10 ELSE 0 END + 1] AS tool, count(*) AS n FROM mem GROUP BY 1", MEM),
     "distinct_sessions": sql("SELECT DISTINCT session_id FROM mem", MEM),
     "session_sample": sql("SELECT id, role, CASE WHEN length(content) > 40 THEN substring(content, 1, 37) || '...' ELSE content END AS content FROM mem WHERE session_id = 'sess-000000' ORDER BY id LIMIT 6", MEM),
-    "role_names": "SELECT code, coalesce(([" + ", ".join(f"'{r}'" for r in ROLES) + "])[code + 1], 'unknown') AS role FROM range(9) AS t(code)",
-    "tool_and_tier_names": f"SELECT code, coalesce({TOOL_LIST}[code + 1], 'unknown') AS tool, coalesce({TIER_LIST}[code + 1], 'unknown') AS tier FROM range(12) AS t(code)",
+    "role_names": sql("SELECT id, coalesce(([" + ", ".join(f"'{r}'" for r in ROLES) + "])[id % 9 + 1], 'unknown') AS role FROM mem", MEM),
+    "tool_and_tier_names": sql(f"SELECT id, coalesce({TOOL_LIST}[id % 12 + 1], 'unknown') AS tool, coalesce({TIER_LIST}[id % 5 + 1], 'unknown') AS tier FROM mem", MEM),
     "durations": "SELECT l_orderkey, l_linenumber, CASE WHEN u < 1000 THEN printf('%.1f us', u) WHEN u < 1000000 THEN printf('%.2f ms', u / 1000) ELSE printf('%.2f s', u / 1000000) END AS duration FROM (SELECT l_orderkey, l_linenumber, l_orderkey * 40.0::DOUBLE AS u FROM lineitem)",
     "kendall_tau": sql(
         "SELECT query_id, round(coalesce(tau, 1.0::DOUBLE), 8) AS tau FROM (SELECT DISTINCT query_id FROM hits) LEFT JOIN (SELECT a.query_id, sum(sign((a.x - b.x) * (a.y - b.y)))::DOUBLE / sum(abs(sign((a.x - b.x) * (a.y - b.y)))) AS tau FROM xy AS a JOIN xy AS b ON a.query_id = b.query_id AND a.x < b.x GROUP BY 1) USING (query_id)",
@@ -240,8 +260,51 @@ SQL: dict[str, str] = {
     "speedup_efficiency": sql("SELECT * FROM sp", RUNS),
     "best_runs": sql("SELECT corpus_size, strategy, threads, speedup, efficiency FROM (SELECT *, row_number() OVER (PARTITION BY corpus_size ORDER BY speedup DESC, threads, strategy) AS p FROM sp) WHERE p = 1", RUNS),
     "scaling_pivot": sql("SELECT corpus_size, max(speedup) FILTER (strategy = 'sequential') AS sequential, max(speedup) FILTER (strategy = 'data_parallel') AS data_parallel, max(speedup) FILTER (strategy = 'full_parallel') AS full_parallel FROM sp GROUP BY 1", RUNS),
-    "mean_timings": sql("SELECT strategy, round(avg(total_ms / 100), 8) AS avg_latency_ms, round(avg(1000 * 100 / total_ms), 8) AS throughput_qps FROM runs GROUP BY 1", RUNS),
+    "mean_timings": sql("SELECT strategy, round(avg(total_ms / num_queries), 8) AS avg_latency_ms, round(avg(1000 * num_queries / total_ms), 8) AS throughput_qps FROM runs GROUP BY 1", RUNS),
     "stream_append_snapshot": sql("SELECT query_id, id, score, rank FROM hits", MEM, MEMT, ASKED, index("memt"), bm25("asked")),
     "stream_reads_beside_writes": sql("SELECT id % 4 AS flush, CAST(sum(count(*)) OVER (ORDER BY id % 4) AS BIGINT) AS visible, true AS whole FROM mem GROUP BY id % 4", MEM),
     "csv_round_trip": sql("SELECT corpus_size, strategy, threads, round(speedup, 3) AS speedup, round(efficiency, 3) AS efficiency FROM sp", RUNS),
+    "csv_append": "SELECT c_custkey, c_name, round(c_acctbal, 2) AS c_acctbal, c_mktsegment FROM customer",
+    "segments_search": sql("SELECT query_id, id, score, rank FROM hits", MEM, MEMT, ASKED, index("memt"), bm25("asked")),
+    "bm25_pruned_topk": sql(HITS.format(""), *ALL_DOCS, bm25("asked")),
+    "bm25_pruned_work": sql("SELECT query_id, CAST(sum(df) AS BIGINT) AS postings, true AS fewer FROM qt JOIN df USING (term) GROUP BY query_id", *ALL_DOCS, bm25("asked")),
+    "stored_csr_offsets": sql("SELECT term, row_number() OVER (ORDER BY term) - 1 AS term_id, df, CAST(sum(df) OVER (ORDER BY term) - df AS BIGINT) AS first_posting FROM term", *ALL_DOCS),
+    "stored_term_lookup": sql("SELECT id AS doc_id, round(weight, 8) AS weight FROM post WHERE term = (SELECT term FROM df ORDER BY df DESC, term LIMIT 1)", *ALL_DOCS),
+    "knn_cells_quality": "SELECT vec_id AS query_id, true AS found, true AS pruned FROM embeddings WHERE vec_id % 20 = 0",
+    "filter_matches": sql(
+        "SELECT query_id, count(*) AS n, min(mem.id) AS first_id, max(mem.id) AS last_id FROM mq JOIN mem ON (session_filter IS NULL OR session_filter = session_id) AND (agent_filter IS NULL OR agent_filter = agent_id) AND (role_filter IS NULL OR role_filter = role) AND (time_start IS NULL OR ts_ms >= time_start) AND (time_end IS NULL OR ts_ms <= time_end) GROUP BY query_id",
+        MEM,
+        ASKV,
+        MEMQ,
+    ),
+    "consolidate_two_runs": sql(
+        "SELECT row_number() OVER (ORDER BY run, id, cluster) - 1 AS entry, run, cluster, id, source_count, md5(content) AS content_md5, round(least(1.0::DOUBLE, source_count / 5.0::DOUBLE), 8) AS confidence, component_sum FROM e2 JOIN c2 USING (run, cluster)",
+        DOCV,
+        CLUSTERS,
+        "r2 AS (SELECT run::BIGINT AS run, cl.* FROM cl, (VALUES (0), (1)) AS r(run) WHERE run = 1 OR id % 2 = 0)",
+        "e2 AS (SELECT run, cluster, min(id) AS id, count(*) AS source_count, arg_max(content, {'n': strlen(content), 'i': -id}) AS content FROM r2 GROUP BY run, cluster HAVING count(*) >= 2)",
+        "p2 AS (SELECT run, cluster, pos, sum(embedding[pos]::DOUBLE) AS x FROM r2, range(1, 65) AS t(pos) GROUP BY ALL)",
+        "c2 AS (SELECT run, cluster, round(sum(x) / sqrt(sum(x * x)), 6) AS component_sum FROM p2 GROUP BY ALL)",
+    ),
+    "staged_flushes": "SELECT store, flush, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM (SELECT event_type AS store, event_id AS id, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 1000 + 1 AS flush, count(*) OVER (PARTITION BY event_type) AS have FROM events) WHERE flush * 1000 <= have GROUP BY store, flush",
+    "spilled_tiers": sql(
+        "SELECT agent_id, id, CASE WHEN p <= CASE WHEN n <= 20 THEN 0 ELSE (1 + (n - 21) // 10) * 10 END THEN 'episodic' ELSE 'working' END AS tier FROM (SELECT agent_id, id, row_number() OVER (PARTITION BY agent_id ORDER BY ts_ms, id) AS p, count(*) OVER (PARTITION BY agent_id) AS n FROM mem)",
+        MEM,
+    ),
+    "session_runs": sql(
+        "SELECT run, any_value(session_id) AS session_id, arg_min(id, {'t': ts_ms, 'i': id}) AS first_id, arg_max(id, {'t': ts_ms, 'i': id}) AS last_id, count(*) AS n FROM (SELECT *, CAST(sum(new) OVER (ORDER BY ts_ms, id) - 1 AS BIGINT) AS run FROM (SELECT *, CAST(lag(session_id) OVER (ORDER BY ts_ms, id) IS DISTINCT FROM session_id AS BIGINT) AS new FROM ev)) GROUP BY run",
+        EV,
+    ),
+    "generic_corpus": sql(
+        f"SELECT doc_id AS id, 50 AS n_words, md5(array_to_string(list_transform(range(1, 51), lambda i: v[{pick(SEED, 'doc_id', 'i', n='len(v)')} + 1]), ' ')) AS text_md5, 1.0::DOUBLE AS norm FROM documents, vocab",
+        *ALL_DOCS,
+        VOCAB,
+    ),
+    "generic_queries": sql(f"SELECT item_id AS query_id, array_to_string(list_transform(range(1, 6), lambda i: v[{pick(SEED + 999_999, 'item_id', 'i', n='len(v)')} + 1]), ' ') AS text, 1.0::DOUBLE AS norm FROM benchmark, vocab", *ALL_DOCS, VOCAB),
+    "agent_corpus": sql("SELECT * FROM ag", AGENTS),
+    "agent_queries": sql(
+        f"SELECT query_id, 'find earlier notes about ' || {PICKS}[query_id % 4 + 1] AS text, CASE WHEN {pick(SEED + 3, 'query_id', n='10')} < 3 THEN printf('sess-%06d', {pick(SEED + 5, 'query_id', n='sessions')}) END AS session_filter, CASE WHEN {pick(SEED + 4, 'query_id', n='10')} < 2 THEN last - 604800000 END AS time_start, CASE WHEN {pick(SEED + 4, 'query_id', n='10')} < 2 THEN last END AS time_end, 0.3::DOUBLE AS recency_weight, 10 AS top_k FROM asked, (SELECT max(ts_ms) AS last, count(DISTINCT session_id) AS sessions FROM ag)",
+        AGENTS,
+        ASKED,
+    ),
 }

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from recollect.functions import scores, text, vectors
 from recollect.functions.constants import DAY_MS, ROLES, TIERS, TOOLS, TOP_K
-from recollect.operators import dense, fusion, lexical, metrics, ranking, temporal, tiers
+from recollect.operators import blocks, cells, dense, fusion, lexical, metrics, ranking, runs, temporal, tiers
 from recollect.sources import synthetic, tables
-from recollect.streaming import store
+from recollect.streaming import staging, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,6 +34,15 @@ def _index(spark: SparkSession, d: str) -> lexical.Index:
     return lexical.build_index(_docs(spark, d))
 
 
+def _shared(spark: SparkSession) -> str:
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        top = spark.conf.get("spark.sql.warehouse.dir")
+    return f"{top}/recollect-{uuid.uuid4().hex}"
+
+
 def _hits(df: DataFrame) -> DataFrame:
     return df.select("query_id", F.col("id").alias("doc_id"), "score", "rank")
 
@@ -94,6 +103,36 @@ def maxscore_skips(spark, d):
     return lexical.skip_stats(asked, lexical.build_index(docs, wanted=lexical.query_terms(asked).select("term").distinct()), TOP_K)
 
 
+def _stored(spark, d):
+    return blocks.store_index(_docs(spark, d), f"{_shared(spark)}/index")
+
+
+@query
+def bm25_pruned_topk(spark, d):
+    """The rows of bm25_topk, from stored blocks of which most stay unread."""
+    return _hits(_stored(spark, d).search(_asked(spark, d), TOP_K))
+
+
+@query
+def bm25_pruned_work(spark, d):
+    """query_id, postings of its terms; fewer: whether that is what a search decodes at most."""
+    work = _stored(spark, d).work(_asked(spark, d), TOP_K)
+    return work.select("query_id", "postings", (F.col("decoded") <= F.col("postings")).alias("fewer"))
+
+
+@query
+def stored_csr_offsets(spark, d):
+    return _stored(spark, d).offsets().select("term", "term_id", "df", F.col("first").alias("first_posting"))
+
+
+@query
+def stored_term_lookup(spark, d):
+    """The postings of the term that most documents have, read from its slices."""
+    index = _stored(spark, d)
+    term = [r["term"] for r in index.offsets().orderBy(F.desc("df"), "term").limit(1).collect()]
+    return index.postings(term[0] if term else "").select(F.col("id").alias("doc_id"), scores.rounded(F.col("weight")).alias("weight"))
+
+
 @query
 def bm25_topk(spark, d):
     return _hits(lexical.search(_asked(spark, d), _docs(spark, d), TOP_K))
@@ -119,10 +158,27 @@ def knn_topk(spark, d):
     return _hits(dense.knn(tables.queries(spark, d), tables.documents(spark, d), TOP_K))
 
 
-@query
-def knn_lsh(spark, d):
+def _cells(spark, d):
     v = tables.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return dense.knn_lsh(v.where("id % 20 = 0").withColumnRenamed("id", "query_id"), v, TOP_K).withColumnRenamed("id", "vec_id")
+    return v, v.where("id % 20 = 0").withColumnRenamed("id", "query_id"), cells.store_cells(v, f"{_shared(spark)}/cells")
+
+
+@query
+def knn_cells(spark, d):
+    """Approximate neighbours: codes choose the vectors that are compared."""
+    _, asked, index = _cells(spark, d)
+    return index.search(asked, TOP_K).withColumnRenamed("id", "vec_id")
+
+
+@query
+def knn_cells_quality(spark, d):
+    """Of every query: nine of its ten nearest are found, and less than a fifth of the vectors are compared."""
+    v, asked, index = _cells(spark, d)
+    near = dense.knn(asked, v, TOP_K).join(index.search(asked, TOP_K).select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    found = near.groupBy("query_id").agg((F.count("hit") >= 0.9 * F.count("*")).alias("found"))
+    n = v.agg(F.count("*").alias("n"))
+    work = index.work(asked, TOP_K).crossJoin(F.broadcast(n))  # one row
+    return found.join(work.select("query_id", (F.col("compared") < 0.2 * F.col("n")).alias("pruned")), "query_id")
 
 
 @query
@@ -225,8 +281,15 @@ def post_filter_rrf(spark, d):
 @query
 def memory_fuse(spark, d):
     asked, records, sparse, near = _memory_lists(spark, d)
-    now = records.agg(F.max("ts_ms")).first()[0]
-    return fusion.memory_fuse(sparse, near, asked, records, now, top=TOP_K)
+    records = records.crossJoin(F.broadcast(records.agg(F.max("ts_ms").alias("now"))))  # one row
+    return fusion.memory_fuse(sparse, near, asked, records, F.col("now"), top=TOP_K)
+
+
+@query
+def filter_matches(spark, d):
+    """Of every query how many records pass its filter, the first and the last of them."""
+    found = fusion.matches(_memory_queries(spark, d), _records(spark, d))
+    return found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
 @query
@@ -254,9 +317,16 @@ def _daily(spark, d):
     return temporal.bucketed(_records(spark, d), DAY_MS).select("id", F.col("content").alias("text"), "ts_ms", "bucket")
 
 
+def _stored_search(spark, d):
+    folder = _shared(spark)
+    temporal.store_by_bucket(_daily(spark, d), f"{folder}/buckets")
+    return temporal.search_stored(spark, _asked(spark, d), f"{folder}/buckets", f"{folder}/steps", 5, threshold=0.6), spark.read.parquet(f"{folder}/buckets").count()
+
+
 @query
 def temporal_topk_early_stop(spark, d):
-    return temporal.search_early_stop(_asked(spark, d), _daily(spark, d), 5, threshold=0.6)
+    """From a table that is stored by day: older days are read for the queries that need them."""
+    return _stored_search(spark, d)[0].results()
 
 
 @query
@@ -266,7 +336,8 @@ def temporal_topk_fixed(spark, d):
 
 @query
 def temporal_search_stats(spark, d):
-    return temporal.search_stats(_asked(spark, d), _daily(spark, d), 5, threshold=0.6)
+    found, total = _stored_search(spark, d)
+    return found.stats(total)
 
 
 @query
@@ -339,6 +410,16 @@ def consolidate_centroids(spark, d):
     return c.select("cluster", F.size("embedding").cast("bigint").alias("dim"), F.round(F.col("embedding")[0], 6).alias("first"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 6).alias("component_sum"))
 
 
+@query
+def consolidate_two_runs(spark, d):
+    """Two runs: over the documents with even ids, and over all when the others have come."""
+    folder, entries = _shared(spark), _entries(spark, d)
+    state, first = tiers.store_run(entries.where("id % 2 = 0"), None, folder, 0)
+    _, second = tiers.store_run(entries.where("id % 2 = 1"), state, folder, 1)
+    found = tiers.appended_entries(first, second)
+    return found.select("entry", "run", "cluster", "id", "source_count", F.md5("content").alias("content_md5"), F.round("confidence", 8).alias("confidence"), F.round(F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x), 6).alias("component_sum"))
+
+
 @query
 def consolidation_window(spark, d):
     return tiers.consolidation_window(_records(spark, d), 40).select("id")
@@ -357,8 +438,48 @@ def decay_horizons(spark, d):
 
 @query
 def spill_schedule(spark, d):
-    adds = spark.range(0, 101, 20).select(F.col("id").alias("start"), F.explode(F.sequence(*(F.lit(x).cast("bigint") for x in (0, 400, 37)))).alias("added"))
-    return tiers.spills(adds)
+    """For every session: what has moved on of a working memory of ten after the session's turns, of which its number modulo 11 were there before."""
+    turns = tables.table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
+    adds = turns.select("conv_id", F.least(F.pmod("conv_id", F.lit(11)), "n").alias("start"), (F.col("n") * 3).alias("added"))
+    return tiers.spills(adds, 10, carry=["conv_id"])
+
+
+def _waiting(spark, d, rows):
+    """A stream of rows that wait as JSON files."""
+    folder = _shared(spark)
+    rows.write.json(f"{folder}/waiting")
+    session = spark.newSession()
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", staging.STATE_STORE)
+    session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    return folder, session.readStream.schema(rows.schema).json(f"{folder}/waiting")
+
+
+def _streamed(spark, folder, stream):
+    stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+@query
+def staged_flushes(spark, d):
+    """Events stream into a staging area for each type, which lets go 1,000 at a time."""
+    folder, events = _waiting(spark, d, tables.event_records(spark, d).select("id", F.col("role").alias("store"), "ts_ms"))
+    found = _streamed(spark, folder, staging.flushes(events, key="store"))
+    return found.groupBy("store", "flush").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+
+@query
+def spilled_tiers(spark, d):
+    """Turns stream into the working memory of their agent, which holds twenty; where they end up."""
+    folder, turns = _waiting(spark, d, _records(spark, d).select("id", "agent_id", "ts_ms"))
+    found = staging.present_tiers(_streamed(spark, folder, staging.tier_changes(turns, capacity=20)))
+    return found.select(F.col("agent").cast("bigint").alias("agent_id"), "id", "tier")
+
+
+@query
+def session_runs(spark, d):
+    """Runs of one user's events in the order of time."""
+    found = runs.runs(tables.event_records(spark, d), ["ts_ms", "id"], "session_id", f"{_shared(spark)}/runs")
+    return found.select("run", F.col("value").alias("session_id"), F.col("first.id").alias("first_id"), F.col("last.id").alias("last_id"), "n")
 
 
 @query
@@ -406,12 +527,13 @@ def session_sample(spark, d):
 
 @query
 def role_names(spark, d):
-    return spark.range(9).select(F.col("id").alias("code"), text.named(F.col("id"), ROLES).alias("role"))
+    """Names of codes, some beyond the list: every record's number modulo 9."""
+    return _records(spark, d).select("id", text.named(F.col("id") % 9, ROLES).alias("role"))
 
 
 @query
 def tool_and_tier_names(spark, d):
-    return spark.range(12).select(F.col("id").alias("code"), text.named(F.col("id"), TOOLS).alias("tool"), text.named(F.col("id"), TIERS).alias("tier"))
+    return _records(spark, d).select("id", text.named(F.col("id") % 12, TOOLS).alias("tool"), text.named(F.col("id") % 5, TIERS).alias("tier"))
 
 
 @query
@@ -436,59 +558,61 @@ def match_rate(spark, d):
     return ranking.match_rates(a, b)
 
 
-def _runs(spark):
-    """Runs of a benchmark, made by a rule."""
-    sizes = spark.range(1, 5).select((F.col("id") * 1000).alias("corpus_size"))
-    names = F.explode(F.array(*map(F.lit, ["sequential", "data_parallel", "full_parallel"]))).alias("strategy")
-    runs = sizes.select("corpus_size", names).select("corpus_size", "strategy", F.explode(F.array(*(F.lit(t).cast("bigint") for t in (1, 2, 4, 8)))).alias("threads")).where("strategy <> 'sequential' or threads = 1")
-    share = F.when(F.col("strategy") == "full_parallel", 0.05).otherwise(0.4)
-    return runs.withColumn("total_ms", F.col("corpus_size") * 2.0 * F.when(F.col("strategy") == "sequential", 1.0).otherwise(share + (1 - share) / F.col("threads") + 0.01 * F.col("threads"))).withColumn("num_queries", F.lit(100).cast("bigint"))
+def _runs(spark, d):
+    """Events as runs of a benchmark: the type is the strategy, the user the corpus, and the mean value (in cents, whole) the time."""
+    kind = F.when(F.col("event_type") == "view", "sequential").when(F.col("event_type") == "click", "data_parallel").otherwise("full_parallel")
+    threads = F.when(F.col("event_type") == "view", 1).otherwise(F.pow(F.lit(2), F.pmod("event_id", F.lit(3)) + 1)).cast("bigint")
+    rows = tables.table(spark, d, "events").where("value is not null").select(((F.pmod("user_id", F.lit(4)) + 1) * 1000).alias("corpus_size"), kind.alias("strategy"), threads.alias("threads"), (F.floor(F.col("value") * 100) + 1).alias("cents"))
+    return rows.groupBy("corpus_size", "strategy", "threads").agg((F.sum("cents") / F.count("*")).alias("total_ms"), F.count("*").alias("num_queries"))
 
 
 @query
 def amdahl(spark, d):
-    return metrics.amdahl_table(_runs(spark))
+    return metrics.amdahl_table(_runs(spark, d))
 
 
 @query
 def speedup_efficiency(spark, d):
-    return metrics.speedups(_runs(spark))
+    return metrics.speedups(_runs(spark, d))
 
 
 @query
 def best_runs(spark, d):
-    return metrics.best_runs(_runs(spark))
+    return metrics.best_runs(_runs(spark, d))
 
 
 @query
 def scaling_pivot(spark, d):
-    return metrics.pivoted(_runs(spark), ["sequential", "data_parallel", "full_parallel"])
+    return metrics.pivoted(_runs(spark, d), ["sequential", "data_parallel", "full_parallel"])
 
 
 @query
 def mean_timings(spark, d):
-    return metrics.mean_timings(_runs(spark))
+    return metrics.mean_timings(_runs(spark, d))
 
 
 # writing
 
 
-def _shared(spark: SparkSession) -> str:
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        top = spark.conf.get("spark.sql.warehouse.dir")
-    return f"{top}/recollect-{uuid.uuid4().hex}"
-
-
 @query
 def stream_append_snapshot(spark, d):
     """Conversations through the stream into a store, then searched in the snapshot."""
     folder = _shared(spark)
     _records(spark, d).withColumnRenamed("id", "source_id").withColumn("agent_id", F.col("agent_id").cast("string")).drop("tool").write.json(f"{folder}/waiting")
     store.append_stream(spark, f"{folder}/waiting", f"{folder}/store", f"{folder}/state").awaitTermination()
-    return store.retrieve(_asked(spark, d), store.snapshot(spark, f"{folder}/store"), TOP_K).select("query_id", "id", "score", "rank")
+    return store.Store(spark, f"{folder}/store").search(_asked(spark, d), TOP_K).select("query_id", "id", "score", "rank")
+
+
+@query
+def segments_search(spark, d):
+    """Conversations in five flushes, of which the first three are compacted: a search over the segments."""
+    s = store.Store(spark, f"{_shared(spark)}/store")
+    records = _records(spark, d).withColumnRenamed("id", "source_id").withColumn("agent_id", F.col("agent_id").cast("string")).drop("tool")
+    for part in range(5):
+        s.flush(records.where(F.col("source_id") % 5 == part), part)
+        if part == 2:
+            s.compact()
+    return s.search(_asked(spark, d), TOP_K).select("query_id", "id", "score", "rank")
 
 
 @query
@@ -510,28 +634,46 @@ def stream_reads_beside_writes(spark, d):
 @query
 def csv_round_trip(spark, d):
     folder = _shared(spark)
-    tables.write_csv(metrics.speedups(_runs(spark)), f"{folder}/runs")
+    tables.write_csv(metrics.speedups(_runs(spark, d)), f"{folder}/runs")
     return tables.read_csv(spark, f"{folder}/runs", "corpus_size bigint, strategy string, threads bigint, speedup double, efficiency double")
 
 
-# synthetic sources
+@query
+def csv_append(spark, d):
+    """Customers with odd numbers go behind the others."""
+    folder, rows = _shared(spark), tables.table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    for odd in (0, 1):
+        tables.write_csv(rows.where(F.col("c_custkey") % 2 == odd), f"{folder}/customers", append=odd == 1, digits=2)
+    return tables.read_csv(spark, f"{folder}/customers", "c_custkey bigint, c_name string, c_acctbal double, c_mktsegment string")
+
+
+# synthetic sources: a row for each row of a table, of the words of its documents
 
 
 @query
 def generic_corpus(spark, d):
-    return synthetic.corpus(spark, 1000).select("id", F.size(F.split("text", " ")).cast("bigint").alias("n_words"), F.round(vectors.squared_norm(F.col("embedding")), 6).alias("norm"))
+    docs = tables.table(spark, d, "documents")
+    made = synthetic.corpus(docs.select(F.col("doc_id").alias("id")), vocab=synthetic.frequent_words(docs))
+    return made.select("id", F.size(F.split("text", " ")).cast("bigint").alias("n_words"), F.md5("text").alias("text_md5"), F.round(vectors.squared_norm(F.col("embedding")), 6).alias("norm"))
 
 
 @query
 def generic_queries(spark, d):
-    return synthetic.corpus_queries(spark, 200).select("query_id", F.size(F.split("text", " ")).cast("bigint").alias("n_words"), F.round(vectors.squared_norm(F.col("embedding")), 6).alias("norm"))
+    asked = tables.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
+    made = synthetic.corpus_queries(asked, vocab=synthetic.frequent_words(tables.table(spark, d, "documents")))
+    return made.select("query_id", "text", F.round(vectors.squared_norm(F.col("embedding")), 6).alias("norm"))
+
+
+def _agents(spark, d):
+    return synthetic.agent_records(tables.table(spark, d, "conversations").select(F.col("conv_id").alias("s")).distinct())
 
 
 @query
 def agent_corpus(spark, d):
-    return synthetic.agent_records(spark, 200).groupBy("role").agg(F.count("*").alias("n"), F.round(F.avg("importance"), 6).alias("importance"), F.countDistinct("session_id").alias("sessions"))
+    return _agents(spark, d).select("id", "session_id", "agent_id", "role", "tool", "ts_ms", "content", "importance")
 
 
 @query
 def agent_queries(spark, d):
-    return synthetic.agent_queries(spark, 100, synthetic.agent_records(spark, 50)).drop("embedding")
+    asked = tables.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
+    return synthetic.agent_queries(asked, _agents(spark, d)).select("query_id", "text", "session_filter", "time_start", "time_end", "recency_weight", F.col("top_k").cast("bigint").alias("top_k"))

@@ -87,16 +87,16 @@ def test_neighbours_from_cells(spark, tmp_path):
     exact = dense.knn(asked, vectors, 10)
     index = cells.store_cells(vectors, str(tmp_path / "i"), list_rows=300)
     assert sorted(r["id"] for r in index.stored.select("id").collect()) == sorted(r["id"] for r in vectors.select("id").collect())
-    settings = [(16, 0.15), (16, 0.1), (8, 0.1), (2, 0.1)]
+    settings = [(16, 0.1), (16, 0.05), (5, 0.1), (2, 0.1)]
     seen = []
     for probes, compared in settings:
         found = recalls(spark, index.search(asked, 10, probes=probes, compared=compared), exact)
         work = index.work(asked, 10, probes=probes, compared=compared).agg(F.sum("coded"), F.sum("compared")).first()
         seen.append((sum(found) / len(found), min(found), work[0] / (n * len(found)), work[1] / (n * len(found))))
-    print(seen)
-    assert seen[0][1] >= 0.9 and seen[0][3] < 0.2  # every query
-    assert seen[1][0] >= 0.95 and seen[1][3] < seen[0][3]
-    assert seen[2][2] < 0.75 and seen[3][2] < seen[2][2] and seen[3][0] < seen[2][0] < seen[1][0]  # fewer cells, less work, less found
+    print("\nmean recall, least recall, coded, compared:", seen)
+    assert seen[0][1] >= 0.9 and seen[0][3] < 0.12  # every query
+    assert seen[1][0] >= 0.95 and seen[1][3] < 0.07
+    assert seen[2][2] < 0.75 and seen[3][2] < seen[2][2] and seen[3][0] < seen[2][0] < seen[0][0]  # fewer cells, less work, less found
 
 
 def test_cells_prune_where_vectors_cluster(spark, tmp_path):
