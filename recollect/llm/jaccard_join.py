@@ -230,8 +230,8 @@ def document_sets(df: DataFrame, *, key: str, text: str, size: int, percent: int
     """key, n, same (class), shared (of candidates: shared shingles, rarest first), prefix."""
     spark = df.sparkSession
     ship(spark)
-    n, back = packed.ranges(spark)
     rows = df.where(F.col(key).isNotNull()).select(F.col(text).alias("_text"), F.col(key).cast("bigint").alias("_key"))
+    n, back = packed.ranges(rows)
     sent = rows.mapInArrow(_sender(size, n, back), packed.PACKED)
     told = sent.groupBy("key").applyInArrow(_count(back), packed.PACKED)
     parts = told.groupBy("key").applyInArrow(_by_document, SETS)

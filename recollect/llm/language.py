@@ -3,7 +3,9 @@
 Training counts words (maximal runs of letters, A-Z lower-cased) and the n-grams of
 those words by language over all training rows, with partial counts in the tasks.  The
 model keeps each language's most frequent words and n-grams (``MODEL_WORDS``, ``MODEL_GRAMS``),
-so that its size is fixed for each language; less frequent words count as unseen.
+an entry for each language that has the word: its size is so many entries for each language.
+Less frequent words count as unseen.  With more languages than MODEL_ENTRIES allow, training
+is an error that says so.
 
 A word that is known in some language scores its log frequency in each.  An unseen word
 is covered by n-grams: at every position the longest n-gram that is known in some
@@ -30,11 +32,13 @@ from pyspark.sql.window import Window
 
 from recollect.llm.pretokens import LETTER, character_classes
 from recollect.shipping import ship
-from recollect.llm.textbatch import characters, pieces, prefix_sums, runs, span_hashes
+from recollect.llm.textbatch import characters, pieces, prefix_sums, ragged, runs, span_hashes
 
 LONGEST = 5
 #: Words and n-grams of each length that the model keeps by language.
 MODEL_WORDS, MODEL_GRAMS = 50_000, 20_000
+#: Entries that a model may have at most, with some 20 bytes each: 266 languages of that size.
+MODEL_ENTRIES = 40_000_000
 #: Counts that a task gathers before it hands them on.
 GATHERED = 1_000_000
 
@@ -100,12 +104,41 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from handed()
 
 
+@dataclass
+class Entries:
+    """Of one kind: sorted hashes, and for each the languages that have it with what it scores there beyond ``rest``."""
+
+    keys: np.ndarray
+    #: where each key's entries begin, and the end
+    begin: np.ndarray
+    lang: np.ndarray
+    value: np.ndarray
+    #: by language: the log frequency of what it doesn't have
+    rest: np.ndarray
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are known, and the places of those."""
+        if not len(self.keys):
+            return np.zeros(len(hashes), bool), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        known = self.keys[at] == hashes
+        return known, at[known]
+
+    def add(self, out: np.ndarray, row: np.ndarray, at: np.ndarray) -> None:
+        """Add the scores of the keys at some places to rows of out (rows by languages)."""
+        n = len(self.rest)
+        size = self.begin[at + 1] - self.begin[at]
+        some = ragged(self.begin[at], size)
+        own = np.bincount(np.repeat(row, size) * n + self.lang[some], self.value[some], out.size)
+        out += own.reshape(out.shape) + np.bincount(row, minlength=len(out))[:, None] * self.rest
+
+
 @dataclass
 class LanguageModel:
-    """By kind: sorted hashes and, for each, the log frequency in every language."""
+    """By kind: entries of words, then of n-grams."""
 
     langs: list[str]
-    tables: list[tuple[np.ndarray, np.ndarray]]
+    tables: list[Entries]
 
     def score(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each document's sum of log frequencies by language, and whether it has a letter."""
@@ -117,8 +150,8 @@ class LanguageModel:
         any_letter[doc] = True
         distinct, first, which = np.unique(span_hashes(sums, starts, ends), return_index=True, return_inverse=True)
         value = np.zeros((len(distinct), len(self.langs)))
-        known, at = self._find(0, distinct)
-        value[known] = self.tables[0][1][at]
+        known, at = self.tables[0].find(distinct)
+        self.tables[0].add(value, np.flatnonzero(known), at)
         unseen = np.flatnonzero(~known)
         if len(unseen):
             value[unseen] = self._backed_off(sums, starts[first[unseen]], ends[first[unseen]])
@@ -126,14 +159,6 @@ class LanguageModel:
             total[:, k] = np.bincount(doc, value[which, k], n)
         return total, any_letter
 
-    def _find(self, kind: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys = self.tables[kind][0]
-        if not len(keys):
-            return np.zeros(len(hashes), bool), np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-        known = keys[at] == hashes
-        return known, at[known]
-
     def _backed_off(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Unseen words: at every start the longest known n-gram counts."""
         out = np.zeros((len(starts), len(self.langs)))
@@ -147,9 +172,8 @@ class LanguageModel:
             if k == 1:
                 fits &= (at >= starts[word]) & (at < ends[word])
             some = np.flatnonzero(fits)
-            known, where = self._find(k, span_hashes(sums, at[some], at[some] + k))
-            for j in range(len(self.langs)):
-                out[:, j] += np.bincount(word[some[known]], self.tables[k][1][where, j], len(starts))
+            known, where = self.tables[k].find(span_hashes(sums, at[some], at[some] + k))
+            self.tables[k].add(out, word[some[known]], where)
             keep = np.ones(len(at), bool)
             keep[some[known]] = False
             at, word, left = at[keep], word[keep], left[keep]
@@ -166,20 +190,23 @@ def train(rows: DataFrame, *, text: str = "text", lang: str = "lang", words: int
     above = F.sum("size").over(Window.partitionBy("kind", "lang").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1))
     room = F.when(F.col("kind") == 0, words).otherwise(grams) - F.coalesce(above, F.lit(0))
     edge = tally.withColumn("share", room / F.col("size")).where("share > 0").groupBy("kind", "lang").agg(F.min_by("share", "n").alias("share"), F.min("n").alias("least"))
-    found = counts.join(F.broadcast(edge), ["kind", "lang"])  # a row for each kind and language
+    langs = sorted(r["lang"] for r in edge.select("lang").distinct().limit(MODEL_ENTRIES // (words + LONGEST * grams) + 1).collect())
+    if len(langs) * (words + LONGEST * grams) > MODEL_ENTRIES:
+        raise ValueError(f"more languages than a model of {MODEL_ENTRIES} entries holds: keep fewer words and n-grams of each")
+    numbers = rows.sparkSession.createDataFrame(list(zip(langs, range(len(langs)), strict=True)), "lang string, number smallint")
+    found = counts.join(F.broadcast(edge), ["kind", "lang"]).join(F.broadcast(numbers), "lang")  # a row for each kind and language
     drawn = F.pmod(F.xxhash64("hash"), F.lit(1 << 20)) < F.col("share") * (1 << 20)
-    found = found.where((F.col("n") > F.col("least")) | ((F.col("n") == F.col("least")) & drawn)).select("kind", "lang", "hash", "n").toArrow()
-    langs = sorted(set(found.column("lang").to_pylist()))
-    kind, hashes, n = (found.column(c).to_numpy() for c in ("kind", "hash", "n"))
-    which = np.searchsorted(langs, found.column("lang").to_numpy(zero_copy_only=False).astype(str)) if langs else np.zeros(0, np.int64)
+    found = found.where((F.col("n") > F.col("least")) | ((F.col("n") == F.col("least")) & drawn)).select(F.col("kind").cast("tinyint").alias("kind"), "number", "hash", "n").toArrow()
+    kind, number, hashes, n = (found.column(c).to_numpy() for c in ("kind", "number", "hash", "n"))
     tables = []
     for k in range(LONGEST + 1):
-        own = kind == k
-        keys, at = np.unique(hashes[own].astype(np.int64).view(np.uint64), return_inverse=True)
-        table = np.zeros((len(keys), len(langs)))
-        table[at, which[own]] = n[own]
-        sums = table.sum(0)
-        tables.append((keys, np.log((table + 0.5) / (sums + 0.5 * max(1, len(keys)))).astype(np.float32)))
+        own = np.flatnonzero(kind == k)
+        own = own[np.lexsort((number[own], hashes[own].view(np.uint64)))]
+        h, lang = hashes[own].astype(np.int64).view(np.uint64), number[own].astype(np.int64)
+        keys, begin = np.unique(h, return_index=True)
+        sums = np.bincount(lang, n[own], len(langs)) + 0.5 * max(1, len(keys))
+        value = (np.log(n[own] + 0.5) - np.log(0.5)).astype(np.float32)
+        tables.append(Entries(keys, np.append(begin, len(h)), lang.astype(np.int16), value, np.log(0.5 / sums)))
     return LanguageModel(langs, tables)
 
 

@@ -3,8 +3,9 @@
 Rows of (hash, number) would cost a JVM row each.  Tasks instead send, for every range of
 hashes, one row with all their hashes of that range as a binary cell: sorted, as
 differences, by byte planes, which the shuffle's compression shrinks.  Spark groups the
-cells by range, and a function gets one range at a time: a fraction of a shuffle partition
-(``RANGES`` of them on average), never more.
+cells by range, and a function gets one range at a time.  There are as many ranges as the
+texts' bytes ask for, so that a range has some ``RANGE_BYTES`` of text at most, whatever the
+number of shuffle partitions, and at least ``RANGES`` for each of those.
 """
 
 from __future__ import annotations
@@ -14,12 +15,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, functions as F
 
 #: Hashes that a task gathers before it hands them on.
 GATHERED = 1_000_000
 #: Ranges for each shuffle partition: of hashes, which take more memory unpacked, and for what goes back to documents.
 RANGES, BACK_RANGES = 3, 1
+#: Bytes of text whose hashes make a range: some ten million hashes, a few hundred MB in a function.
+RANGE_BYTES = 64 << 20
 
 #: key: which range; kind: what the cells hold.
 PACKED = "key int, kind int, a binary, b binary, c binary"
@@ -46,14 +49,14 @@ def unpack_sorted(cell: bytes) -> np.ndarray:
     return np.cumsum(from_planes(cell, np.uint64), dtype=np.uint64)
 
 
-def ranges(spark: SparkSession) -> tuple[int, int]:
-    """How many ranges there are of either kind.
+def ranges(rows: DataFrame, text: str = "_text") -> tuple[int, int]:
+    """How many ranges there are of either kind, from the size of the texts and the number of shuffle partitions.
 
-    They follow the number of shuffle partitions, which is set to the size of the data.  A range
-    of the first kind sends a cell to every one of the second, so those are fewer.
+    A range of the first kind sends a cell to every one of the second, so those are fewer.
     """
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return RANGES * n, BACK_RANGES * n
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = rows.agg(F.sum(F.octet_length(text).cast("bigint"))).first()[0] or 0
+    return max(RANGES * n, -(-size // RANGE_BYTES)), max(BACK_RANGES * n, -(-size // (2 * RANGE_BYTES)))
 
 
 def slots(hashes: np.ndarray, n: int) -> np.ndarray:

@@ -152,8 +152,8 @@ def later_windows(df: DataFrame, *, key: str = "doc_id", text: str = "text", win
     """(_document, _later): the hashes of the windows that also occur in a smaller document."""
     spark = df.sparkSession
     ship(spark)
-    n, back = packed.ranges(spark)
     rows = df.where(F.col(key).isNotNull()).select(F.col(text).alias("_text"), F.col(key).cast("bigint").alias("_key"))
+    n, back = packed.ranges(rows)
     sent = rows.mapInArrow(_sender(window, n, back), packed.PACKED)
     told = sent.groupBy("key").applyInArrow(_judge(back), packed.PACKED)
     return told.groupBy("key").applyInArrow(_by_document, "_document bigint, _later array<bigint>")

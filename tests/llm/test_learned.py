@@ -1,5 +1,6 @@
 """Language and toxicity: held-out accuracy, and special rows."""
 
+import pytest
 import random
 
 import numpy as np
@@ -72,3 +73,23 @@ def test_folds(spark):
 
     rows = spark.range(200).withColumn("doc_id", F.col("id")).select("doc_id", queries.remainder("doc_id", 5).alias("r")).collect()
     assert all(r["r"] == zlib.crc32(str(r["doc_id"]).encode()) % 5 for r in rows)
+
+
+def test_a_model_of_two_hundred_languages(spark, monkeypatch):
+    """Its size follows the entries, not the square of the languages; too many languages are an error."""
+    import random
+
+    r = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    vocab = {f"l{k:03d}": ["".join(r.choices(letters, k=r.randint(3, 8))) for _ in range(60)] for k in range(200)}
+    rows = [(n, " ".join(r.choices(words, k=40)), lang) for n, (lang, words) in enumerate((lang, words) for lang, words in vocab.items() for _ in range(3))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs)
+    entries = sum(len(t.lang) for t in model.tables)
+    size = sum(x.nbytes for t in model.tables for x in (t.keys, t.begin, t.lang, t.value, t.rest))
+    assert len(model.langs) == 200 and size <= 24 * entries + 200 * 8 * 6 + 64
+    found = {x["doc_id"]: x["lang_pred"] for x in language.identified(docs, model).collect()}
+    assert sum(found[n] == lang for n, _, lang in rows) >= 0.99 * len(rows)
+    monkeypatch.setattr(language, "MODEL_ENTRIES", 199 * (language.MODEL_WORDS + language.LONGEST * language.MODEL_GRAMS))
+    with pytest.raises(ValueError, match="more languages"):
+        language.train(docs)
