@@ -112,16 +112,18 @@ def search_stored(spark: SparkSession, queries: DataFrame, stored: str, work: st
     newest_first = rows.groupBy("bucket").agg(F.count("*").alias("n")).orderBy(F.desc("bucket")).limit(most).collect()
     active = queries.select("query_id", "text")
     found_schema, asked_schema = "query_id bigint, id bigint, score double, po int", "query_id bigint, po int, records bigint"
-    empty = StoredSearch(spark.createDataFrame([], found_schema), spark.createDataFrame([], asked_schema), k)
+    asked = spark.createDataFrame([], asked_schema)
+    found = spark.createDataFrame([], found_schema)
     for po, bucket in enumerate(newest_first, 1):
         near = rows.where(F.col("bucket") == bucket["bucket"]).select("id", "text")
         search(active, near, k).select("query_id", "id", "score", F.lit(po).alias("po")).write.parquet(f"{work}/found/step={po}")
-        active.select("query_id", F.lit(po).alias("po"), F.lit(bucket["n"]).cast("bigint").alias("records")).write.parquet(f"{work}/asked/step={po}")
-        read = lambda what, schema: spark.read.schema(schema).parquet(*(f"{work}/{what}/step={n}" for n in range(1, po + 1)))  # noqa: B023, E731
-        empty = StoredSearch(read("found", found_schema), read("asked", asked_schema), k)
-        best = top_k(empty.found, ["query_id"], k).groupBy("query_id").agg(F.max("score").alias("best"), F.min("score").alias("kth"), F.count("*").alias("n"))
-        done = best.where((F.col("n") == k) & (F.col("best") > 0) & (F.col("kth") / F.col("best") > threshold)).select("query_id")
-        active = queries.select("query_id", "text").join(done, "query_id", "left_anti")
-        if po < len(newest_first) and not active.limit(1).collect():
-            break
-    return empty
+        asked = asked.unionByName(active.select("query_id", F.lit(po).alias("po"), F.lit(bucket["n"]).cast("bigint").alias("records")))
+        found = spark.read.schema(found_schema).parquet(*(f"{work}/found/step={n}" for n in range(1, po + 1)))
+        if po < len(newest_first):
+            best = top_k(found, ["query_id"], k).groupBy("query_id").agg(F.max("score").alias("best"), F.min("score").alias("kth"), F.count("*").alias("n"))
+            done = best.where((F.col("n") == k) & (F.col("best") > 0) & (F.col("kth") / F.col("best") > threshold)).select("query_id")
+            active.join(done, "query_id", "left_anti").write.parquet(f"{work}/left/step={po}")
+            active = spark.read.schema(active.schema).parquet(f"{work}/left/step={po}")
+            if not active.limit(1).collect():
+                break
+    return StoredSearch(found, asked, k)

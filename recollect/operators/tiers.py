@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from recollect.functions.constants import CONSOLIDATION_BATCH, FORGET_BELOW, HALF_LIFE_MS, TIER_WEIGHTS, WORKING_CAPACITY
+from recollect.functions.constants import CONSOLIDATION_BATCH, FORGET_BELOW, HALF_LIFE_MS, RRF_K, TIER_WEIGHTS, WORKING_CAPACITY
 from recollect.functions.scores import decay, rounded
 from recollect.functions.text import overlap, preview, tokens
 from recollect.functions.vectors import normalised
@@ -51,6 +51,18 @@ def search_episodic(queries: DataFrame, records: DataFrame, k: int) -> DataFrame
     return _search(queries, records, k, "episodic")
 
 
+def search_lower_tiers(queries: DataFrame, semantic: DataFrame, episodic: DataFrame, k: int) -> DataFrame:
+    """search_semantic and search_episodic together: one index with statistics by tier."""
+    rows = semantic.select(F.lit("semantic").alias("tier"), "id", "content", "confidence", "embedding").unionByName(episodic.select(F.lit("episodic").alias("tier"), "id", "content", F.lit(0.0).alias("confidence"), "embedding"))
+    found = search(queries, rows.select("tier", "id", F.col("content").alias("text")), 2 * k, by=["tier"]).select("tier", "query_id", "id", "rank")
+    for tier, entries in (("semantic", semantic), ("episodic", episodic)):
+        found = found.unionByName(knn(queries, entries, 2 * k).select(F.lit(tier).alias("tier"), "query_id", "id", "rank"))
+    fused = found.groupBy("tier", "query_id", "id").agg(rounded(F.sum(F.lit(1.0) / (F.lit(RRF_K) + F.col("rank")))).alias("relevance"))
+    weight = F.when(F.col("tier") == "semantic", TIER_WEIGHTS["semantic"] * (1 + F.col("confidence") * 0.5)).otherwise(TIER_WEIGHTS["episodic"])
+    scored = fused.join(rows.select("tier", "id", "content", "confidence"), ["tier", "id"]).withColumn("score", rounded(F.col("relevance") * weight))
+    return top_k(scored, ["tier", "query_id"], k).select("query_id", "id", "tier", "score", "rank", preview(F.col("content")).alias("preview"))
+
+
 def merged(*results: DataFrame, k: int) -> DataFrame:
     """The k best over the tiers; ids of different tiers are different things."""
     found = results[0]

@@ -320,7 +320,7 @@ def _daily(spark, d):
 def _stored_search(spark, d):
     folder = _shared(spark)
     temporal.store_by_bucket(_daily(spark, d), f"{folder}/buckets")
-    return temporal.search_stored(spark, _asked(spark, d), f"{folder}/buckets", f"{folder}/steps", 5, threshold=0.6), spark.read.parquet(f"{folder}/buckets").count()
+    return temporal.search_stored(spark, _asked(spark, d), f"{folder}/buckets", f"{folder}/steps", 5, threshold=0.6), spark.read.parquet(f"{folder}/buckets")
 
 
 @query
@@ -336,13 +336,14 @@ def temporal_topk_fixed(spark, d):
 
 @query
 def temporal_search_stats(spark, d):
-    found, total = _stored_search(spark, d)
-    return found.stats(total)
+    found, stored = _stored_search(spark, d)
+    return found.stats(stored.count())
 
 
 @query
 def temporal_search_averages(spark, d):
-    return temporal.mean_stats(temporal.search_stats(_asked(spark, d), _daily(spark, d), 5, threshold=0.6))
+    found, stored = _stored_search(spark, d)
+    return temporal.mean_stats(found.stats(stored.count()))
 
 
 @query
@@ -384,8 +385,13 @@ def episodic_search(spark, d):
 
 
 def _all_tiers(spark, d):
-    asked, working, episodic = _tiers(spark, d)
-    return tiers.merged(tiers.search_working(asked, working, TOP_K), tiers.search_semantic(asked, tiers.semantic_entries(_entries(spark, d)), TOP_K), tiers.search_episodic(asked, episodic, TOP_K), k=15)
+    """Semantic entries and records are written, as a memory keeps them, and then searched."""
+    folder = _shared(spark)
+    tiers.semantic_entries(_entries(spark, d)).drop("source_ids").write.parquet(f"{folder}/semantic")
+    tables.memory_records(spark, d, embeddings=True).write.parquet(f"{folder}/records")
+    working, episodic = tiers.split_tiers(spark.read.parquet(f"{folder}/records"))
+    asked = tables.queries(spark, d)
+    return tiers.merged(tiers.search_working(asked, working, TOP_K), tiers.search_lower_tiers(asked, spark.read.parquet(f"{folder}/semantic"), episodic, TOP_K), k=15)
 
 
 @query
