@@ -224,6 +224,8 @@ def _text_hits(documents: DataFrame, text: str, blocks: list[DataFrame], window:
 
 def benchmark_hits(documents: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per row of documents: key, n_words, spans (hit word runs [start, end)), items (names)."""
+    if key in ("n_words", "spans", "items"):
+        raise ValueError(f"the key is named like a result: {key}")
     blocks = _blocks(benchmark, item, item_text, block_words)
     if len(blocks) == 1:
         return _scanned(documents, text, [key], blocks[0], window)

@@ -27,7 +27,7 @@ from recollect.shipping import ship
 from recollect.llm.textbatch import pieces
 
 PACKET, SYNC = 188, 0x47
-MAP_PID, STREAM_PID = 0x100, 0x101
+MAP_PID, STREAM_PID, NULL_PID = 0x100, 0x101, 0x1FFF
 PRIVATE_DATA, PRIVATE_STREAM = 0x06, 0xBD
 UNIT_SAMPLES, UNITS_A_POINT = 2048, 8
 #: 90 kHz ticks of a unit at 8,000 samples a second.
@@ -41,8 +41,8 @@ def _crc_table() -> list[int]:
     for byte in range(256):
         crc = byte << 24
         for _ in range(8):
-            crc = (crc << 1) ^ (0x04C11DB7 if crc >> 31 else 0)
-        out.append(crc & 0xFFFFFFFF)
+            crc = (crc << 1 & 0xFFFFFFFF) ^ (0x04C11DB7 if crc >> 31 else 0)
+        out.append(crc)
     return out
 
 
@@ -171,6 +171,8 @@ def parse(stream: bytes | None) -> Parsed:
             out.broken += 1
             continue
         pid = (high & 0x1F) << 8 | low
+        if pid == NULL_PID:  # filling, without a counter
+            continue
         begin, access = at + 4, False
         if control & 0x20:
             size = stream[begin]

@@ -60,24 +60,24 @@ def test_clashing_columns_and_empty_tables(spark):
 
 
 def test_carried_columns_that_clash_are_errors(spark):
-    df = spark.createDataFrame([(1, "x", 1)], f"{TEXT}, n long")
+    """Every result column of every operator with carried columns, by name."""
     fm, lm = models(spark)
-    for apply in (
-        lambda c: byte_bpe.encoded(df.withColumnRenamed("n", c), queries.rank_file(), carry=[c], outputs=["ids"]),
-        lambda c: toxicity.scored(df.withColumnRenamed("n", c), fm, carry=[c]),
-        lambda c: window_dedup.without_repeats(df.withColumnRenamed("n", c), carry=[c]),
-        lambda c: suffix_dedup.without_repeats(df.withColumnRenamed("n", c), carry=[c]),
-        lambda c: language.identified(df.withColumnRenamed("n", c), lm, carry=[c]),
-        lambda c: token_counts.token_counts(df.withColumnRenamed("n", c), queries.rank_file(), carry=[c]),
-        lambda c: mpegts.stored(df.withColumnRenamed("n", c), "text", carry=[c]),
-    ):
-        for name in ("ids", "score", "kept", "n_tokens", "media"):
-            try:
-                apply(name).schema
-            except ValueError:
-                break
-        else:
-            raise AssertionError("no result column was protected")
+    benchmark = spark.createDataFrame([(1, "some words")], "item_id long, text string")
+    cases = {
+        "byte_bpe": (lambda df, c: byte_bpe.encoded(df, queries.rank_file(), carry=[c], outputs=list(byte_bpe.OUTPUTS)), list(byte_bpe.OUTPUTS)),
+        "toxicity": (lambda df, c: toxicity.scored(df, fm, carry=[c]), ["score"]),
+        "window_dedup": (lambda df, c: window_dedup.without_repeats(df, carry=[c]), ["n_words", "removed", "kept"]),
+        "suffix_dedup": (lambda df, c: suffix_dedup.without_repeats(df, carry=[c]), ["n_bytes", "removed", "kept"]),
+        "language": (lambda df, c: language.identified(df, lm, carry=[c]), ["lang_pred", "score"]),
+        "token_counts": (lambda df, c: token_counts.token_counts(df, queries.rank_file(), carry=[c]), ["n_pretokens", "n_tokens"]),
+        "mpegts": (lambda df, c: mpegts.stored(df, "text", carry=[c]), ["media"]),
+        "decontaminate": (lambda df, c: decontaminate.benchmark_hits(df, benchmark, key=c), ["n_words", "spans", "items"]),
+    }
+    for operator, (apply, names) in cases.items():
+        for name in names:
+            with pytest.raises(ValueError, match=name):
+                apply(spark.createDataFrame([(1, "x", 1)], f"{TEXT}, {name} long"), name)
+                raise AssertionError(f"{operator}: {name} is not protected")
 
 
 def test_chat_columns_that_clash(spark):

@@ -46,3 +46,22 @@ def test_special_tables(spark):
     assert without_repeats(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         without_repeats(df, carry=["kept"])
+
+
+def test_results_do_not_depend_on_ranges_and_partitions(spark, sf, monkeypatch):
+    """Few and many ranges of hashes, few and many shuffle partitions: the same rows (operators 1 and 4)."""
+    from recollect.llm import jaccard_join, packed
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    seen = []
+    for partitions, size in (("4", 64 << 20), ("4", 3_000), ("23", 64 << 20)):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        monkeypatch.setattr(packed, "RANGE_BYTES", size)
+        if size == 3_000:
+            assert packed.ranges(docs, "text")[0] > 50
+        windows = sorted((r["doc_id"], str(r["removed"])) for r in window_dedup.without_repeats(docs).collect())
+        groups = sorted(map(tuple, jaccard_join.similar_groups(docs).collect()))
+        seen.append((windows, groups))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1] == seen[2]
