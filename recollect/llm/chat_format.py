@@ -13,7 +13,8 @@ Defined results: turns with a null key or position are left out; a null role cou
 ``user`` and a null text as empty; turns that repeat (same conversation and position) keep
 the least (role, text); positions need not be consecutive, they only order the turns; a
 pair without one of its sides keeps the other, with an empty prompt and null for what is
-missing; extra columns are ignored.
+missing; extra columns are ignored.  A pair is one row, as its results are: prompt and
+completions are texts, so a pair's conversations must fit a row (2 GB at most).
 """
 
 from __future__ import annotations

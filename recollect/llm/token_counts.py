@@ -4,7 +4,8 @@ The distinct pre-tokens of a batch go into a trie of bytes.  For every trie node
 forward score, the best sum of piece scores over the ways to cut the bytes down to that
 node into pieces, is computed once, however many pre-tokens share the prefix; a node
 where a pre-token ends stores that pre-token's token count.  All nodes of one depth are
-computed together.
+computed together.  Distinct pre-tokens are remembered in the task, found again by a hash
+and told equal by their bytes.
 
 The pieces are those of a public rank file.  A piece's score falls with the logarithm of
 its rank (Zipf's law), in whole numbers, so sums are exact; every piece costs one more,

@@ -1,9 +1,9 @@
 """Language and toxicity: held-out accuracy, and special rows."""
 
-import pytest
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from recollect.llm import language, queries, toxicity
@@ -93,3 +93,83 @@ def test_a_model_of_two_hundred_languages(spark, monkeypatch):
     monkeypatch.setattr(language, "MODEL_ENTRIES", 199 * (language.MODEL_WORDS + language.LONGEST * language.MODEL_GRAMS))
     with pytest.raises(ValueError, match="more languages"):
         language.train(docs)
+
+
+def plain_terms(text):
+    """The distinct buckets of one text: words, words that repeat, and beginnings of 5 and 7 bytes."""
+    import re
+
+    from recollect.llm.textbatch import byte_sums, span_hashes
+
+    def bucket(word, kind):
+        h = int(span_hashes(byte_sums(np.frombuffer(word, np.uint8)), np.array([0]), np.array([len(word)]))[0])
+        return (h ^ (kind * 0x9E3779B9)) // 128 % toxicity.BUCKETS
+
+    words = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in re.findall(rb"[A-Za-z\x80-\xff]+", (text or "").encode())]
+    own = [bucket(w, 0) for w in words]
+    out = set(own) | {bucket(w[:size], size) for w in words for size in (5, 7) if len(w) > size}
+    return out | {(b * 0x2545F491 + 11) % toxicity.BUCKETS for b in own if own.count(b) > 1}
+
+
+def test_terms_against_a_plain_loop():
+    from recollect.llm.textbatch import pieces
+    import pyarrow as pa
+
+    texts = ["You fool, YOU foolish fools!", None, "", "Überraschung été 12 été", "a-b a_b abcdefgh ABCDEFGHI", "x" * 3000 + " y"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["_text"])
+    for _, buf, offs in pieces([batch], "_text"):
+        doc, bucket = toxicity.terms(buf, offs)
+        assert [set(bucket[doc == k].tolist()) for k in range(len(texts))] == [plain_terms(t) for t in texts]
+
+
+def test_fit_against_a_plain_loop(monkeypatch):
+    """The same steps of Adagrad, number by number."""
+    import math
+
+    for name, value in (("EPOCHS", 3), ("BATCH", 5), ("FACTORS", 2), ("LEAST_DOCUMENTS", 2)):
+        monkeypatch.setattr(toxicity, name, value)
+    r = random.Random(3)
+    label = [int(r.random() < 0.3) for _ in range(23)]
+    docs = [sorted({r.randrange(6) + (50 if y and r.random() < 0.8 else 0) for _ in range(r.randint(0, 5))}) for y in label]
+    model = toxicity.fit(np.array([d for d, own in enumerate(docs) for _ in own]), np.array([b for own in docs for b in own]), np.array(label, float))
+    share = sum(label) / len(label)
+    gain = {}
+    for b in {b for own in docs for b in own}:
+        holders = [y for own, y in zip(docs, label, strict=True) if b in own]
+        expected = len(holders) * share
+        gain[b] = (sum(holders) - expected) ** 2 / (expected * (1 - share)) if len(holders) >= 2 else 0
+    best = sorted(b for b in gain if gain[b] > 1)
+    assert best and len(best) < len(gain)
+    random_ = np.random.default_rng(7)
+    w, v = [0.0] * len(best), random_.normal(0, 0.01, (len(best) + 1, 2))[:-1].tolist()
+    bias, gb, gw, gv = math.log(share / (1 - share)), 1e-2, [1e-2] * len(best), [[1e-2] * 2 for _ in best]
+    for _ in range(3):
+        order = random_.permutation(len(label)).tolist()
+        for lo in range(0, len(label), 5):
+            some = order[lo : lo + 5]
+            dw, dv, touched, total = [0.0] * len(best), [[0.0] * 2 for _ in best], set(), 0.0
+            for d in some:
+                own = [best.index(b) for b in docs[d] if b in best]
+                sums = [sum(v[i][k] for i in own) for k in range(2)]
+                z = bias + sum(w[i] for i in own) + 0.5 * sum(sums[k] ** 2 - sum(v[i][k] ** 2 for i in own) for k in range(2))
+                error = (1 / (1 + math.exp(-z)) - label[d]) * (toxicity.TOXIC_WEIGHT if label[d] else 1) / len(some)
+                total += error
+                for i in own:
+                    touched.add(i)
+                    dw[i] += error
+                    for k in range(2):
+                        dv[i][k] += error * (sums[k] - v[i][k])
+            for i in touched:
+                dw[i] += toxicity.SHRINK_WEIGHTS * w[i]
+                for k in range(2):
+                    dv[i][k] += toxicity.SHRINK_FACTORS * v[i][k]
+            gb += total**2
+            for i in range(len(best)):
+                gw[i] += dw[i] ** 2
+                w[i] -= toxicity.RATE * dw[i] / math.sqrt(gw[i])
+                for k in range(2):
+                    gv[i][k] += dv[i][k] ** 2
+                    v[i][k] -= toxicity.RATE * dv[i][k] / math.sqrt(gv[i][k])
+            bias -= toxicity.RATE * total / math.sqrt(gb)
+    assert math.isclose(model.bias, bias, rel_tol=1e-9)
+    assert np.allclose(model.weights[:-1], w, rtol=1e-9) and np.allclose(model.factors[:-1], v, rtol=1e-9)
