@@ -50,7 +50,7 @@ def test_special_tables(spark):
 
 def test_results_do_not_depend_on_ranges_and_partitions(spark, sf, monkeypatch):
     """Few and many ranges of hashes, few and many shuffle partitions: the same rows (operators 1 and 4)."""
-    from recollect.llm import jaccard_join, packed
+    from recollect.llm import jaccard_join, packed, window_dedup
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     before = spark.conf.get("spark.sql.shuffle.partitions")
