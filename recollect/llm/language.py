@@ -24,6 +24,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -104,8 +105,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from handed()
 
 
-@dataclass
-class Entries:
+class Entries(NamedTuple):
     """Of one kind: sorted hashes, and for each the languages that have it with what it scores there beyond ``rest``."""
 
     keys: np.ndarray
@@ -190,7 +190,7 @@ def train(rows: DataFrame, *, text: str = "text", lang: str = "lang", words: int
     above = F.sum("size").over(Window.partitionBy("kind", "lang").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1))
     room = F.when(F.col("kind") == 0, words).otherwise(grams) - F.coalesce(above, F.lit(0))
     edge = tally.withColumn("share", room / F.col("size")).where("share > 0").groupBy("kind", "lang").agg(F.min_by("share", "n").alias("share"), F.min("n").alias("least"))
-    langs = sorted(r["lang"] for r in edge.select("lang").distinct().limit(MODEL_ENTRIES // (words + LONGEST * grams) + 1).collect())
+    langs = sorted(r["lang"] for r in rows.select(F.col(lang).cast("string").alias("lang")).where("lang is not null").distinct().limit(MODEL_ENTRIES // (words + LONGEST * grams) + 1).collect())
     if len(langs) * (words + LONGEST * grams) > MODEL_ENTRIES:
         raise ValueError(f"more languages than a model of {MODEL_ENTRIES} entries holds: keep fewer words and n-grams of each")
     numbers = rows.sparkSession.createDataFrame(list(zip(langs, range(len(langs)), strict=True)), "lang string, number smallint")
@@ -198,6 +198,8 @@ def train(rows: DataFrame, *, text: str = "text", lang: str = "lang", words: int
     drawn = F.pmod(F.xxhash64("hash"), F.lit(1 << 20)) < F.col("share") * (1 << 20)
     found = found.where((F.col("n") > F.col("least")) | ((F.col("n") == F.col("least")) & drawn)).select(F.col("kind").cast("tinyint").alias("kind"), "number", "hash", "n").toArrow()
     kind, number, hashes, n = (found.column(c).to_numpy() for c in ("kind", "number", "hash", "n"))
+    seen = np.unique(number)  # languages without any word can't be told
+    langs, number = [langs[k] for k in seen], np.searchsorted(seen, number)
     tables = []
     for k in range(LONGEST + 1):
         own = np.flatnonzero(kind == k)
