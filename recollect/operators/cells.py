@@ -6,7 +6,8 @@ after random rotations, with its length.  A search goes to the ``probes`` cells
 are nearest.  There codes alone estimate all distances; a first pass sends a few quantiles of
 each list, from which follows the distance within which a share of the probed vectors
 (``compared``) lies, and a second pass compares those in full.  A large cell is dealt into
-lists of bounded length, so that no task gets a cell as a whole.
+lists of bounded length, and the queries of a cell that many ask into blocks, so that no
+task gets a cell or its queries as a whole.  Cells that nobody asks aren't shuffled.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from recollect.operators.ranking import top_k
 from recollect.shipping import ship
 
 PROBES, COMPARED = 16, 0.1
-#: Vectors that the centres are fitted on, and vectors of a list.
-FIT_ROWS, LIST_ROWS = 200_000, 16_384
+#: Vectors that the centres are fitted on, vectors of a list, and queries that a task compares with a list.
+FIT_ROWS, LIST_ROWS, ASKED_ROWS = 200_000, 16_384, 8_192
 #: Words of 64 signs in a code.
 CODE_WORDS = 16
 #: Quantiles of a list's estimates that a query gets.
@@ -169,13 +170,17 @@ class CellIndex:
         rows = queries.where("embedding is not null").select(F.col("query_id").cast("bigint").alias("query_id"), F.col("embedding").alias("asked"))
         asked = rows.mapInArrow(_asked(self.centres, probes), "query_id bigint, asked array<float>, probe int")
         lists = self.stored.select(F.col("cell").alias("at"), F.col("list").alias("part")).distinct()
-        dealt = asked.join(lists, asked["probe"] == lists["at"]).select("query_id", "asked", "probe", "part")
-        coded = self.stored.select("id", "code", "norm", "cell", "list")
-        seen = dealt.groupBy("probe", "part").cogroup(coded.groupBy("cell", "list")).applyInArrow(_quantiles(self.centres), "query_id bigint, estimate double, n bigint")
+        blocks = F.broadcast(asked.groupBy("probe").agg(F.ceil(F.count("*") / ASKED_ROWS).cast("bigint").alias("blocks")))  # a row for each cell at most
+        blocked = asked.join(blocks, "probe").withColumn("block", F.pmod(F.xxhash64("query_id"), "blocks"))
+        dealt = blocked.join(lists, blocked["probe"] == lists["at"]).select("query_id", "asked", "probe", "part", "block")
+        held = self.stored.join(blocks.withColumnRenamed("probe", "of"), F.col("cell") == F.col("of")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+        coded = held.select("id", "code", "norm", "cell", "list", "block")
+        seen = dealt.groupBy("probe", "part", "block").cogroup(coded.groupBy("cell", "list", "block")).applyInArrow(_quantiles(self.centres), "query_id bigint, estimate double, n bigint")
         own = Window.partitionBy("query_id")  # some quantiles for each list
         running = seen.withColumns({"before": F.sum("n").over(own.orderBy("estimate")) - F.col("n"), "all": F.sum("n").over(own)})
         within = running.where(F.col("before") < F.greatest(F.col("all") * compared, F.lit(2 * k))).groupBy("query_id").agg(F.max("estimate").alias("within"))
-        return dealt.join(within, "query_id").select("query_id", "asked", "probe", "part", "within").groupBy("probe", "part").cogroup(self.stored.groupBy("cell", "list")).applyInArrow(_searched(self.centres, k), FOUND)
+        full = held.select("id", "embedding", "code", "norm", "cell", "list", "block")
+        return dealt.join(within, "query_id").groupBy("probe", "part", "block").cogroup(full.groupBy("cell", "list", "block")).applyInArrow(_searched(self.centres, k), FOUND)
 
     def search(self, queries: DataFrame, k: int, *, probes: int = PROBES, compared: float = COMPARED) -> DataFrame:
         """query_id, id, score, rank of the k nearest that are found; more probes and a greater share find more and cost more."""

@@ -115,3 +115,36 @@ def test_cells_of_an_empty_table(spark, tmp_path):
     empty = spark.createDataFrame([], "id long, embedding array<float>")
     index = cells.store_cells(empty, str(tmp_path / "i"))
     assert index.search(empty.withColumnRenamed("id", "query_id"), 5).collect() == []
+
+
+def test_neighbours_by_a_grid_equal_brute_force(spark, monkeypatch):
+    r = np.random.Generator(np.random.PCG64(8))
+    points = r.integers(-3, 4, size=(120, 4)).astype(float)  # many ties
+    points[60:70] = points[0]
+    rows = [(k, v.tolist()) for k, v in enumerate(points)] + [(900, None)]
+    vectors = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(5)
+    asked = vectors.where("id % 3 = 0").select((F.col("id") + 1000).alias("query_id"), "embedding")
+    want = []
+    for q in range(0, 120, 3):
+        d2 = ((points - points[q]) ** 2).sum(1)
+        want += [(q + 1000, i, n + 1) for n, i in enumerate(sorted(range(120), key=lambda i: (d2[i], i))[:7])]
+    for block, queries, held in ((2_048, 8_192, 32_768), (10, 8_192, 32_768), (10, 9, 17), (39, 1, 500), (40, 1, 1)):
+        for name, value in (("QUERY_BLOCK", block), ("GRID_QUERIES", queries), ("GRID_VECTORS", held)):
+            monkeypatch.setattr(dense, name, value)
+        assert sorted((x["query_id"], x["id"], x["rank"]) for x in dense.knn(asked, vectors, 7).collect()) == sorted(want)
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 0)
+    assert dense.knn(asked, vectors.where("false"), 7).collect() == []
+    assert dense.knn(asked.where("false"), vectors, 7).collect() == []
+
+
+def test_queries_of_a_cell_in_blocks(spark, tmp_path, monkeypatch):
+    """All queries ask one cell; dealt into blocks they find the same and do the same work."""
+    r = np.random.Generator(np.random.PCG64(4))
+    rows = [(k, (r.normal(size=16) + (8 if k % 3 else -8)).tolist()) for k in range(300)]
+    vectors = spark.createDataFrame(rows, "id long, embedding array<float>")
+    asked = vectors.where("id % 3 = 0").withColumnRenamed("id", "query_id")
+    index = cells.store_cells(vectors, str(tmp_path / "i"), cells=2, list_rows=40)
+    ask = lambda: (sorted(map(tuple, index.search(asked, 5, probes=1).collect())), sorted(map(tuple, index.work(asked, 5, probes=1).collect())))
+    once = ask()
+    monkeypatch.setattr(cells, "ASKED_ROWS", 7)
+    assert ask() == once and len(once[0]) == 500 and {w[1] for w in once[1]} == {100}
