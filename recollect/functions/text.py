@@ -25,9 +25,14 @@ def shortened(text: Column, size: int) -> Column:
     return F.when(F.length(text) > size, F.concat(F.substring(text, 1, size - 3), F.lit("..."))).otherwise(text)
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """A fixed number of digits, rounded by the exact value of the double (half to even), as C's printf does; format_string rounds its shortest decimal form, half up."""
+    return F.call_function("format_number", x, F.lit("0." + "0" * digits))
+
+
 def duration(us: Column) -> Column:
     """Microseconds for people: us, ms or s."""
-    return F.when(us < 1000, F.format_string("%.1f us", us)).when(us < 1_000_000, F.format_string("%.2f ms", us / 1000)).otherwise(F.format_string("%.2f s", us / 1_000_000))
+    return F.when(us < 1000, F.concat(fixed(us, 1), F.lit(" us"))).when(us < 1_000_000, F.concat(fixed(us / 1000, 2), F.lit(" ms"))).otherwise(F.concat(fixed(us / 1_000_000, 2), F.lit(" s")))
 
 
 def named(code: Column, names: list[str]) -> Column:

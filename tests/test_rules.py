@@ -138,3 +138,11 @@ def test_csv_appends(spark, tmp_path):
     for _ in range(2):
         tables.write_csv(rows, str(tmp_path / "x"), append=True)
     assert tables.read_csv(spark, str(tmp_path / "x"), "a long, b double").count() == 2
+
+
+def test_durations_round_the_exact_double(spark):
+    """As C's printf: 1.005 is a little below its decimal form, 1.125 is a tie and goes to the even digit."""
+    values = [0.25, 0.75, 0.05, 999.96, 1_005.0, 1_125.0, 1_375.0, 1_005_000.0, 1_015_000.0, 1_125_000.0, 2_675_000.0, 123_456_789_012.5, -0.25]
+    want = [f"{v:.1f} us" if v < 1000 else f"{v / 1000:.2f} ms" if v < 1_000_000 else f"{v / 1_000_000:.2f} s" for v in values] + [None]
+    got = spark.createDataFrame([(v,) for v in [*values, None]], "v double").select(text.duration(F.col("v")))
+    assert [r[0] for r in got.collect()] == want
