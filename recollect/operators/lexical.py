@@ -39,18 +39,22 @@ def term_counts(docs: DataFrame, by: Sequence[str] = (), wanted: DataFrame | Non
 def _counted(docs: DataFrame, by: Sequence[str], wanted: DataFrame | None) -> DataFrame:
     """by, id, length, term, n (times in the document), documents: tokens are found once for everything that an index needs.
 
-    An empty term stands for the document (documents 1, else 0).
+    An empty term stands for the document (documents 1, else 0).  Wanted terms go with their documents:
+    what is counted, and later summed, by document is then in one place.
     """
     said = docs.select(*by, "id", tokens("text").alias("_tokens"))
     said = said.select(*by, "id", F.size("_tokens").cast("bigint").alias("length"), F.explode(F.concat(F.array(F.lit("")), F.col("_tokens"))).alias("term"))
     said = said.withColumn("term", F.coalesce("term", F.lit("")))  # never null, and known to be: no reader filters its own way
     if wanted is not None:
-        said = said.join(wanted.select("term", F.lit(True).alias("_wanted")), "term", "left").where("_wanted or term = ''").drop("_wanted")
+        said = said.join(wanted.select("term", F.lit(True).alias("_wanted")), "term", "left").where("_wanted or term = ''").drop("_wanted").repartition("id")
     return said.groupBy(*by, "id", "length", "term").agg(F.count(F.when(F.col("term") != "", 1)).alias("n"), F.count(F.when(F.col("term") == "", 1)).alias("documents"))
 
 
 def build_index(docs: DataFrame, by: Sequence[str] = (), wanted: DataFrame | None = None) -> Index:
-    """docs: id, text and the columns of ``by``.  ``wanted`` (distinct term) leaves other terms' postings out; the statistics are those of all."""
+    """docs: id, text and the columns of ``by``.  ``wanted`` (distinct term) leaves other terms' postings out; the statistics are those of all.
+
+    Wanted terms are those of queries, and go to all tasks with their statistics; postings stay with their documents.
+    """
     by = list(by)
     counted = _counted(docs, by, wanted)
     # told apart by both sums, so that all readers share one shuffle
@@ -60,7 +64,8 @@ def build_index(docs: DataFrame, by: Sequence[str] = (), wanted: DataFrame | Non
     df = counted.where("n > documents").groupBy(*by, "term").agg(F.count("*").alias("df"))
     # one row without `by`, else a row for each part
     terms = (df.join(corpus, by) if by else df.crossJoin(F.broadcast(corpus))).withColumn("idf", idf(F.col("n"), F.col("df")))
-    postings = counts.join(terms, [*by, "term"]).withColumn("weight", bm25_term(F.col("idf"), F.col("tf"), F.col("length"), F.col("mean_length")))
+    known = terms if wanted is None else F.broadcast(terms)
+    postings = counts.join(known, [*by, "term"]).withColumn("weight", bm25_term(F.col("idf"), F.col("tf"), F.col("length"), F.col("mean_length")))
     return Index(by, lengths, corpus, postings.select(*by, "term", "id", "length", "tf", "weight"), terms.select(*by, "term", "df", "idf"))
 
 
@@ -70,7 +75,11 @@ def query_terms(queries: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
 
 
 def bm25_scores(queries: DataFrame, index: Index) -> DataFrame:
-    """by, query_id, id, score: every document that shares a term with a query."""
+    """by, query_id, id, score: every document that shares a term with a query.
+
+    Pairs are many times the postings, so they are made and summed where a document's postings
+    are, and aren't shuffled: an index of wanted terms has them there.
+    """
     found = query_terms(queries).join(index.postings, "term")
     return found.groupBy(*index.by, "query_id", "id").agg(rounded(F.sum(F.col("times") * F.col("weight"))).alias("score"))
 

@@ -146,7 +146,9 @@ def bm25_repeated_query_terms(spark, d):
 
 @query
 def global_topk(spark, d):
-    best = ranking.global_top(lexical.bm25_scores(_asked(spark, d), _index(spark, d)), 50, ties=["query_id", "id"])
+    docs, asked = _docs(spark, d), _asked(spark, d)
+    index = lexical.build_index(docs, wanted=lexical.query_terms(asked).select("term").distinct())
+    best = ranking.global_top(lexical.bm25_scores(asked, index), 50, ties=["query_id", "id"])
     return best.select("query_id", F.col("id").alias("doc_id"), "score")
 
 

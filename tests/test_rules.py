@@ -146,3 +146,18 @@ def test_durations_round_the_exact_double(spark):
     want = [f"{v:.1f} us" if v < 1000 else f"{v / 1000:.2f} ms" if v < 1_000_000 else f"{v / 1_000_000:.2f} s" for v in values] + [None]
     got = spark.createDataFrame([(v,) for v in [*values, None]], "v double").select(text.duration(F.col("v")))
     assert [r[0] for r in got.collect()] == want
+
+
+@pytest.mark.parametrize("by", [[], ["part"]])
+def test_pairs_are_summed_where_a_documents_postings_are(spark, by, tmp_path):
+    """Of the postings of wanted terms one shuffle is made, by document; pairs with queries aren't shuffled to be summed."""
+    docs = spark.createDataFrame([(n % 2, n, t) for n, t in SMALL], "part long, id long, text string").repartition(3)
+    asked = spark.createDataFrame([(1, "cache leak"), (2, "pool pool notes")], "query_id long, text string")
+    asked.write.parquet(str(tmp_path / "asked"))  # of a known, small size
+    asked = spark.read.parquet(str(tmp_path / "asked"))
+    wanted = lexical.query_terms(asked).select("term").distinct()
+    found = lexical.bm25_scores(asked, lexical.build_index(docs, by, wanted))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id#" in plan and not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "query_id" in x and ", id#" in x]
+    whole = lexical.bm25_scores(asked, lexical.build_index(docs, by))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, whole.collect())) and found.count() >= 4
