@@ -45,6 +45,26 @@ def encode(ids: np.ndarray) -> bytes:
     return bytes([width]) + gaps.astype(f"<u{width}").tobytes()
 
 
+def encode_all(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """``encode`` of many runs ids[start:end], of which each begins where the one before ends; without a loop over them."""
+    n = len(starts)
+    gaps = np.diff(ids[starts[0] : ends[-1]], prepend=ids[starts[0]])
+    gaps[starts - starts[0]] = 0  # a run's first id is stored apart
+    gaps = gaps.astype(np.uint64)
+    greatest = np.maximum.reduceat(gaps, starts - starts[0])
+    width = np.select([greatest < 1 << 8, greatest < 1 << 16, greatest < 1 << 32], [1, 2, 4], 8)
+    bounds = np.concatenate([[0], np.cumsum(1 + width * (ends - starts - 1))])
+    out = np.zeros(bounds[-1], np.uint8)
+    out[bounds[:-1]] = width
+    run = np.repeat(np.arange(n), ends - starts)
+    within = np.arange(len(gaps)) - (starts - starts[0])[run]
+    for w in np.unique(width).tolist():
+        chosen = np.flatnonzero((width[run] == w) & (within > 0))
+        at = bounds[run[chosen]] + 1 + w * (within[chosen] - 1)
+        out[at[:, None] + np.arange(w)] = gaps[chosen].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :w]
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(out)])
+
+
 def decode(first: int, gaps: bytes) -> np.ndarray:
     out = np.frombuffer(gaps, f"<u{gaps[0]}", offset=1).astype(np.int64)
     return first + np.concatenate([[0], np.cumsum(out)])
@@ -66,7 +86,7 @@ def _encoder(block: int):
         if not len(starts):
             return None, table
         ids, weights = table["id"].to_numpy(), table["weight"].to_numpy()
-        bounds = list(zip(starts.tolist(), ends.tolist(), strict=True))
+        edges = (8 * np.append(starts, stop)).astype(np.int32)
         slice_ = TaskContext.get().partitionId()
         columns = [
             term.take(pa.array(starts)),
@@ -75,8 +95,8 @@ def _encoder(block: int):
             pa.array(ids[starts]),
             pa.array(ids[ends - 1]),
             pa.array(np.maximum.reduceat(weights[:stop], starts)),
-            pa.array([encode(ids[a:b]) for a, b in bounds], pa.binary()),
-            pa.array([weights[a:b].tobytes() for a, b in bounds], pa.binary()),
+            encode_all(ids, starts, ends),
+            pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(weights[:stop], "<f8"))]),
             pa.array(np.full(len(starts), slice_, np.int32)),
         ]
         return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in BLOCKS.split(", ")]), table.slice(stop)
@@ -229,8 +249,8 @@ def _pruned(k: int):
 
 
 def length_class(length: Column, bounds: list[int]) -> Column:
-    """How many of the bounds are below a length."""
-    return F.size(F.filter(F.array(*(F.lit(b).cast("bigint") for b in bounds)), lambda b: b < length)) if bounds else F.lit(0)
+    """How many of the bounds are below a length: a sum of comparisons, which Spark compiles (it doesn't compile a filter of an array)."""
+    return sum((F.when(length > b, 1).otherwise(0) for b in bounds), F.lit(0))
 
 
 def store_index(docs: DataFrame, path: str, *, block: int = BLOCK, shard_documents: int = SHARD_DOCUMENTS, class_documents: int = CLASS_DOCUMENTS) -> StoredIndex:

@@ -20,6 +20,17 @@ def test_gaps(ids):
     assert blocks.decode(ids[0], blocks.encode(a)).tolist() == ids
 
 
+def test_gaps_of_many_runs_at_once():
+    r = random.Random(6)
+    for _ in range(100):
+        runs = [sorted(r.sample(range(-(2 ** (1 + r.randrange(62))), 2 ** r.randrange(7, 63)), r.choice([1, 1, 2, 9]))) for _ in range(r.randint(1, 12))]
+        ends = np.cumsum([len(x) for x in runs])
+        starts = ends - [len(x) for x in runs]
+        skipped = r.randrange(len(runs))
+        found = blocks.encode_all(np.array([i for x in runs for i in x], np.int64), starts[skipped:], ends[skipped:]).to_pylist()
+        assert found == [blocks.encode(np.array(x, np.int64)) for x in runs[skipped:]]
+
+
 @pytest.fixture(scope="module")
 def texts(spark):
     from conftest import DATA
