@@ -1,16 +1,23 @@
 """Vector columns (arrays of numbers), in double precision."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once: what a lambda refers to by its expression is worked out again for every element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def squared_norm(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
 
 
 def normalised(v: Column) -> Column:
     """v at length one; the zero vector stays."""
-    norm = F.sqrt(squared_norm(v))
-    return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(F.transform(v, lambda x: x.cast("double")))
+    scaled = lambda x, norm: F.transform(x, lambda e: F.when(norm > 0, e.cast("double") / norm).otherwise(e.cast("double")))
+    return bound(v, lambda x: bound(F.sqrt(squared_norm(x)), lambda norm: scaled(x, norm)))
 
 
 def added(a: Column, b: Column) -> Column:

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from recollect.functions import scores, text
+from recollect.functions import scores, text, vectors
 from recollect.operators import fusion, lexical, ranking, temporal, tiers
 from recollect.sources import synthetic, tables
 from recollect.streaming import store
@@ -161,3 +161,12 @@ def test_pairs_are_summed_where_a_documents_postings_are(spark, by, tmp_path):
     assert "hashpartitioning(id#" in plan and not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "query_id" in x and ", id#" in x]
     whole = lexical.bm25_scores(asked, lexical.build_index(docs, by))
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, whole.collect())) and found.count() >= 4
+
+
+def test_a_vector_is_worked_out_once_to_be_normalised(spark):
+    """A norm inside a lambda is worked out for every element, and the vector with it."""
+    made = spark.range(3).select(synthetic.pseudo_embedding(F.col("id").cast("string"), 8).alias("v"))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("xxhash64") == 1
+    assert [round(sum(x * x for x in r["v"]), 9) for r in made.collect()] == [1.0] * 3
+    rows = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), ([],), (None,), ([1.0, None],)], "v array<float>")
+    assert [r[0] for r in rows.select(vectors.normalised(F.col("v"))).collect()] == [[0.6, 0.8], [0.0, 0.0], [], None, [1.0, None]]
