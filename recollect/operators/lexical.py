@@ -40,13 +40,14 @@ def _counted(docs: DataFrame, by: Sequence[str], wanted: DataFrame | None) -> Da
     """by, id, length, term, n (times in the document), documents: tokens are found once for everything that an index needs.
 
     An empty term stands for the document (documents 1, else 0).  Wanted terms go with their documents:
-    what is counted, and later summed, by document is then in one place.
+    what is counted, and later summed, by document is then in one place.  The number of partitions is
+    named, so that Spark doesn't merge them: postings are small, but their pairs with queries are not.
     """
     said = docs.select(*by, "id", tokens("text").alias("_tokens"))
     said = said.select(*by, "id", F.size("_tokens").cast("bigint").alias("length"), F.explode(F.concat(F.array(F.lit("")), F.col("_tokens"))).alias("term"))
     said = said.withColumn("term", F.coalesce("term", F.lit("")))  # never null, and known to be: no reader filters its own way
     if wanted is not None:
-        said = said.join(wanted.select("term", F.lit(True).alias("_wanted")), "term", "left").where("_wanted or term = ''").drop("_wanted").repartition("id")
+        said = said.join(wanted.select("term", F.lit(True).alias("_wanted")), "term", "left").where("_wanted or term = ''").drop("_wanted").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
     return said.groupBy(*by, "id", "length", "term").agg(F.count(F.when(F.col("term") != "", 1)).alias("n"), F.count(F.when(F.col("term") == "", 1)).alias("documents"))
 
 

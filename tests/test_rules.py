@@ -159,6 +159,7 @@ def test_pairs_are_summed_where_a_documents_postings_are(spark, by, tmp_path):
     found = lexical.bm25_scores(asked, lexical.build_index(docs, by, wanted))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(id#" in plan and not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "query_id" in x and ", id#" in x]
+    assert "REPARTITION_BY_NUM" in plan  # not merged into a few tasks that sum all pairs
     whole = lexical.bm25_scores(asked, lexical.build_index(docs, by))
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, whole.collect())) and found.count() >= 4
 
