@@ -39,5 +39,11 @@ def amdahl(serial: Column, threads: Column) -> Column:
 
 
 def rounded(score: Column) -> Column:
-    """Scores are rounded before they are ranked, so that ties are ties."""
-    return F.round(score, DIGITS)
+    """Scores are rounded before they are ranked, so that ties are ties.
+
+    Spark rounds a double by way of a decimal.  The whole number of units gives the same double
+    wherever the rest isn't near a half.
+    """
+    units = score * 10**DIGITS
+    plain = (F.abs(score) < 1000) & (F.abs(units - F.floor(units) - 0.5) > 1e-4)
+    return F.when(plain, F.floor(units + 0.5) / F.lit(10.0**DIGITS)).otherwise(F.round(score, DIGITS))

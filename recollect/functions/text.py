@@ -1,9 +1,14 @@
 """Tokens and other text columns."""
 
+from collections import Counter
+
 from pyspark.sql import Column, functions as F
 
 from recollect.functions.constants import PREVIEW, STOPWORDS
 
+#: bytes.translate table: lower-cases A-Z and turns all but ASCII letters and digits into blanks.
+PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+
 
 def tokens(text: Column | str) -> Column:
     """Runs of ASCII letters and digits, lower-cased one by one, without stopwords; repeats stay."""
@@ -11,6 +16,14 @@ def tokens(text: Column | str) -> Column:
     return F.filter(F.transform(found, F.lower), lambda t: ~t.isin(STOPWORDS))
 
 
+def token_counts(text: bytes | None) -> Counter[str]:
+    """The ``tokens`` of a text in UTF-8, and how often it has them."""
+    found = Counter((text or b"").translate(PLAIN).decode("ascii").split())
+    for word in STOPWORDS:
+        found.pop(word, None)
+    return found
+
+
 def overlap(query: Column, document: Column) -> Column:
     """The share of query tokens, repeats counted, that the document has."""
     return F.size(F.filter(query, lambda t: F.array_contains(document, t))).cast("double") / F.greatest(F.lit(1), F.size(query))
