@@ -16,6 +16,9 @@ from recollect.functions.constants import EARLY_STOP, MOST_BUCKETS, WEEK_MS
 from recollect.operators.lexical import search
 from recollect.operators.ranking import top_k
 
+#: The folder with the counts of stored buckets.
+COUNTS = "_counts"
+
 
 def bucketed(records: DataFrame, width_ms: int = WEEK_MS) -> DataFrame:
     """Records with ``bucket``: whole widths since the first record."""
@@ -76,8 +79,13 @@ def mean_stats(stats: DataFrame) -> DataFrame:
 
 
 def store_by_bucket(records: DataFrame, path: str) -> None:
-    """Write records (with ``bucket``) to a folder for each bucket; Spark splits large buckets among tasks."""
+    """Write records (with ``bucket``) to a folder for each bucket; Spark splits large buckets among tasks.
+
+    The buckets' counts are a table in a folder that Spark doesn't take for a bucket.
+    """
     records.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(path)
+    counts = records.sparkSession.read.schema(records.schema).parquet(path).groupBy("bucket").agg(F.count("*").alias("n"))
+    counts.coalesce(1).write.parquet(f"{path}/{COUNTS}")
 
 
 @dataclass
@@ -107,15 +115,16 @@ def search_stored(spark: SparkSession, queries: DataFrame, stored: str, work: st
     At most ``most`` steps; a step ends the search when all queries have k results whose last is
     near enough the best.
     """
-    rows = spark.read.parquet(stored)
-    # counts come from the files' footers
-    newest_first = rows.groupBy("bucket").agg(F.count("*").alias("n")).orderBy(F.desc("bucket")).limit(most).collect()
+    newest_first = spark.read.parquet(f"{stored}/{COUNTS}").orderBy(F.desc("bucket")).limit(most).collect()
     active = queries.select("query_id", "text")
     found_schema, asked_schema = "query_id bigint, id bigint, score double, po int", "query_id bigint, po int, records bigint"
     asked = spark.createDataFrame([], asked_schema)
     found = spark.createDataFrame([], found_schema)
     for po, bucket in enumerate(newest_first, 1):
-        near = rows.where(F.col("bucket") == bucket["bucket"]).select("id", "text")
+        # by its folder: reading the whole table would open a file of another bucket for the schema
+        folder = "__HIVE_DEFAULT_PARTITION__" if bucket["bucket"] is None else bucket["bucket"]
+        # records without a time are searched by no one, but count as a bucket
+        near = spark.read.parquet(f"{stored}/bucket={folder}").where(F.lit(bucket["bucket"]).isNotNull()).select("id", "text")
         search(active, near, k).select("query_id", "id", "score", F.lit(po).alias("po")).write.parquet(f"{work}/found/step={po}")
         asked = asked.unionByName(active.select("query_id", F.lit(po).alias("po"), F.lit(bucket["n"]).cast("bigint").alias("records")))
         found = spark.read.schema(found_schema).parquet(*(f"{work}/found/step={n}" for n in range(1, po + 1)))
