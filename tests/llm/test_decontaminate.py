@@ -68,6 +68,31 @@ def test_blocks_and_special_rows(spark):
     assert {tuple(x["items"]) for x in benchmark_hits(df, bench.limit(0)).collect()} == {()}
 
 
+def test_items_without_an_id_in_any_number_of_blocks(spark):
+    r = random.Random(2)
+    words = [f"w{i}" for i in range(12)]
+    items = [(i, " ".join(r.choices(words, k=r.randint(1, 30)))) for i in range(30)] + [(50, None), (51, "!?"), (None, "w1"), (None, "w2 w3"), (3, "w3 w3 w3")]
+    docs = [(i, " ".join(r.choices(words, k=r.randint(0, 40)) + (items[r.randrange(30)][1].split() if i % 2 else []))) for i in range(60)]
+    docs += [(100, None), (101, ""), (102, "..."), (103, "w1"), (104, "w2")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    every = [(None if i is None else str(i), normal_words(t)) for i, t in items]
+    for size in (200_000, 100):
+        got = {x["doc_id"]: x for x in benchmark_hits(df, bench, block_words=size).collect()}
+        clean = {x["doc_id"] for x in decontaminated(df, bench, block_words=size).collect()}
+        for i, t in docs:
+            own = normal_words(t)
+            hit, names = brute(own, every, 13)
+            marked = [False] * len(own)
+            for a, b in got[i]["spans"]:
+                marked[a:b] = [True] * (b - a)
+            assert (got[i]["n_words"], marked, set(got[i]["items"])) == (len(own), hit, names - {None})
+            assert (i in clean) == (not (sum(hit) and 20 * sum(hit) >= len(own)))
+    assert decontaminated(df, bench).columns == df.columns
+    assert benchmark_hits(df.limit(0), bench).count() == 0
+    assert {tuple(x["items"]) for x in benchmark_hits(df, bench.limit(0)).collect()} == {()}
+
+
 def test_null_and_repeated_ids_in_any_number_of_blocks(spark):
     r = random.Random(3)
     words = [f"w{i}" for i in range(40)]
